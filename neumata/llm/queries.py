@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filters
+from . import fingerprints, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, url_filters
 
 #: (verdict, host, path) of the url query.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -48,7 +52,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_toxicity, op7_url_filters, op8_fingerprints, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_toxicity, op5_pii, op7_url_filters, op8_fingerprints, op9_packing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
