@@ -1,9 +1,601 @@
 """All registered queries of the score-analytics operators and their SQL counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from .functions import dims
+from .functions import scalars as S
+from .operators import files, harmony, intervals, merges, sampling, stats, tokens
+from .plans import sql as Q
+from .sources import fixtures as X
+from .streaming import windows
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def parsed(spark, d):
+    return tokens.parse(X.score_texts(X.songs(spark, d), X.notes(spark, d)))
+
+
+# Keys
+
+
+def scores(spark, d):
+    return harmony.key_scores(harmony.class_durations(X.notes(spark, d)))
+
+
+@query(f"WITH {Q.SCORES}, {Q.SONGS}, {Q.ikr('best')} SELECT dataset, count(*) AS n_songs, round(avg(ikr), 6) AS mean_ikr FROM ikr JOIN songs USING (song_id) GROUP BY dataset")
+def ikr_by_dataset(spark, d):
+    ikr = harmony.in_key(X.notes(spark, d), harmony.best_key(scores(spark, d)))
+    return ikr.join(X.songs(spark, d), "song_id").groupBy("dataset").agg(F.count("*").alias("n_songs"), F.round(F.avg("ikr"), 6).alias("mean_ikr"))
+
+
+@query(f"WITH {Q.NOTES} SELECT song_id, midi % 12 AS pc, CAST(sum(slots) AS BIGINT) AS dur FROM notes WHERE midi <> -1 GROUP BY ALL")
+def pitch_class_durations(spark, d):
+    return harmony.class_durations(X.notes(spark, d))
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, key, score FROM cands")
+def key_candidates(spark, d):
+    return harmony.candidates(scores(spark, d)).select("song_id", "key", "score")
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, string_agg(key || '=' || score, ',' ORDER BY key) AS keys FROM (SELECT song_id, key, CAST(round(score * 1000000) AS BIGINT) AS score FROM cands) GROUP BY song_id")
+def key_maps(spark, d):
+    m = harmony.as_map(harmony.candidates(scores(spark, d)))
+    text = F.transform(F.map_entries("keys"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1000000).cast("long").cast("string")))
+    return m.select("song_id", F.array_join(text, ",").alias("keys"))
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, key, score FROM best")
+def best_keys(spark, d):
+    return harmony.best_key(scores(spark, d))
+
+
+@query(f"WITH {Q.SCORES}, {Q.ikr('(SELECT song_id, key FROM scores)')} SELECT song_id, round(max(ikr), 6) AS best_ikr FROM ikr GROUP BY song_id")
+def ikr_upper_bound(spark, d):
+    return harmony.in_key(X.notes(spark, d), scores(spark, d)).groupBy("song_id").agg(F.round(F.max("ikr"), 6).alias("best_ikr"))
+
+
+@query(f"WITH {Q.SCORES}, pos AS (SELECT * FROM scores WHERE score > 0), {Q.ikr('pos')} SELECT song_id, round(sum(ikr * score) / sum(score), 6) AS ikr FROM ikr JOIN pos USING (song_id, key) GROUP BY song_id")
+def ikr_weighted(spark, d):
+    return harmony.weighted_in_key(X.notes(spark, d), scores(spark, d)).select("song_id", F.round("ikr", 6).alias("ikr"))
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, key, score FROM (SELECT *, round(-ln(({Q.hashed('song_id', 'key', chr(39) + '7' + chr(39))} + 1) / 1152921504606846977.0::DOUBLE) / score, 9) AS draw FROM cands WHERE score > 0) QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY draw, key) = 1")
+def sampled_keys(spark, d):
+    return harmony.sampled_key(harmony.candidates(scores(spark, d)), 7)
+
+
+@query(f"WITH {Q.NOTES}, c AS (SELECT song_id, midi % 12 AS pc, count(*) AS n, min(bar * 1000000 + CAST(channel = 'bass' AS INT) * 100000 + pos) AS met FROM notes WHERE bar < 4 AND midi >= 0 GROUP BY ALL) SELECT song_id, pc, n FROM c QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY n DESC, met, pc) = 1")
+def initial_pitch_class(spark, d):
+    return harmony.initial_class(X.notes(spark, d))
+
+
+NAMES = [s[0][0] for s in dims.SPELLINGS]
+
+
+@query(f"WITH {Q.SCORES}, x AS (SELECT n.song_id, n.midi, CASE WHEN midi < 0 THEN 0 ELSE (instr('CDEFGAB', {NAMES}[midi % 12 + 1]) - instr('CDEFGAB', substr(key, 1, 1)) + 7) % 7 + 1 END AS degree FROM notes n JOIN best USING (song_id)) SELECT CAST(degree AS INT) AS degree, CASE WHEN degree = 0 THEN 'p_r' ELSE {Q.pitch()} || '_' || degree END AS token, count(*) AS n FROM x GROUP BY ALL")
+def scale_degrees(spark, d):
+    return harmony.shifted(X.notes(spark, d), harmony.best_key(scores(spark, d))).groupBy("degree", "token").agg(F.count("*").alias("n"))
+
+
+# Vocabularies and tokens
+
+
+def vocab_query(kind):
+    def run(spark, d):
+        return dims.vocab(spark, kind)
+
+    run.__name__ = f"vocab_{kind}"
+    sizes = {"midi": "SELECT 'p_' || (m % 12 + 1) || '/' || (m // 12 - 1) AS tok, m AS a, 0 AS b FROM range(128) r(m)", "degree": "SELECT 'p_' || (m % 12 + 1) || '/' || (m // 12 - 1) || '_' || g AS tok, m AS a, g AS b FROM range(128) r(m), range(1, 8) s(g)"}
+    spelled = Q.values("sp", "pc, k, letter, shift", [(pc, k, x, s) for pc, row in enumerate(dims.SPELLINGS) for k, (x, s) in enumerate(row)])
+    pitches = sizes.get(kind, "SELECT 'p_' || (m % 12 + 1) || '/' || (m // 12 - 1 + shift) || '_' || letter AS tok, m AS a, k AS b FROM range(128) r(m) JOIN sp ON sp.pc = m % 12")
+    special = Q.values("spc", "a, tok", list(enumerate(dims.SPECIALS)))
+    signatures = Q.values("tss", "a, tok", [(k, f"TimeSig_{n}/{e}") for k, (n, e) in enumerate(dims.TIME_SIGNATURES)])
+    keys = Q.values("ks", "tok", [(f"Key_{r[0]}",) for r in dims.key_rows()])
+    sql = f"""WITH {spelled}, {special}, {signatures}, {keys}, u AS (
+ SELECT 0 AS g, 'special' AS tok_type, a, 0 AS b, tok FROM spc UNION ALL SELECT 1, 'time_sig', -1, 0, 'TimeSig_rare' UNION ALL SELECT 1, 'time_sig', a, 0, tok FROM tss
+ UNION ALL SELECT 2, 'tempo', -1, 0, 'Tempo_low' UNION ALL SELECT 2, 'tempo', t, 0, 'Tempo_' || t FROM range(40, 241) r(t) UNION ALL SELECT 2, 'tempo', 999, 0, 'Tempo_high'
+ UNION ALL SELECT 3, 'key', row_number() OVER (ORDER BY tok), 0, tok FROM ks UNION ALL SELECT 4, 'pitch', -2, 0, 'p_r' UNION ALL SELECT 4, 'pitch', -1, 0, 'p_rare' UNION ALL SELECT 4, 'pitch', a, b, tok FROM ({pitches})
+ UNION ALL SELECT 5, 'duration', -1, 0, 'd_rare' UNION ALL SELECT 5, 'duration', k, 0, {Q.slots('k')} FROM range(1, 49) r(k))
+ SELECT CAST(row_number() OVER (ORDER BY g, a, b) - 1 AS INT) AS id, tok, tok_type FROM u"""
+    query(sql)(run)
+
+
+for kind in ("midi", "step", "degree"):
+    vocab_query(kind)
+
+
+@query(f"WITH {Q.TOKENS} SELECT dataset, tok_type, count(*) AS n, count(DISTINCT tok) AS n_distinct FROM tokens JOIN songs USING (song_id) GROUP BY ALL")
+def token_type_counts(spark, d):
+    rows = parsed(spark, d).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return rows.groupBy("dataset", "tok_type").agg(F.count("*").alias("n"), F.count_distinct("tok").alias("n_distinct"))
+
+
+@query(f"WITH {Q.vocab('degree', 'v')} SELECT id, CASE WHEN tok = 'p_r' THEN -1 ELSE CAST(nullif(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 1), '') AS INT) - 1 + (CAST(nullif(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 2), '') AS INT) + 1) * 12 END AS midi, CAST(nullif(regexp_extract(tok, '^p_.*_([1-7])$', 1), '') AS INT) AS degree, CASE WHEN tok = 'Tempo_low' THEN 39 WHEN tok = 'Tempo_high' THEN 241 ELSE CAST(nullif(regexp_extract(tok, '^Tempo_(\\d+)$', 1), '') AS INT) END AS tempo, CAST(nullif(regexp_extract(tok, '^TimeSig_(\\d+)/', 1), '') AS INT) AS ts_num, CAST(nullif(regexp_extract(tok, '^d_(\\d+)', 1), '') AS INT) AS dur_num, CASE WHEN regexp_matches(tok, '^d_\\d') THEN coalesce(CAST(nullif(regexp_extract(tok, '^d_\\d+/(\\d+)$', 1), '') AS INT), 1) END AS dur_den, nullif(regexp_extract(tok, '^Key_(.*)$', 1), '') AS key FROM v")
+def token_meanings(spark, d):
+    m = S.meta(F.col("tok"))
+    return dims.vocab(spark, "degree").select("id", m["midi"].alias("midi"), m["degree"].alias("degree"), m["tempo"].alias("tempo"), m["ts_num"].alias("ts_num"), m["dur_num"].alias("dur_num"), m["dur_den"].alias("dur_den"), m["key"].alias("key"))
+
+
+@query("SELECT tok FROM (SELECT 'none' AS tok) WHERE false")
+def vocab_round_trip_violations(spark, d):
+    v, m = dims.vocab(spark, "midi"), S.meta(F.col("tok"))
+    slots = (m["dur_num"] * 8 / m["dur_den"]).cast("int")
+    again = F.when(F.col("tok_type") == "pitch", S.pitch_token(m["midi"])).when(F.col("tok_type") == "duration", S.slots_token(slots)).when(F.col("tok_type") == "time_sig", S.time_sig_token(m["ts_num"], m["ts_den"])).when(F.col("tok_type") == "key", F.concat(F.lit("Key_"), m["key"])).otherwise(F.col("tok"))
+    return v.where(~F.col("tok").endswith("rare")).where(again != F.col("tok")).select("tok")
+
+
+@query(f"WITH {Q.TOKENS}, {Q.vocab('midi')}, s AS (SELECT t.*, v.tok IS NULL OR t.tok IN ('p_rare', 'd_rare') AS rare, CASE WHEN v.tok IS NOT NULL THEN t.tok WHEN t.tok_type = 'pitch' THEN 'p_rare' WHEN t.tok_type = 'duration' THEN 'd_rare' WHEN t.tok_type = 'time_sig' THEN 'TimeSig_rare' WHEN t.tok_type = 'tempo' AND CAST(substr(t.tok, 7) AS INT) < 40 THEN 'Tempo_low' WHEN t.tok_type = 'tempo' THEN 'Tempo_high' ELSE t.tok END AS clean FROM tokens t LEFT JOIN vocab v USING (tok)) SELECT clean, count(*) AS n, count_if(rare) AS n_rare FROM s GROUP BY clean")
+def sanitized_counts(spark, d):
+    return tokens.sanitized(parsed(spark, d), dims.vocab(spark)).groupBy("clean").agg(F.count("*").alias("n"), F.count_if("rare").alias("n_rare"))
+
+
+@query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT dataset, t.tok_type, round(100.0 * count_if(v.tok IS NULL) / count(*), 6) AS ratio FROM tokens t LEFT JOIN vocab v USING (tok) JOIN songs USING (song_id) GROUP BY ALL")
+def rare_token_ratio(spark, d):
+    rows = tokens.sanitized(parsed(spark, d), dims.vocab(spark)).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return stats.rare_ratio(rows)
+
+
+@query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT song_id, count(*) AS n, CAST(sum(id * (pos % 97 + 1)) AS BIGINT) AS checksum, count_if(id IS NULL) AS n_unknown FROM tokens t LEFT JOIN vocab v USING (tok) GROUP BY song_id")
+def encoded_ids(spark, d):
+    e = tokens.encoded(parsed(spark, d), dims.vocab(spark))
+    return e.groupBy("song_id").agg(F.count("*").alias("n"), F.sum(F.col("id") * (F.col("pos") % 97 + 1)).alias("checksum"), F.count_if(F.col("id").isNull()).alias("n_unknown"))
+
+
+@query(f"WITH {Q.TOKENS} SELECT song_id, bar, string_agg(tok, ' ' ORDER BY pos) AS text FROM tokens WHERE bar >= 0 AND tok <> '</s>' GROUP BY ALL")
+def bar_strings(spark, d):
+    return tokens.bar_texts(parsed(spark, d))
+
+
+@query(f"WITH {Q.NOTES}, b AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS nth FROM notes) SELECT song_id, nth AS bar, channel, count(*) AS n, CAST(sum(slots) AS BIGINT) * 720720 AS ticks, CAST(sum(midi) AS BIGINT) AS midi_sum FROM b JOIN orders ON o_orderkey = song_id GROUP BY song_id, nth, channel")
+def channel_split(spark, d):
+    n = tokens.note_list(tokens.elements(parsed(spark, d)))
+    return n.groupBy("song_id", "bar", "channel").agg(F.count("*").alias("n"), F.sum("ticks").alias("ticks"), F.sum("midi").alias("midi_sum"))
+
+
+@query("SELECT 0::BIGINT AS song_id, 0 AS pos, '' AS rule WHERE false")
+def grammar_violations(spark, d):
+    return tokens.violations(parsed(spark, d))
+
+
+@query(f"WITH {Q.TOKENS} SELECT song_id, count(*) AS n_token, count_if(tok = '<bar>') AS n_bar, count_if(tok LIKE 'p\\_%' ESCAPE '\\' AND tok NOT IN ('p_r', 'p_rare')) AS n_pitch, count_if(tok = 'p_r') AS n_rest, count_if(tok = '<tup>') AS n_tuplet, count(DISTINCT tok) AS n_distinct, max(CASE WHEN tok_type = 'time_sig' THEN tok END) AS time_sig, max(CASE WHEN tok_type = 'tempo' THEN tok END) AS tempo FROM tokens GROUP BY song_id")
+def song_facts(spark, d):
+    return stats.song_facts(parsed(spark, d))
+
+
+# Transforms
+
+
+@query(f"WITH {Q.TEXTS}, p AS (SELECT song_id, string_split(score, ' <bar>') AS parts FROM texts), q AS (SELECT *, CAST({Q.hashed('song_id', chr(39) + '7' + chr(39))} % greatest(len(parts) - 1 - 2 + 1, 1) AS INT) AS dropped FROM p) SELECT song_id, dropped, array_to_string(list_concat([parts[1] || CASE WHEN dropped > 0 THEN ' [OMIT]' ELSE '' END], parts[dropped + 2:]), ' <bar>') AS score FROM q")
+def random_crop(spark, d):
+    return tokens.cropped(X.score_texts(X.songs(spark, d), X.notes(spark, d)), 7, least=2)
+
+
+@query(f"WITH {Q.TEXTS}, {Q.values('bins', 'a, z', [(a, z) for a, z, _ in dims.tempo_bins(5)])} SELECT t.song_id, string_split(t.score, ' ')[1] || ' ' || CASE WHEN tempo < 40 THEN 'Tempo_low' WHEN tempo > 240 THEN 'Tempo_high' ELSE 'Tempo_' || a || '/' || z END || ' ' || array_to_string(string_split(t.score, ' ')[3:], ' ') AS score FROM texts t JOIN songs USING (song_id) LEFT JOIN bins ON tempo BETWEEN a AND z")
+def tempo_grouped(spark, d):
+    return X.score_texts(X.songs(spark, d), X.notes(spark, d)).select("song_id", tokens.tempo_grouped(F.col("score")).alias("score"))
+
+
+@query(f"WITH {Q.TEXTS}, {Q.SCORES.replace(Q.NOTES + ', ', '')} SELECT t.song_id, array_to_string(list_concat(string_split(score, ' ')[1:2], ['Key_' || key], string_split(score, ' ')[3:]), ' ') AS score FROM texts t JOIN (SELECT song_id, key FROM best) USING (song_id)")
+def key_insert(spark, d):
+    rows = X.score_texts(X.songs(spark, d), X.notes(spark, d)).join(harmony.best_key(scores(spark, d)).select("song_id", "key"), "song_id")
+    return rows.select("song_id", tokens.key_inserted(F.col("score"), F.col("key")).alias("score"))
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, round(sum(CASE WHEN c.score IS NULL OR c.score = 0 THEN -1.0 ELSE c.score END * (ordinal + 1)), 6) AS checksum FROM (SELECT DISTINCT song_id FROM cands) CROSS JOIN kdim LEFT JOIN cands c USING (song_id, key) GROUP BY song_id")
+def key_vectors(spark, d):
+    v = harmony.as_map(harmony.candidates(scores(spark, d))).select("song_id", F.posexplode(tokens.key_vector(F.col("keys"))).alias("k", "v"))
+    return v.groupBy("song_id").agg(F.round(F.sum(F.col("v") * (F.col("k") + 1)), 6).alias("checksum"))
+
+
+@query(f"WITH {Q.TEXTS} SELECT song_id, array_to_string(string_split(score, ' <bar>')[1:3], ' <bar>') AS prompt FROM texts")
+def prompts(spark, d):
+    t = X.score_texts(X.songs(spark, d), X.notes(spark, d))
+    return t.select("song_id", tokens.first_bars(F.col("score"), 2).alias("prompt"))
+
+
+@query(f"WITH {Q.vocab('step', 'v')}, x AS (SELECT tok, CAST(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 1) AS INT) - 1 + (CAST(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 2) AS INT) + 1) * 12 AS m FROM v WHERE tok_type = 'pitch' AND tok NOT IN ('p_r', 'p_rare')), y AS (SELECT tok, CASE WHEN m < 0 THEN m + 12 WHEN m > 127 THEN m - 12 ELSE m END AS m FROM x) SELECT tok, {Q.pitch('m')} AS midi_tok FROM y")
+def midi_tokens(spark, d):
+    return dims.vocab(spark, "step").where(S.is_pitch_heard(F.col("tok"))).select("tok", tokens.to_midi(F.col("tok")).alias("midi_tok"))
+
+
+@query()
+def channel_mix(spark, d):
+    return tokens.mixed(tokens.elements(parsed(spark, d)), 7)
+
+
+@query(f"WITH {Q.SCORES} SELECT song_id, key, count(*) OVER (PARTITION BY song_id) AS n_keys FROM cands")
+def songs_with_all_keys(spark, d):
+    m = harmony.as_map(harmony.candidates(scores(spark, d)))
+    return m.select("song_id", F.explode(F.map_keys("keys")).alias("key"), F.size("keys").cast("long").alias("n_keys"))
+
+
+# Statistics
+
+
+@query(f"WITH {Q.SONGS} SELECT dataset, ts_num, ts_den, count(*) AS n FROM songs GROUP BY ALL")
+def time_sig_dist(spark, d):
+    return stats.counts(X.songs(spark, d), "dataset", "ts_num", "ts_den")
+
+
+@query(f"WITH {Q.SONGS}, {Q.values('bins', 'a, z, m', dims.tempo_bins(5))} SELECT dataset, CASE WHEN tempo < 40 THEN 'Tempo_low' WHEN tempo > 240 THEN 'Tempo_high' ELSE 'Tempo_' || a || '/' || z END AS tempo_bin, count(*) AS n FROM songs LEFT JOIN bins ON tempo BETWEEN a AND z GROUP BY ALL")
+def tempo_binned(spark, d):
+    return stats.counts(X.songs(spark, d).withColumn("tempo_bin", S.tempo_bin_token(F.col("tempo"))), "dataset", "tempo_bin")
+
+
+@query(f"WITH {Q.NOTES}, {Q.SONGS} SELECT dataset, midi, CAST(sum(slots) AS BIGINT) AS w FROM notes JOIN songs USING (song_id) WHERE midi >= 0 GROUP BY ALL")
+def weighted_pitch(spark, d):
+    rows = X.notes(spark, d).where("midi >= 0").join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return stats.weighted(rows, ["dataset"], "midi", F.col("slots"))
+
+
+@query(f"WITH {Q.NOTES}, {Q.SONGS}, c AS (SELECT dataset, slots, sum(1) AS w FROM notes JOIN songs USING (song_id) GROUP BY ALL) SELECT dataset, slots, round(100.0 * w / sum(w) OVER (PARTITION BY dataset), 6) AS w FROM c")
+def duration_share(spark, d):
+    rows = X.notes(spark, d).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return stats.weighted(rows, ["dataset"], "slots", F.lit(1), share=True)
+
+
+@query(f"WITH {Q.SCORES}, {Q.SONGS} SELECT dataset, key, round(sum(score), 4) AS w FROM cands JOIN songs USING (song_id) GROUP BY ALL")
+def key_dist(spark, d):
+    rows = harmony.candidates(scores(spark, d)).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return stats.weighted(rows, ["dataset"], "key", F.col("score")).withColumn("w", F.round("w", 4))
+
+
+WORDS = "w AS (SELECT doc_id, lang, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS tok FROM documents)"
+
+
+def words(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", "lang", F.explode(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda t: t != "")).alias("tok"))
+
+
+@query(f"WITH {WORDS}, c AS (SELECT lang, tok, count(*) AS n FROM w GROUP BY ALL) SELECT lang, tok, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS rank, round(sum(n) OVER (PARTITION BY lang ORDER BY n DESC, tok ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY lang), 9) AS share FROM c")
+def token_coverage(spark, d):
+    return stats.coverage(words(spark, d), "lang")
+
+
+@query(f"WITH {WORDS}, c AS (SELECT lang, tok, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tok) AS rank, round(sum(n) OVER (PARTITION BY lang ORDER BY n DESC, tok ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY lang), 9) AS share FROM c), r(ratio) AS (VALUES (0.68::DOUBLE), (0.95), (0.986), (0.997)) SELECT lang, ratio, coalesce(min(CASE WHEN share > ratio THEN rank - 1 END), 0) AS first FROM s CROSS JOIN r GROUP BY ALL")
+def coverage_thresholds(spark, d):
+    return stats.needed(stats.coverage(words(spark, d), "lang"), "lang", [0.68, 0.95, 0.986, 0.997])
+
+
+@query(f"WITH {WORDS}, n AS (SELECT doc_id, lang, count(*) AS n FROM w GROUP BY ALL) SELECT lang, min(n) AS low, round(quantile_cont(n, 0.997), 6) AS high FROM n GROUP BY lang")
+def token_length_percentile(spark, d):
+    return stats.ranges(words(spark, d).groupBy("doc_id", "lang").agg(F.count("*").alias("n")), "lang", "n")
+
+
+@query(f"WITH {Q.TOKENS}, {Q.vocab('midi')}, c AS (SELECT tok, count(*) AS n FROM tokens GROUP BY tok) SELECT v.tok, coalesce(n, 0) AS n FROM vocab v LEFT JOIN c USING (tok)")
+def vocab_usage(spark, d):
+    return stats.zero_filled(stats.counts(parsed(spark, d), "tok"), dims.vocab(spark))
+
+
+@query(f"WITH {Q.NOTES}, {Q.SONGS}, b AS (SELECT song_id, bar, max(CASE WHEN channel = 'melody' AND midi >= 0 THEN 1 ELSE 0 END) AS m, max(CASE WHEN channel = 'bass' AND midi >= 0 THEN 1 ELSE 0 END) AS s FROM notes GROUP BY ALL), p AS (SELECT dataset, song_id, count(*) AS bars, sum(1 - m) AS me, sum(1 - s) AS be FROM b JOIN songs USING (song_id) GROUP BY ALL) SELECT dataset, 'melody' AS channel, 'bar' AS by, round(sum(me) / sum(bars), 6) AS ratio FROM p GROUP BY dataset UNION ALL SELECT dataset, 'bass', 'bar', round(sum(be) / sum(bars), 6) FROM p GROUP BY dataset UNION ALL SELECT dataset, 'melody', 'song', round(avg(CAST(me = bars AS INT)), 6) FROM p GROUP BY dataset UNION ALL SELECT dataset, 'bass', 'song', round(avg(CAST(be = bars AS INT)), 6) FROM p GROUP BY dataset")
+def empty_channel_ratio(spark, d):
+    return stats.empty_channels(X.notes(spark, d), X.songs(spark, d))
+
+
+@query(f"WITH {Q.NOTES}, {Q.SONGS} SELECT dataset, round(count_if(slots % 3 = 0) / count(*), 6) AS by_count, round(sum(CASE WHEN slots % 3 = 0 THEN slots ELSE 0 END) / sum(slots), 6) AS by_weight FROM notes JOIN songs USING (song_id) GROUP BY dataset")
+def tuplet_ratio(spark, d):
+    rows = X.notes(spark, d).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    return stats.ratio(rows, "dataset", F.col("slots") % 3 == 0, F.col("slots"))
+
+
+SEVERITY = Q.values("sev", "warn_type, severity", list(dims.WARNINGS.items()))
+
+
+@query(f"WITH {Q.SONGS}, {Q.NOTES}, {SEVERITY}, ws AS (SELECT dataset, 'Rare Mean Tempo' AS warn_type FROM songs WHERE tempo NOT BETWEEN 40 AND 240 UNION ALL SELECT dataset, 'Rare Time Signature' FROM songs WHERE ts_num || '/' || ts_den NOT IN ('2/2','2/4','3/4','4/4','5/4','6/8','12/8') UNION ALL SELECT dataset, 'Invalid Bar Notes Duration' FROM (SELECT song_id FROM notes GROUP BY song_id, bar, channel HAVING sum(slots) > 60) JOIN songs USING (song_id)), c AS (SELECT dataset, warn_type, count(*) AS n FROM ws GROUP BY ALL UNION ALL SELECT 'all', warn_type, count(*) FROM ws GROUP BY warn_type), z AS (SELECT dataset, count(*) AS songs FROM songs GROUP BY dataset UNION ALL SELECT 'all', count(*) FROM songs) SELECT dataset, warn_type, severity, n, round(n / songs, 6) AS per_song FROM c JOIN z USING (dataset) JOIN sev USING (warn_type)")
+def warning_counts(spark, d):
+    songs = X.songs(spark, d)
+    return stats.warning_counts(stats.warnings(songs, X.notes(spark, d)), songs)
+
+
+@query(f"WITH {Q.SONGS}, c AS (SELECT artist, tempo, count(*) AS n, min(song_id) AS met FROM songs GROUP BY ALL) SELECT artist, tempo, n FROM c QUALIFY row_number() OVER (PARTITION BY artist ORDER BY n DESC, met) = 1")
+def tempo_mode(spark, d):
+    return stats.mode_first(X.songs(spark, d), "artist", "tempo", "song_id")
+
+
+@query(f"WITH {Q.SONGS}, {Q.NOTES} SELECT dataset, round(sum(tempo * slots) / sum(slots), 6) AS tempo FROM notes JOIN songs USING (song_id) GROUP BY dataset")
+def weighted_mean_tempo(spark, d):
+    rows = X.notes(spark, d).join(X.songs(spark, d), "song_id")
+    return rows.groupBy("dataset").agg(F.round(F.sum(F.col("tempo") * F.col("slots")) / F.sum("slots"), 6).alias("tempo"))
+
+
+@query(f"WITH {Q.SONGS}, {Q.NOTES}, b AS (SELECT song_id, max(bar) + 1 AS bars FROM notes GROUP BY song_id) SELECT song_id, CAST(round_even(bars * (ts_num * 4.0 / ts_den) * 60.0 / tempo, 0) AS BIGINT) AS seconds FROM b JOIN songs USING (song_id)")
+def song_seconds(spark, d):
+    b = X.notes(spark, d).groupBy("song_id").agg((F.max("bar") + 1).alias("bars")).join(X.songs(spark, d), "song_id")
+    return b.select("song_id", F.bround(F.col("bars") * (F.col("ts_num") * 4.0 / F.col("ts_den")) * 60.0 / F.col("tempo")).cast("long").alias("seconds"))
+
+
+@query(f"WITH {Q.NOTES}, a AS (SELECT song_id, bar, channel, sum(CASE WHEN midi < 0 THEN 0 ELSE 440.0 * pow(2.0, (midi - 69) / 12.0) END * slots) / sum(slots) AS f FROM notes GROUP BY ALL) SELECT song_id, bar, channel FROM a QUALIFY row_number() OVER (PARTITION BY song_id, bar ORDER BY round(f, 6) DESC, channel DESC) = 1")
+def highest_part(spark, d):
+    f = F.sum(S.frequency(F.col("midi")) * F.col("slots")) / F.sum("slots")
+    rows = X.notes(spark, d).groupBy("song_id", "bar", "channel").agg(F.round(f, 6).alias("f"))
+    return rows.groupBy("song_id", "bar").agg(F.max_by("channel", F.struct("f", "channel")).alias("channel"))
+
+
+# Intervals
+
+W = "WINDOW w AS (PARTITION BY song_id, part, bar ORDER BY start, \"end\", midi, id)"
+
+
+@query(f"WITH {Q.INTERVALS}, x AS (SELECT *, coalesce(lag(\"end\") OVER w, 0) AS b, row_number() OVER (PARTITION BY song_id, part, bar ORDER BY start DESC, \"end\" DESC, midi DESC, id DESC) AS back FROM iv {W}) SELECT song_id, part, bar, bool_or(start > b) OR max(CASE WHEN back = 1 THEN \"end\" END) < 32 AS has_gap, bool_or(start < b) AS has_overlap, CAST(sum(\"end\" - start) AS BIGINT) AS covered FROM x GROUP BY song_id, part, bar")
+def note_gaps(spark, d):
+    return intervals.gaps(X.intervals(spark, d))
+
+
+REST = f"{Q.INTERVALS}, x AS (SELECT *, coalesce(max(\"end\") OVER (PARTITION BY song_id, part, bar ORDER BY start, \"end\", midi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM iv), rest AS (SELECT song_id, part, bar, r AS start, start AS \"end\" FROM x WHERE start > r UNION ALL SELECT song_id, part, bar, max(\"end\"), 32 FROM iv GROUP BY song_id, part, bar HAVING max(\"end\") < 32)"
+
+
+@query(f'WITH {REST} SELECT song_id, part, bar, start, "end" FROM rest')
+def rest_fill(spark, d):
+    return intervals.rests(X.intervals(spark, d))
+
+
+@query(f'WITH {Q.INTERVALS}, m AS (SELECT song_id, part, bar, id, start, "end", CASE WHEN id % 2 = 0 THEN -1 ELSE midi END AS midi FROM iv), l AS (SELECT *, lag("end") OVER w AS le, lag(midi) OVER w AS lm FROM m {W}), n AS (SELECT *, CASE WHEN midi = -1 AND lm = -1 AND le = start THEN 0 ELSE 1 END AS nw FROM l), g AS (SELECT *, sum(nw) OVER (PARTITION BY song_id, part, bar ORDER BY start, "end", midi, id ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT song_id, part, bar, min(start) AS start, max("end") AS "end", min(midi) AS midi FROM g GROUP BY song_id, part, bar, run')
+def rest_merge(spark, d):
+    return intervals.joined_rests(X.intervals(spark, d).withColumn("midi", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("midi"))))
+
+
+SLOTS = f'{Q.INTERVALS}, sl AS (SELECT *, unnest(range(start // 2, ("end" - 1) // 2 + 1)) AS slot FROM iv WHERE "end" > start), q AS (SELECT song_id, part, bar, CAST(slot AS INT) AS slot, id, midi FROM sl WHERE slot < 16 QUALIFY row_number() OVER (PARTITION BY song_id, part, bar, slot ORDER BY least("end", (slot + 1) * 2) - greatest(start, slot * 2) DESC, start, "end", midi, id) = 1)'
+
+
+@query(f"WITH {SLOTS} SELECT song_id, part, bar, slot, id, midi FROM q")
+def quantized_slots(spark, d):
+    return intervals.quantized(X.intervals(spark, d))
+
+
+@query(f"WITH {SLOTS}, r AS (SELECT *, slot - row_number() OVER (PARTITION BY song_id, part, bar, id ORDER BY slot) AS isl FROM q) SELECT song_id, part, bar, id, min(slot) AS first, count(*) AS n FROM r GROUP BY song_id, part, bar, id, isl")
+def quantized_runs(spark, d):
+    return intervals.runs(intervals.quantized(X.intervals(spark, d)))
+
+
+@query(f'WITH {Q.INTERVALS}, x AS (SELECT *, CAST(unnest(range(start, "end")) AS INT) AS slot FROM iv) SELECT song_id, part, bar, slot, max(midi) AS midi FROM x GROUP BY song_id, part, bar, slot')
+def skyline_slots(spark, d):
+    return intervals.slot_top(X.intervals(spark, d))
+
+
+@query()
+def skyline_high(spark, d):
+    return intervals.skyline(X.intervals(spark, d))
+
+
+@query()
+def skyline_low(spark, d):
+    return intervals.skyline(X.intervals(spark, d), "low")
+
+
+@query()
+def bass_without_melody(spark, d):
+    notes = X.intervals(spark, d)
+    return intervals.bass_of(notes, intervals.skyline(notes))
+
+
+@query()
+def tuplet_groups(spark, d):
+    return intervals.tuplets(X.intervals(spark, d))
+
+
+@query(f"WITH {Q.NOTES} SELECT b.song_id, b.bar, b.midi, b.slots, b.pos FROM notes b WHERE b.channel = 'bass' AND NOT EXISTS (SELECT 1 FROM notes m WHERE m.channel = 'melody' AND m.song_id = b.song_id AND m.bar = b.bar AND m.midi = b.midi AND m.slots = b.slots)")
+def bass_anti_melody(spark, d):
+    n = X.notes(spark, d)
+    melody = n.where("channel = 'melody'").select("song_id", "bar", "midi", "slots")
+    return n.where("channel = 'bass'").join(melody, ["song_id", "bar", "midi", "slots"], "left_anti").select("song_id", "bar", "midi", "slots", "pos")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN CAST(20 + event_id % 260 AS INT) END AS tempo FROM events) SELECT event_id, user_id, coalesce(last_value(tempo IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 120) AS tempo FROM e")
+def asof_tempo(spark, d):
+    tempo = F.when(F.col("event_id") % 3 == 0, (20 + F.col("event_id") % 260).cast("int"))
+    e = X.table(spark, d, "events").select("event_id", "user_id", "ts", tempo.alias("tempo"))
+    return intervals.carried(e, ["user_id"], ["ts", "event_id"], "tempo", 120).drop("ts")
+
+
+@query(f"WITH {Q.NOTES}, e AS (SELECT song_id, bar, bool_and(midi < 0) AS empty FROM notes GROUP BY ALL), k AS (SELECT song_id, min(bar) AS a, max(bar) AS z FROM e WHERE NOT empty GROUP BY song_id) SELECT song_id, bar FROM e JOIN k USING (song_id) WHERE bar BETWEEN a AND z")
+def bars_without_empty_ends(spark, d):
+    e = X.notes(spark, d).groupBy("song_id", "bar").agg(F.bool_and(F.col("midi") < 0).alias("empty"))
+    k = e.where("not empty").groupBy("song_id").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
+    return e.join(k, "song_id").where("bar between a and z").select("song_id", "bar")
+
+
+@query(f"WITH {Q.SONGS}, {Q.NOTES}, r AS (SELECT song_id, bar, channel, pos, slots, ts_num * 32 // ts_den AS room, sum(slots) OVER (PARTITION BY song_id, bar, channel ORDER BY pos) AS upto FROM notes JOIN songs USING (song_id)) SELECT song_id, bar, channel, pos, CAST(least(upto, room) - (upto - slots) AS BIGINT) AS slots FROM r WHERE upto - slots < room")
+def bar_repair(spark, d):
+    upto = F.sum("slots").over(Window.partitionBy("song_id", "bar", "channel").orderBy("pos"))
+    r = X.notes(spark, d).join(X.songs(spark, d), "song_id").withColumns({"upto": upto, "room": F.floor(F.col("ts_num") * 32 / F.col("ts_den")).cast("long")})
+    return r.where("upto - slots < room").select("song_id", "bar", "channel", "pos", (F.least("upto", "room") - (F.col("upto") - F.col("slots"))).alias("slots"))
+
+
+@query(f"WITH {Q.NOTES}, s AS (SELECT song_id, bar, sum(CASE WHEN channel = 'melody' THEN slots ELSE 0 END) AS m, sum(CASE WHEN channel = 'bass' THEN slots ELSE 0 END) AS b FROM notes GROUP BY ALL) SELECT song_id, bar, CASE WHEN m < b THEN 'melody' ELSE 'bass' END AS channel, CAST(abs(m - b) AS BIGINT) AS pad FROM s WHERE m <> b")
+def channel_padding(spark, d):
+    s = X.notes(spark, d).groupBy("song_id", "bar").agg(*(F.sum(F.when(F.col("channel") == c, F.col("slots")).otherwise(0)).alias(c) for c in ("melody", "bass")))
+    return s.where("melody <> bass").select("song_id", "bar", F.when(F.col("melody") < F.col("bass"), "melody").otherwise("bass").alias("channel"), F.abs(F.col("melody") - F.col("bass")).alias("pad"))
+
+
+# Sampling, splits, sets
+
+EPOCH = Q.hashed("song_id", "'epoch3'")
+
+
+@query(f"WITH {Q.SONGS} SELECT dataset, song_id FROM songs QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {EPOCH}, song_id) <= 100")
+def proportional_mix(spark, d):
+    return sampling.proportional(X.songs(spark, d).select("dataset", "song_id"), "dataset", "song_id", 100, epoch=3)
+
+
+@query(f"WITH {Q.SONGS}, x AS (SELECT dataset, song_id, row_number() OVER (PARTITION BY dataset ORDER BY {Q.hashed('song_id', chr(39) + '77' + chr(39))}, song_id) AS rn, count(*) OVER (PARTITION BY dataset) AS n FROM songs) SELECT dataset, song_id, CASE WHEN rn <= least(greatest(floor(n * 0.02), 50), 500) THEN 'test' ELSE 'train' END AS split FROM x")
+def train_test_split(spark, d):
+    return sampling.split(X.songs(spark, d).select("dataset", "song_id"), "dataset", "song_id")
+
+
+@query(f"WITH {Q.SONGS} SELECT song_id FROM songs WHERE {Q.hashed('song_id', chr(39) + '5' + chr(39))} % 10 = 0")
+def bernoulli_thinning(spark, d):
+    return sampling.thinned(X.songs(spark, d).select("song_id"), "song_id", 10, 5)
+
+
+@query(f"WITH {Q.SONGS} SELECT dataset, song_id FROM songs QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY song_id) <= 20")
+def first_songs(spark, d):
+    return sampling.first_rows(X.songs(spark, d).select("dataset", "song_id"), "dataset", ["song_id"], 20)
+
+
+@query(f"WITH {Q.SONGS}, z AS (SELECT dataset, count(*) AS n FROM songs GROUP BY dataset), b AS (SELECT dataset, n, sum(n) OVER (ORDER BY dataset) AS upto FROM z) SELECT position, dataset, CAST(position - (upto - n) AS BIGINT) AS local FROM (SELECT range * 37 AS position FROM range(1000)) JOIN b ON position >= upto - n AND position < upto")
+def global_positions(spark, d):
+    sizes = stats.counts(X.songs(spark, d), "dataset")
+    return sampling.placed(sizes, spark.range(1000).select((F.col("id") * 37).alias("position")))
+
+
+@query(f"WITH {Q.SONGS} SELECT count(*) AS rows, count(DISTINCT song_id) AS keys, 0::BIGINT AS doubles FROM songs")
+def splits_cover_all(spark, d):
+    return sampling.is_partition(sampling.split(X.songs(spark, d), "dataset", "song_id"), "song_id", "split")
+
+
+@query("SELECT o_custkey AS artist FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'")
+def artists_of_one_set_only(spark, d):
+    s = X.songs(spark, d)
+    return s.where("dataset = '1-URGENT'").select("artist").subtract(s.where("dataset = '5-LOW'").select("artist"))
+
+
+@query("SELECT o_custkey AS artist FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'")
+def artists_of_both_sets(spark, d):
+    s = X.songs(spark, d)
+    return s.where("dataset = '1-URGENT'").select("artist").intersect(s.where("dataset = '5-LOW'").select("artist"))
+
+
+# Element merges
+
+ELEMENTS = f"{Q.TEXTS.replace('texts AS', 'texts0 AS')}, el AS (SELECT pitch || ' ' || duration AS elm_text, count(*) AS n FROM nt JOIN songs USING (song_id) GROUP BY 1), er AS (SELECT *, row_number() OVER (ORDER BY n DESC, elm_text) AS rank FROM el)"
+
+
+@query(f"WITH {ELEMENTS} SELECT elm_text, n, rank FROM er WHERE rank <= 500")
+def pair_merge_topk(spark, d):
+    return merges.element_counts(tokens.elements(parsed(spark, d))).where("rank <= 500")
+
+
+@query(f"WITH {ELEMENTS}, s AS (SELECT round(sum(n) OVER (ORDER BY rank) / sum(n) OVER (), 9) AS share FROM er), r(ratio) AS (VALUES (0.5::DOUBLE), (0.68), (0.95)) SELECT ratio, count_if(share <= ratio) AS size FROM s CROSS JOIN r GROUP BY ratio")
+def pair_merge_cutoff(spark, d):
+    return merges.cutoff(merges.element_counts(tokens.elements(parsed(spark, d))), [0.5, 0.68, 0.95])
+
+
+@query("SELECT 0::BIGINT AS song_id WHERE false")
+def pair_merge_round_trip_violations(spark, d):
+    texts = X.score_texts(X.songs(spark, d), X.notes(spark, d))
+    elms = tokens.elements(tokens.parse(texts))
+    vocab = merges.merged_vocab(merges.element_counts(elms), dims.vocab(spark), 500)
+    again = merges.texts_of(merges.tokenised(elms, vocab)).withColumnRenamed("score", "again")
+    return texts.join(again, "song_id").where("score <> again").select("song_id")
+
+
+@query()
+def wordpiece_tokens(spark, d):
+    w = words(spark, d).where("lang = 'en'").groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
+    return merges.wordpieces(w, merges.train_wordpiece(w, 400, most=2_000))
+
+
+# Files
+
+URLS = "u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '/$', '') AS path FROM pages), f AS (SELECT page_id, path, regexp_replace(path, '^.*/', '', 's') AS name FROM u)"
+
+
+def url_names(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", r"(?s)[?#].*$", ""), "/$", "")
+    return X.table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("name", F.substring_index("path", "/", -1))
+
+
+@query(f"WITH {URLS} SELECT page_id, name, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN '_v' || (row_number() OVER (PARTITION BY name ORDER BY path, page_id) - 1) ELSE '' END AS version FROM f")
+def version_dedupe(spark, d):
+    return files.versioned(url_names(spark, d), ["name"], ["path", "page_id"]).drop("path")
+
+
+@query("WITH x AS (SELECT o_custkey AS artist, 'song' || (o_orderkey % 7) || CASE WHEN o_orderkey % 3 > 0 THEN '.' || (o_orderkey % 3) ELSE '' END AS name FROM orders), v AS (SELECT artist, name, CASE WHEN regexp_matches(name, '^(.*)\\.([1-9][0-9]*)$') THEN regexp_extract(name, '^(.*)\\.([1-9][0-9]*)$', 1) ELSE name END AS title, CASE WHEN regexp_matches(name, '^(.*)\\.([1-9][0-9]*)$') THEN CAST(regexp_extract(name, '^(.*)\\.([1-9][0-9]*)$', 2) AS INT) ELSE 0 END AS version FROM x) SELECT artist, title, min_by(name, version) AS name, min(version) AS version FROM v GROUP BY ALL")
+def min_version(spark, d):
+    o = X.table(spark, d, "orders")
+    name = F.concat(F.lit("song"), (F.col("o_orderkey") % 7).cast("string"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("."), (F.col("o_orderkey") % 3).cast("string"))).otherwise(""))
+    title, version = files.title_and_version(F.col("name"))
+    rows = o.select(F.col("o_custkey").alias("artist"), name.alias("name")).withColumns({"title": title, "version": version})
+    return files.lowest_versions(rows, ["artist", "title"], "version", "name")
+
+
+@query("SELECT p_partkey AS name, CASE WHEN p_partkey % 3 > 0 THEN 'MS' WHEN p_partkey % 2 = 0 THEN 'LP' ELSE 'NA' END AS backend, CASE WHEN p_partkey % 3 > 0 OR p_partkey % 2 = 0 THEN 'converted' ELSE 'error' END AS status FROM part")
+def conversion_status(spark, d):
+    listing = X.table(spark, d, "part").select(F.col("p_partkey").alias("name"))
+    return files.conversion(listing, listing.where("name % 3 > 0"), listing.where("name % 2 = 0"))
+
+
+@query("SELECT count(*) AS n_file, count(DISTINCT o_custkey) AS n_artist, count(DISTINCT (o_custkey, o_orderpriority)) AS n_song FROM orders")
+def corpus_totals(spark, d):
+    return files.totals(X.songs(spark, d).select("artist", F.col("dataset").alias("title")))
+
+
+@query("SELECT p_partkey, lpad(CAST(p_partkey - p_partkey % 1000 AS VARCHAR), 6, '0') || '-' || lpad(CAST(least(p_partkey - p_partkey % 1000 + 1000, 178561) - 1 AS VARCHAR), 6, '0') || '/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS name FROM part")
+def ordinal_names(spark, d):
+    return X.table(spark, d, "part").select("p_partkey", files.ordinal_name(F.col("p_partkey"), 178_561, 1000).alias("name"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 1)")
+def split_membership(spark, d):
+    songs = X.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("title"))
+    titles = X.table(spark, d, "nation").where("n_nationkey % 4 = 1").select(F.col("n_nationkey").cast("string").alias("title"))
+    return files.by_title(songs, titles).select("c_custkey")
+
+
+# Training logs
+
+LOG = "lg AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 + 100 * (ascii(event_type) % 5) AS step, value FROM events)"
+
+
+def log(spark, d):
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    return X.table(spark, d, "events").select(F.col("event_type").alias("run"), (F.row_number().over(w) - 1 + 100 * (F.ascii("event_type") % 5)).cast("long").alias("step"), "value")
+
+
+@query("WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_id % 11 = 0 THEN -100 ELSE event_id % 4 END AS label, (event_id // 2) % 4 AS pred FROM events), x AS (SELECT *, lead(label) OVER (PARTITION BY user_id ORDER BY pos) AS want FROM p) SELECT user_id, round(avg(CAST(pred = want AS INT)), 6) AS accuracy, count(*) AS n FROM x WHERE want IS NOT NULL AND want <> -100 GROUP BY user_id")
+def ntp_accuracy(spark, d):
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    label = F.when(F.col("event_id") % 11 == 0, -100).otherwise(F.col("event_id") % 4)
+    preds = X.table(spark, d, "events").select("user_id", pos.alias("pos"), label.alias("label"), (F.floor(F.col("event_id") / 2) % 4).alias("pred"))
+    return stats.next_token_accuracy(preds, "user_id")
+
+
+@query()
+def ema_smooth(spark, d):
+    return stats.smoothed(log(spark, d), "run")
+
+
+@query(f"WITH {LOG}, s AS (SELECT run, min(step) AS first FROM lg GROUP BY run), b AS (SELECT run, lead(first) OVER (ORDER BY run) AS until FROM s) SELECT lg.run, step, value FROM lg JOIN b USING (run) WHERE until IS NULL OR step < until")
+def log_stitch(spark, d):
+    return stats.stitched(log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT run, step FROM lg WHERE false")
+def log_breaks(spark, d):
+    return stats.breaks(log(spark, d), "run")
+
+
+@query(f"WITH {LOG} SELECT step, max(CASE WHEN run = 'click' THEN round(value, 6) END) AS click, max(CASE WHEN run = 'view' THEN round(value, 6) END) AS view FROM lg GROUP BY step")
+def log_pivot(spark, d):
+    return log(spark, d).groupBy("step").pivot("run", ["click", "view"]).agg(F.round(F.max("value"), 6))
+
+
+# Streaming
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_stream(spark, d):
+    return windows.hourly(spark, f"{d}/events.parquet")
