@@ -82,7 +82,7 @@ def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
     def better(a: int, b: int) -> bool:
         return a > b if high else a < b
 
-    def sweep(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         groups: dict[int, list] = {}
         for r in pdf.itertuples():
             if r.end > r.start:
@@ -136,7 +136,7 @@ def tuplets(elements: DataFrame, n: int = 3, unit_slots: int = 4) -> DataFrame:
     A short rest of a stretch joins the group before it when its total is such a multiple too; other rests have no group (-1).
     """
 
-    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "end", "midi", "id"])
         number, count, total, first, labels = 0, 0, 0, 0, []
         for k, r in enumerate(pdf.itertuples()):
