@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -29,7 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="neumata-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()  # what led here is no longer referred to: let Spark delete its shuffle files now, not some time later
+    sc._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

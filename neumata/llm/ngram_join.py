@@ -31,6 +31,8 @@ WIDTH, THRESHOLD = 4, 85
 COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 15, 64, 1 << 16
 #: Rows of a column that go into one block.
 BLOCK = 2048
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 2048
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +92,12 @@ def first_of_their_kind(sets: list[np.ndarray], seen: set, most: int = 1 << 18):
             yield c, grams
 
 
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of n-grams in each of SKETCH_BITS parts: every bit in which two sketches differ is the work of a n-gram that one set lacks."""
+    odd = np.bincount((grams.view(np.uint64) >> np.uint64(7)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def tally(kept: tuple, new: np.ndarray, most: int) -> tuple:
     """Counters of columns after another batch; the least frequent go when there are too many."""
     u, c = np.unique(new, return_counts=True)
@@ -103,20 +111,20 @@ def tally(kept: tuple, new: np.ndarray, most: int) -> tuple:
 
 
 def rows_of(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n, cls of every document; kind 1: doc_id is a column, n its count within a task."""
+    """kind 0: doc_id, n, cls, sketch of every document; kind 1: doc_id is a column, n its count within a task."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         make, seen, kept = Shingler(width), set(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        names = ["kind", "doc_id", "n", "cls"]
+        names, longs = ["kind", "doc_id", "n", "cls", "sketch"], pa.list_(pa.int64())
         for ids, texts in texts_of(batches):
             sets = make(texts)
             fresh = [g for _, g in first_of_their_kind(sets, seen)]
             kept = tally(kept, np.concatenate([np.zeros(0, np.int64), *fresh]), COUNTERS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([class_of(g) for g in sets], pa.int64())], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kept[0]), np.int32)), pa.array(kept[0]), pa.array(kept[1]), pa.array(np.zeros(len(kept[0]), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([class_of(g) for g in sets], pa.int64()), pa.array([sketch_of(g) for g in sets], longs)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kept[0]), np.int32)), pa.array(kept[0]), pa.array(kept[1]), pa.array(np.zeros(len(kept[0]), np.int64)), pa.nulls(len(kept[0]), longs)], names)
 
-    return documents(docs).mapInArrow(run, "kind int, doc_id long, n long, cls long")
+    return documents(docs).mapInArrow(run, "kind int, doc_id long, n long, cls long, sketch array<long>")
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -200,7 +208,18 @@ def may_reach(threshold: int, n, m, pos, other) -> F.Column:
     return (100 * small >= threshold * large) & ((100 + threshold) * most >= threshold * (n + m))
 
 
-def multiply(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, width: int, threshold: int) -> DataFrame:
+def near_enough(pairs: DataFrame, every: DataFrame, threshold: int) -> DataFrame:
+    """a, b: the pairs (of representatives a, b) that their sketches do not rule out.
+
+    Sets of n and m elements that reach the threshold t differ in (1 - t) / (1 + t) * (n + m) elements at most.
+    """
+    of = lambda node, x: every.select(F.col("doc_id").alias(node), F.col("n").alias(f"n{x}"), F.col("sketch").alias(x))
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    bound = (100 + threshold) * differ <= (100 - threshold) * (F.col("nx") + F.col("ny"))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(bound).select("a", "b").distinct()
+
+
+def multiply(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
     """a, b: those of the pairs of representatives whose whole rows reach the threshold."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
@@ -233,7 +252,7 @@ def components(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = cut(rows_of(docs, width))
-    every = base.where("kind = 0").select("doc_id", "n", "cls")
+    every = base.where("kind = 0").select("doc_id", "n", "cls", "sketch")
     counted = base.where("kind = 1").groupBy(F.col("doc_id").alias("gram")).agg(F.sum("n").alias("c"))
     frequent = [tuple(r) for r in counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "gram").limit(MOST_FREQUENT).collect()]
     kinds = every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -258,13 +277,14 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
         pairs = pairs.distinct()
         p, q = kinds.select(F.col("cls").alias("p"), F.col("rep").alias("a")), kinds.select(F.col("cls").alias("q"), F.col("rep").alias("b"))
         pairs = pairs.join(p, "p").join(q, "q").select("a", "b")
+        pairs = near_enough(pairs, every, threshold)
         pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-        new = cut(multiply(docs, pairs, kinds, width, threshold))
+        new = cut(multiply(docs, pairs, width, threshold))
         links, asked = (new if links is None else links.union(new)), pairs
     roots = components(links)
     places = kinds.join(roots, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("root"))
     key = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("doc_id"))
-    return every.withColumn("cls", key).join(places, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    return every.select("doc_id", "n", key.alias("cls")).join(places, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
