@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -82,11 +84,11 @@ def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
     def better(a: int, b: int) -> bool:
         return a > b if high else a < b
 
-    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sweep(rows: list[tuple]) -> list[tuple]:
         groups: dict[int, list] = {}
-        for r in pdf.itertuples():
-            if r.end > r.start:
-                groups.setdefault(r.start, []).append([r.start, r.end, r.midi, r.id])
+        for start, end, midi, i in rows:
+            if end > start:
+                groups.setdefault(start, []).append([start, end, midi, i])
         while True:
             out, last, again = [], 0, False
             for start in sorted(groups):
@@ -112,16 +114,46 @@ def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
                     again = True
                     break
             if not again:
-                break
-        cols = ["start", "end", "midi", "id"]
-        got = pd.DataFrame(out, columns=cols).astype({"start": "int32", "end": "int32", "midi": "int32", "id": "int64"})
-        for name, value in zip(BAR, key, strict=True):
-            got[name] = value
-        return got[[*BAR, "id", "start", "end", "midi"]]
+                return [(i, start, end, midi) for start, end, midi, i in out]
+
+    return each_bar(notes, sweep, "id long, start int, end int, midi int")
+
 
+def each_bar(notes: DataFrame, work, schema: str) -> DataFrame:
+    """BAR and the columns of schema: work(rows) of each bar, rows (start, end, midi, id) in order.
+
+    Bars come one after the other from sorted partitions, many to a batch; one bar alone is held back between batches.
+    """
+    columns = [*BAR, "start", "end", "midi", "id"]
     kinds = {f.name: f.dataType.simpleString() for f in notes.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in BAR) + ", id long, start int, end int, midi int"
-    return notes.groupBy(*BAR).applyInPandas(sweep, schema)
+    names = [*BAR, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def done(rows: list[tuple]) -> list[tuple]:
+            out = []
+            for key, group in groupby(rows, key=lambda r: r[: len(BAR)]):
+                out += [(*key, *r) for r in work([g[len(BAR) :] for g in group])]
+            return out
+
+        for b in batches:
+            held += zip(*(b.column(k).to_pylist() for k in range(len(columns))), strict=True)
+            last = held[-1][: len(BAR)] if held else None
+            whole = next((k for k in range(len(held), 0, -1) if held[k - 1][: len(BAR)] != last), 0)
+            if whole:
+                yield done(held[:whole])
+                held = held[whole:]
+        yield done(held)
+
+    def arrow(batches):
+        for rows in run(batches):
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            kinds_ = [pa.int64() if kinds[c] == "bigint" else pa.int32() if kinds[c] == "int" else pa.string() for c in BAR] + [pa.int64() if c.endswith("long") else pa.int32() for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds_, strict=True)], names=names)
+
+    sorted_ = notes.select(*columns).repartition(*BAR).sortWithinPartitions(*columns)
+    return sorted_.mapInArrow(arrow, ", ".join(f"{c} {kinds[c]}" for c in BAR) + f", {schema}")
 
 
 def bass_of(notes: DataFrame, melody: DataFrame) -> DataFrame:
@@ -136,21 +168,16 @@ def tuplets(elements: DataFrame, n: int = 3, unit_slots: int = 4) -> DataFrame:
     A short rest of a stretch joins the group before it when its total is such a multiple too; other rests have no group (-1).
     """
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "midi", "id"])
+    def group(rows: list[tuple]) -> list[tuple]:
         number, count, total, first, labels = 0, 0, 0, 0, []
-        for k, r in enumerate(pdf.itertuples()):
+        for k, (start, end, _, _) in enumerate(rows):
             labels.append(number)
-            count, total = count + 1, total + r.end - r.start
+            count, total = count + 1, total + end - start
             if count >= n and total % unit_slots == 0:
                 number, count, total, first = number + 1, 0, 0, k + 1
         if count:
             mark = number - 1 if total % unit_slots == 0 and number else -1
             labels[first:] = [mark] * (len(labels) - first)
-        out = pdf[["id"]].assign(tuplet=labels).astype({"id": "int64", "tuplet": "int32"})
-        for name, value in zip(BAR, key, strict=True):
-            out[name] = value
-        return out[[*BAR, "id", "tuplet"]]
+        return [(r[3], label) for r, label in zip(rows, labels, strict=True)]
 
-    kinds = {f.name: f.dataType.simpleString() for f in elements.schema}
-    return elements.groupBy(*BAR).applyInPandas(group, ", ".join(f"{c} {kinds[c]}" for c in BAR) + ", id long, tuplet int")
+    return each_bar(elements, group, "id long, tuplet int")
