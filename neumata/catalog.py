@@ -502,6 +502,11 @@ def pair_merge_round_trip_violations(spark, d):
     return texts.join(again, "song_id").where("score <> again").select("song_id")
 
 
+@query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT song_id, string_agg(chr(CAST(id + 19968 AS INT)), '' ORDER BY pos) AS chars FROM tokens JOIN vocab USING (tok) GROUP BY song_id")
+def score_characters(spark, d):
+    return merges.to_chars(tokens.encoded(parsed(spark, d), dims.vocab(spark)))
+
+
 @query()
 def wordpiece_tokens(spark, d):
     w = words(spark, d).where("lang = 'en'").groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))

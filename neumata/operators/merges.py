@@ -46,7 +46,7 @@ def train_wordpiece(words: DataFrame, size: int, most: int = 100_000) -> list[st
 
     Counting words is the caller's distributed aggregation; the bounded list of distinct words is merged on the driver.
     """
-    rows = words.orderBy(F.desc("n"), "word").limit(most).select("n", F.transform(F.split("word", "(?!^)"), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c))).alias("p")).cache()
+    rows = words.orderBy(F.desc("n"), "word").limit(most).select("n", F.transform(F.split("word", r"(?!\A)(?!\z)"), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c))).alias("p")).cache()
     pieces = sorted(r[0] for r in rows.select(F.explode("p")).distinct().collect())
     local = [(r["n"], list(r["p"])) for r in rows.collect()]
     rows.unpersist()
@@ -92,3 +92,20 @@ def wordpieces(words: DataFrame, pieces: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([cut(x or "") for x in w], pa.list_(pa.string()))], ["word", "pieces"])
 
     return words.select("word").mapInArrow(run, "word string, pieces array<string>")
+
+
+#: The first of the characters that stand for token ids.
+FIRST_CHARACTER = 0x4E00
+
+
+def to_chars(encoded: DataFrame) -> DataFrame:
+    """song_id, chars: every token (song_id, pos, id) as one character, so that piece trainers for text can be used; unknown tokens are left out."""
+    char = F.decode(F.unhex(F.lpad(F.hex(F.col("id") + FIRST_CHARACTER), 4, "0")), "UTF-16BE")
+    got = encoded.where("id is not null").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", char.alias("c")))).alias("x"))
+    return got.select("song_id", F.array_join(F.transform("x", lambda x: x["c"]), "").alias("chars"))
+
+
+def from_chars(chars: DataFrame) -> DataFrame:
+    """song_id, pos, id: the ids that characters stand for."""
+    rows = chars.select("song_id", F.posexplode(F.split("chars", r"(?!\A)(?!\z)")).alias("pos", "c"))
+    return rows.select("song_id", "pos", (F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("int") - FIRST_CHARACTER).alias("id"))

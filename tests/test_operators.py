@@ -206,3 +206,9 @@ def test_extraction(spark, tmp_path):
     assert r[0].seconds == 2 and r[0]["keys"]
     assert tokens.violations(tokens.parse(extract.extract(files))).count() == 0
     assert extract.warnings_of(files).count() == 0
+
+
+def test_characters_round_trip(spark, parsed):
+    e = tokens.encoded(parsed, dims.vocab(spark))
+    back = merges.from_chars(merges.to_chars(e))
+    assert [r.id for r in back.orderBy("pos").collect()] == [r.id for r in e.where("id is not null").orderBy("pos").collect()]
