@@ -35,11 +35,11 @@ NEVER = -np.inf
 class Model:
     """Pieces, their scores, and words already encoded (with a bound)."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.normalize, self.most, self.words, self.pairs = sp.normalize, most, {}, {}
+        self.normalize, self.whole, self.most, self.words, self.pairs = sp.normalize, sp.encode, most, {}, {}
         every = range(sp.get_piece_size())
         self.ids = {sp.id_to_piece(i): i for i in every if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
@@ -75,7 +75,9 @@ class Model:
         if (got := self.words.get(word)) is None:
             if len(self.words) > self.most:
                 self.words.clear()
-            got = self.words[word] = np.array(self.ids_of(self.pieces(word)), np.int32)
+            # the library puts one blank before what it encodes, so it gives a word after one blank as it stands here
+            ids = self.whole(word[1:]) if word[0] == BLANK and len(word) > 1 and word[1] != BLANK else self.ids_of(self.pieces(word))
+            got = self.words[word] = np.array(ids, np.int32)
         return got
 
     def plain(self, text: str) -> np.ndarray:
