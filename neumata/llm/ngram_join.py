@@ -5,10 +5,11 @@ takes part only where it can matter: with rare columns first, two sets that reac
 first n - ceil(t * n) + 1 of each. Columns are dealt out in blocks (long ones in several, by a salt); within a block all
 pairs whose sizes and positions still allow the threshold count as candidates, and their whole rows are multiplied.
 
-So that a large group of near copies costs no pairs within it, the product runs in two rounds. The first multiplies the
+So that a large group of near copies costs no pairs within it, the product runs in three rounds. The first multiplies the
 members of a column with one pivot each, which links such groups. The second takes the columns that still hold rows of
-several components and multiplies the pairs across components. Every pair that reaches the threshold is thus either
-multiplied or already connected: no link between components is lost, and no cap is set on anything.
+several components, and multiplies the most alike pair of each two components; the third multiplies all other pairs whose
+components are still apart. Every pair that reaches the threshold is thus either multiplied or already connected: no link
+between components is lost, and no cap is set on anything.
 
 Null texts and texts without words have an empty set and stay alone; repeated rows and ids each give a row.
 """
@@ -33,6 +34,10 @@ COUNTERS, FREQUENT, MOST_FREQUENT = 1 << 15, 64, 1 << 16
 BLOCK = 2048
 #: Bits of a set's parity sketch.
 SKETCH_BITS = 2048
+#: Ids (eight bytes each) that may be broadcast, once counted.
+MOST_BROADCAST = 500_000
+#: Longs of the coarser sketch that goes along with cells in the second round.
+FOLDED = 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,9 +224,24 @@ def near_enough(pairs: DataFrame, every: DataFrame, threshold: int) -> DataFrame
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(bound).select("a", "b").distinct()
 
 
+def folded(every: DataFrame) -> DataFrame:
+    """rep, s0..: sketches of FOLDED longs; parts of a sketch taken together are a coarser sketch."""
+    parts = SKETCH_BITS // 64
+
+    def fold(k: int):
+        out = F.col("sketch")[k]
+        for j in range(k + FOLDED, parts, FOLDED):
+            out = out.bitwiseXOR(F.col("sketch")[j])
+        return out.alias(f"s{k}")
+
+    return every.select(F.col("doc_id").alias("rep"), *(fold(k) for k in range(FOLDED)))
+
+
 def multiply(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
     """a, b: those of the pairs of representatives whose whole rows reach the threshold."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    needed = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    if needed.count() <= MOST_BROADCAST:  # beyond it the join shuffles
+        needed = F.broadcast(needed)
 
     def run(batches):
         make = Shingler(width)
@@ -257,31 +277,43 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
     frequent = [tuple(r) for r in counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "gram").limit(MOST_FREQUENT).collect()]
     kinds = every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     cells = cut(shared_columns(incidence(docs, width, threshold, frequent)))
-    links, asked = None, None
-    for round_ in (1, 2):
-        if round_ == 1:
-            own = cells.select("cls", "n", "pos", "pivot", "pivot_n", "pivot_pos")
-            heads = cells.where("salt >= 0").select("gram", F.struct(F.col("pivot").alias("cls"), F.col("pivot_n").alias("n"), F.col("pivot_pos").alias("pos")).alias("head")).distinct()
-            first = heads.groupBy("gram").agg(F.min("head").alias("top"))
-            across = heads.join(first, "gram").select("head.*", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.pos").alias("pivot_pos"))
-            found = own.union(across).where("cls <> pivot").where(may_reach(threshold, F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos")))
-            pairs = found.select(F.least("cls", "pivot").alias("p"), F.greatest("cls", "pivot").alias("q"))
-        else:
-            of = kinds.join(components(links), F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("root"))
-            placed = cells.select("gram", "cls", "n", "pos").join(of, "cls")
-            open_ = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("gram")
-            placed = cut(placed.join(open_, "gram", "left_semi"))
-            x, y = placed.alias("x"), placed.alias("y")
-            crossed = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-            pairs = x.join(y, crossed & may_reach(threshold, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))).select(F.col("x.cls").alias("p"), F.col("y.cls").alias("q"))
-        pairs = pairs.distinct()
-        p, q = kinds.select(F.col("cls").alias("p"), F.col("rep").alias("a")), kinds.select(F.col("cls").alias("q"), F.col("rep").alias("b"))
-        pairs = pairs.join(p, "p").join(q, "q").select("a", "b")
-        pairs = near_enough(pairs, every, threshold)
-        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-        new = cut(multiply(docs, pairs, width, threshold))
-        links, asked = (new if links is None else links.union(new)), pairs
+    p, q = kinds.select(F.col("cls").alias("p"), F.col("rep").alias("a")), kinds.select(F.col("cls").alias("q"), F.col("rep").alias("b"))
+
+    def ask(pairs: DataFrame) -> DataFrame:
+        """a, b: which of the pairs of classes (p, q) reach the threshold."""
+        near = cut(near_enough(pairs.join(p, "p").join(q, "q").select("a", "b"), every, threshold))
+        return cut(multiply(docs, near, width, threshold))
+
+    # Round 1: each block's members with its pivot, and the pivots of a long column with one of them.
+    own = cells.select("cls", "n", "pos", "pivot", "pivot_n", "pivot_pos")
+    heads = cells.where("salt >= 0").select("gram", F.struct(F.col("pivot").alias("cls"), F.col("pivot_n").alias("n"), F.col("pivot_pos").alias("pos")).alias("head")).distinct()
+    first = heads.groupBy("gram").agg(F.min("head").alias("top"))
+    across = heads.join(first, "gram").select("head.*", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.pos").alias("pivot_pos"))
+    found = own.union(across).where("cls <> pivot").where(may_reach(threshold, F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos")))
+    links = ask(found.select(F.least("cls", "pivot").alias("p"), F.greatest("cls", "pivot").alias("q")).distinct())
+
+    # Round 2: of each two components that a column holds, the two rows that look most alike.
+    of = kinds.join(components(links), F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = cells.select("gram", "cls", "n", "pos").join(of, "cls")
+    open_ = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("gram")
+    placed = cut(placed.join(open_, "gram", "left_semi").join(folded(every), "rep"))
+    x, y = placed.alias("x"), placed.alias("y")
+    crossed = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    differ = sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(FOLDED))
+    alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, crossed & may_reach(threshold, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")) & alike)
+    met = cut(met.select(F.col("x.cls").alias("p"), F.col("y.cls").alias("q"), F.least("x.root", "y.root").alias("r"), F.greatest("x.root", "y.root").alias("s"), differ.alias("d")).distinct())
+    best = cut(met.groupBy("r", "s").agg(F.min(F.struct("d", "p", "q")).alias("m")).select("m.p", "m.q"))
+    links = cut(links.union(ask(best)))
+
+    # Round 3: all others whose components are still apart.
     roots = components(links)
+    left, right = roots.select(F.col("node").alias("r"), F.col("root").alias("r2")), roots.select(F.col("node").alias("s"), F.col("root").alias("s2"))
+    rest = met.join(left, "r", "left").join(right, "s", "left").where(F.coalesce("r2", "r") != F.coalesce("s2", "s")).select("p", "q")
+    rest = cut(rest.join(best, ["p", "q"], "left_anti").distinct())
+    if rest.limit(1).count():
+        links = cut(links.union(ask(rest)))
+        roots = components(links)
     places = kinds.join(roots, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("root"))
     key = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("doc_id"))
     return every.select("doc_id", "n", key.alias("cls")).join(places, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
