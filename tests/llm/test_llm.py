@@ -211,6 +211,19 @@ def test_url_templates_are_learnt(spark):
     assert got[41].verdict == "allow" and got[5].template == "/es/*"
 
 
+def test_url_templates_without_labels(spark):
+    """Templates without labels take their siblings' share, else their host's, else that of all; paths are told apart to their end."""
+    urls = [f"http://bad.net/{x}/{k}" for x in ("es", "fr", "en") for k in range(30)] + [f"http://{h}.org/en/{k}" for h in ("a", "b") for k in range(5)]
+    urls += ["http://bad.net/en", "http://a.com/1", "http://b.com/2"] + [f"http://c.com/a/b/c/d/{k}/{x}" for x in ("in", "out") for k in range(5)]
+    rules = [("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "a.com", "/"), ("allow", "b.com", "/"), ("block", "c.com", "/a/b/c/d/1/in")]
+    got = {r.path if r.host == "c.com" else f"{r.host}{r.path}": r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    prior = 61 / 63
+    want = (60 + url_filters.PRIOR_WEIGHT * prior) / (60 + url_filters.PRIOR_WEIGHT)
+    assert got["bad.net/en/7"].purity == got["bad.net/en"].purity == pytest.approx(want) and got["bad.net/en/7"].verdict == "block"
+    assert got["a.org/en/3"].purity == pytest.approx(prior) and got["/a/b/c/d/3/in"].template == "/a/b/c/d/*/in"
+    assert got["/a/b/c/d/3/out"].template == "/a/b/c/d/*/out" and all(r.purity is not None for r in got.values())
+
+
 def test_fingerprints(docs, odd, empty):
     for df in (docs, odd):
         all_ = texts(df)
