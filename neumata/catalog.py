@@ -509,8 +509,8 @@ def score_characters(spark, d):
 
 @query()
 def wordpiece_tokens(spark, d):
-    w = words(spark, d).where("lang = 'en'").groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
-    return merges.wordpieces(w, merges.train_wordpiece(w, 400, most=2_000))
+    w = words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
+    return merges.wordpieces(w, merges.train_wordpiece(w, 400))
 
 
 # Files

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..llm.common import cut
+
+#: Merges that are repeated in every round before the blocks of words are written anew.
+MERGES = 64
+
 
 def element_counts(elements: DataFrame) -> DataFrame:
     """elm_text, n, rank: elements of more than one token, from the most frequent on."""
@@ -41,31 +47,113 @@ def texts_of(tokens: DataFrame) -> DataFrame:
     return got.select("song_id", F.array_join(F.transform("t", lambda x: x["tok"]), " ").alias("score"))
 
 
-def train_wordpiece(words: DataFrame, size: int, most: int = 100_000) -> list[str]:
-    """Pieces by repeated merging of the most frequent pair of neighbours. words: word, n (distinct; at most `most` are used).
+def merged(ids: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
+    """Pieces of words, each word followed by -1, with each a b (from the left) as new."""
+    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+    if a == b and len(hit):  # in a run of the same piece, every other place
+        start = np.concatenate([[True], np.diff(hit) != 1])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
+        hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
+    ids[hit] = new
+    return np.delete(ids, hit + 1)
+
 
-    Counting words is the caller's distributed aggregation; the bounded list of distinct words is merged on the driver.
+def sure_merges(pairs: dict[tuple[str, str], int], room: int) -> list[tuple[str, str, str]]:
+    """The next merges (a, b, new) that follow from the counts of all pairs, without a new count: at least one, at most room.
+
+    A merge of a and b lowers the counts of pairs that end in a or begin with b, and makes pairs with the new piece, which
+    are no more than the pairs they come from. With these bounds, the first pair is sure while its own count is exact.
     """
-    rows = words.orderBy(F.desc("n"), "word").limit(most).select("n", F.transform(F.split("word", r"(?!\A)(?!\z)"), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c))).alias("p")).cache()
-    pieces = sorted(r[0] for r in rows.select(F.explode("p")).distinct().collect())
-    local = [(r["n"], list(r["p"])) for r in rows.collect()]
-    rows.unpersist()
-    while len(pieces) < size:
-        pairs: dict[tuple[str, str], int] = {}
-        for n, p in local:
-            for x in zip(p, p[1:], strict=False):
-                pairs[x] = pairs.get(x, 0) + n
-        if not pairs:
+    most, bounds, out = dict(pairs), set(), []
+    while most and len(out) < room:
+        a, b = best = min(most, key=lambda x: (-most[x], x))
+        if best in bounds:
             break
-        a, b = min(pairs, key=lambda x: (-pairs[x], x))
         new = a + b.removeprefix("##")
-        pieces.append(new)
-        for _, p in local:
-            k = 0
-            while k < len(p) - 1:
-                if (p[k], p[k + 1]) == (a, b):
-                    p[k : k + 2] = [new]
-                k += 1
+        out.append((a, b, new))
+        if any(new in x for x in most):  # the same piece, made otherwise before
+            break
+        n = most.pop(best)
+        made = {(new, new): n} | ({(new, a): n} if a == b else {})
+        for x in [x for x in most if x[1] == a or x[0] == b]:
+            bounds.add(x)
+            made |= {y: min(n, most[x]) for y in [(x[0], new)] * (x[1] == a) + [(new, x[1])] * (x[0] == b)}
+        most |= made
+        bounds |= set(made)
+    return out
+
+
+def train_wordpiece(words: DataFrame, size: int) -> list[str]:
+    """Pieces by repeated merging of the most frequent pair of neighbours (of equals, the first by name). words: word, n (distinct).
+
+    Words lie in blocks of piece ids over the cluster. Each round counts all pairs of neighbours (at most the square of the
+    pieces) and takes all merges that are sure by these counts. The driver holds pieces and pairs alone.
+    """
+
+    def split(word):
+        return [c if i == 0 else f"##{c}" for i, c in enumerate(word)]
+
+    def alphabet(batches):
+        found = set()
+        for b in batches:
+            found.update(*map(split, b.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["p"])
+
+    rows = cut(words.where("word <> ''").select("word", F.col("n").cast("long").alias("n")))
+    pieces = sorted(r.p for r in rows.select("word").mapInArrow(alphabet, "p string").distinct().collect())
+    if len(pieces) >= size:
+        return pieces
+    number = {p: k for k, p in enumerate(pieces)}
+
+    def blocks(batches):
+        for b in batches:
+            ids = [k for w in b.column(0).to_pylist() for k in (*map(number.get, split(w)), -1)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), pa.array([b.column(1).to_pylist()], pa.list_(pa.int64()))], ["ids", "n"])
+
+    def flat(column):
+        return column.flatten().to_numpy(zero_copy_only=False)
+
+    def merging(steps):
+        def run(batches):
+            for b in batches:
+                for k in range(b.num_rows):
+                    ids, n = flat(b.column(0).slice(k, 1)).copy(), b.column(1).slice(k, 1)
+                    for step in steps:
+                        ids = merged(ids, *step)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), n], ["ids", "n"])
+
+        return run
+
+    def counting(steps):
+        def run(batches):
+            of: dict[int, int] = {}
+            for b in merging(steps)(batches):
+                ids, n = flat(b.column(0)), flat(b.column(1))
+                n = n[np.cumsum(ids < 0) - (ids < 0)]
+                near = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+                u, at = np.unique(ids[near].astype(np.int64) << 32 | ids[near + 1], return_inverse=True)
+                total = np.zeros(len(u), np.int64)
+                np.add.at(total, at, n[near])
+                for x, c in zip(u.tolist(), total.tolist(), strict=True):
+                    of[x] = of.get(x, 0) + c
+            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), pa.array(list(of.values()), pa.int64())], ["pair", "c"])
+
+        return run
+
+    state, steps = cut(rows.mapInArrow(blocks, "ids array<int>, n array<long>")), []
+    while len(pieces) < size:
+        if len(steps) >= MERGES:
+            state, steps = cut(state.mapInArrow(merging(steps), state.schema)), []
+        found = state.mapInArrow(counting(steps), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()
+        sure = sure_merges({(pieces[r.pair >> 32], pieces[r.pair & 0xFFFFFFFF]): r.c for r in found}, size - len(pieces))
+        if not sure:
+            break
+        steps = list(steps)
+        for a, b, new in sure:
+            number.setdefault(new, len(pieces))
+            steps.append((number[a], number[b], number[new]))
+            pieces.append(new)
     return pieces
 
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -133,6 +134,46 @@ def test_wordpieces(spark):
     assert merges.wordpieces(spark.createDataFrame([("q",)], "word string"), pieces).first().pieces == ["[UNK]"]
 
 
+def plain_wordpiece(words, size):
+    local = [(n, [c if i == 0 else f"##{c}" for i, c in enumerate(w)]) for w, n in words]
+    pieces = sorted({x for _, p in local for x in p})
+    while len(pieces) < size:
+        pairs = {}
+        for n, p in local:
+            for x in zip(p, p[1:], strict=False):
+                pairs[x] = pairs.get(x, 0) + n
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda x: (-pairs[x], x))
+        pieces.append(a + b.removeprefix("##"))
+        for _, p in local:
+            k = 0
+            while k < len(p) - 1:
+                if (p[k], p[k + 1]) == (a, b):
+                    p[k : k + 2] = [pieces[-1]]
+                k += 1
+    return pieces
+
+
+@pytest.mark.parametrize("letters", ["abc", "ab", "abcdefghijklmnopqrstuvwxyzé日"])
+def test_wordpiece_training(spark, letters):
+    rng = random.Random(len(letters))
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(400)})
+    rows = [(w, rng.randint(1, 9)) for w in words]
+    assert merges.train_wordpiece(spark.createDataFrame(rows, "word string, n long"), 150) == plain_wordpiece(rows, 150)
+
+
+def test_wordpiece_query_takes_all_words(spark):
+    """Words of every language, and none of them without its pieces."""
+    from neumata import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = {r.word: r.pieces for r in catalog.queries()["wordpiece_tokens"](spark, d).collect()}
+    counts = {r.tok: r.n for r in catalog.words(spark, d).groupBy("tok").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == set(counts) and ["[UNK]"] not in got.values()
+    assert {p for v in got.values() for p in v} <= set(plain_wordpiece(sorted(counts.items()), 400))
+
+
 def test_smoothing(spark):
     log = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate([1, 2, 4])], "run string, step long, value double")
     assert stats.smoothed(log, "run", 0.5).first()["last"] == 2.75
