@@ -22,8 +22,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the one with the smallest id) of each group of near duplicates."""
-    return ngram_join.keep_one(docs)
+    """One document (the one with the smallest id) of each group of near duplicates: 80 % of their shingles of five words in common."""
+    return ngram_join.keep_one(docs, width=5, threshold=80)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,6 +354,25 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in rows} == set(after) and labels.count()
 
 
+def test_pipeline_takes_shingles_of_five_words(spark):
+    """The near-duplicate stage against all pairs of 5-word sets at 0.8, with a pair that only this width and threshold links."""
+    import corpus_pipeline
+
+    base = [f"u{k}" for k in range(100)]
+    other = [f"new{k}" if k in (30, 60) else w for k, w in enumerate(base)]
+    pair = spark.createDataFrame([(1000, " ".join(base)), (1001, " ".join(other))], "doc_id long, text string")
+    df = near_copies(spark).union(pair)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts(df).items())}
+    root = {i: i for i in sets}
+    for b in sorted(sets):
+        for a in sorted(sets):
+            if a < b and root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert root[1001] == 1000
+    assert {r.doc_id for r in corpus_pipeline.single(spark, df, SF).collect()} == set(root.values())
+
+
 def test_queries_run(spark):
     for name, query in queries.queries().items():
         assert query(spark, SF).count() > 0, name
