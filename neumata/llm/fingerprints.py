@@ -25,7 +25,7 @@ TWO_LANES = 0x0000000100000001
 
 
 def vectors(texts: DataFrame) -> DataFrame:
-    """doc_id, equal array<bigint>, signs array<smallint> (modulo 2^16), phrases: the summed vectors of each text."""
+    """doc_id, equal array<bigint>, signs array<int> (modulo 2^32), phrases: the summed vectors of each text."""
     lines = texts.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     hashed = lines.select("doc_id", "line", F.sha2("line", 256).alias("h"))
     lanes = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long").alias(f"e{k}") for k in range(EQUAL_LANES)]
@@ -36,8 +36,8 @@ def vectors(texts: DataFrame) -> DataFrame:
     sums = [F.sum(F.shiftright(f"h{w}", k).bitwiseAND(F.lit(TWO_LANES))).alias(f"s{w}_{k}") for w in range(words) for k in range(32)]
     summed = bits.groupBy("doc_id").agg(F.count("*").alias("phrases"), *(F.sum(f"e{k}").alias(f"e{k}") for k in range(EQUAL_LANES)), *sums)
 
-    def sign(x: Column) -> Column:  # ones less zeros, modulo 2^16 as a signed number
-        return (F.pmod(2 * x - F.col("phrases") + 32768, F.lit(65536)) - 32768).cast("smallint")
+    def sign(x: Column) -> Column:  # ones less zeros, modulo 2^32 as a signed number
+        return (F.pmod(2 * x - F.col("phrases") + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("int")
 
     low = [sign(F.col(f"s{w}_{k}").bitwiseAND(F.lit(0xFFFFFFFF))) for w in range(words) for k in range(32)]
     high = [sign(F.shiftrightunsigned(f"s{w}_{k}", 32)) for w in range(words) for k in range(32)]
@@ -51,7 +51,7 @@ def combine(a: Column, b: Column, modulus: int, sign: int = 1) -> Column:
 
 def text_of(equal: Column, signs: Column) -> Column:
     """The fingerprint in hexadecimal digits."""
-    digits = F.transform(signs, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(65536))), 4, "0"))
+    digits = F.transform(signs, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0"))
     return F.lower(F.concat(F.array_join(F.transform(equal, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.array_join(digits, "")))
 
 

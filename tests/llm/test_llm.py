@@ -253,6 +253,12 @@ def test_fingerprints_add_up(spark):
         assert got.up == [k % modulus for k in v[3][name]] and got.down == [k % modulus for k in v[1][name]]
 
 
+def test_fingerprints_of_a_phrase_many_times(spark):
+    """40,000 times the same line: the lanes do not wrap, the edited text is like it."""
+    df = spark.createDataFrame([(1, "ab\n" * 40_000), (2, "other words")], "doc_id long, text string")
+    assert {r.doc_id: r.near_edited for r in fingerprints.edited(df).collect()}[1] > 0.99
+
+
 def test_packing(docs, odd, empty):
     tokenizer = tokenizers.Tokenizer.from_file(BPE)
     for df in (docs, odd):
