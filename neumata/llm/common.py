@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -11,25 +12,41 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Whole texts travel in a batch, so it is kept small to bound worker memory.
 BATCH_ROWS = 512
+#: Bytes after which a batch is closed (a single longer text still travels whole).
+BATCH_BYTES = 16 << 20
 #: Default bound on labelled rows gathered to the driver for fitting a classifier.
 MAX_TRAIN_ROWS = 20_000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small, whatever the length of a text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches of whole texts small in rows and in bytes, whatever the length of a text."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key, str((1 << 31) - 1))) <= most:
+            spark.conf.set(key, str(most))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a session on one machine may do without: it gets a temporary one."""
+    conf = spark.sparkContext.getConf()
+    if not (named := conf.get("spark.checkpoint.dir")) and not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="neumata-")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the session names in spark.checkpoint.dir.
 
-    Only where none is named (tests on one machine) a temporary folder is used.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="neumata-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     gc.collect()  # what led here is no longer referred to: let Spark delete its shuffle files now, not some time later
     sc._jvm.System.gc()
@@ -46,7 +63,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def label_sample(labels: DataFrame, column: str, keep, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """About max_rows labelled ids (never over 1.2 times that), chosen by a hash of the id.
+    """About max_rows labelled ids, chosen by a hash of the id, so that the same ones are chosen each time.
 
     keep: a condition on doc_id. Ids with several labels take the majority, ties count as 1; null labels are left out.
     """
@@ -54,7 +71,7 @@ def label_sample(labels: DataFrame, column: str, keep, max_rows: int = MAX_TRAIN
     rows = rows.where(keep).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     n = rows.count()
     share = min(1.0, max_rows / max(n, 1))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(int(max_rows * 1.2))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def texts_of(batches: Iterator, step: int = BATCH_ROWS) -> Iterator[tuple[list, list]]:

@@ -1,9 +1,15 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores are of sentences.
 
-A sentence has the logistic score of its hashed words and word beginnings; a document is toxic unless every sentence is harmless (noisy-or).
-The weights are fitted through that noisy-or on a bounded sample of labelled documents, so sentences need no labels.
+A sentence has the logistic score of its hashed words and word beginnings; a document is toxic unless every sentence is
+harmless (noisy-or). The weights are fitted through that noisy-or on a bounded sample of labelled documents, so sentences
+need no labels. A sentence without any weighted feature scores 0, and so does one under FLOOR: a long harmless text is no
+more toxic than a short one.
 
-Null and empty texts have no sentence and score 0. Repeated rows are scored each. Without usable labels all score 0.
+Fitting reads the sample twice. Features are counted by label where the texts are, and the chosen ones alone, as distinct
+bags of sentences with their numbers, reach the driver. Texts of any length are scored whole.
+
+Null and empty texts have no sentence and score 0. Repeated rows are scored each. Equal scores are equal: nothing is ranked.
+Columns beyond doc_id and text are not read. Without usable labels all score 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, label_sample, small_batches, texts_of
 
-#: Documents to learn from at most (times 1.2), and the width of the hashed word space.
-MAX_TRAIN_DOCS, WIDTH = 6_000, 1 << 18
+#: Documents to learn from at most (about: a hash draws them), characters of the longest of them, and the width of the hashed word space.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, WIDTH = 6_000, 200_000, 1 << 18
+#: A feature must be in so many toxic documents, and so many times as often as in harmless ones. Sentences under FLOOR count as harmless.
+LEAST, LIFT, FLOOR = 3, 3.0, 0.02
 #: Sentence ends; also cell borders, since tables put one statement in a cell.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n|]+")
 SENTENCE = re.compile(r"[^.!?\n|]*[^\W\d_][^.!?\n|]*")
@@ -56,7 +64,7 @@ class Words:
 
 @dataclass
 class Model:
-    """Weights of hashed features (others have none) and the bias of a sentence."""
+    """Weights of hashed features (others have none) and the bias of a sentence that holds one of them."""
 
     weight: dict[int, float]
     bias: float
@@ -70,41 +78,54 @@ class Model:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         first = np.flatnonzero(np.diff(sentence, prepend=-1))
-        z = np.add.reduceat(words(found), first) + self.bias
-        return sentence[first], 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        w = words(found)
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w, first) + self.bias, -30, 30)))
+        return sentence[first], np.where((np.add.reduceat(w != 0, first) > 0) & (p >= FLOOR), p, 0.0)
 
 
 def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 1e-4, least: int = 3, lift: float = 3.0) -> Model:
-    """Adagrad on the noisy-or likelihood. bags: (feature ids, one row a word; sentence of each word) of the documents.
+def chosen(counts: np.ndarray, totals: np.ndarray, least: int = LEAST, lift: float = LIFT) -> np.ndarray:
+    """The features that speak for toxicity. counts: documents that hold a feature, by label; totals: documents by label."""
+    more = (counts[1] + 0.5) / (totals[1] + 1) > lift * (counts[0] + 0.5) / (totals[0] + 1)
+    return np.flatnonzero((counts[1] >= least) & more)
+
 
-    Features enter that `least` toxic documents hold, `lift` times as often as harmless ones do.
+def bag_of(ids: np.ndarray, sentence: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, end of each sentence) of the distinct bags of a text, each sentence followed by its number of times.
+
+    ids: hashed features, one row a word; place: the place of a feature among the chosen ones, or -1.
     """
-    y = np.array([v for b, v in zip(bags, y, strict=True) if len(b[0])], float)
-    bags = [b for b in bags if len(b[0])]
-    if not len(y) or y.min() == y.max():
+    at = place[ids]
+    row, col = np.nonzero(at >= 0)
+    if not len(row):
+        return np.zeros(0, np.int32), np.zeros((0, 2), np.int32)
+    found, owner = at[row, col], sentence[row]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    bags: dict[bytes, int] = {}
+    for a, e in zip(first, np.append(first[1:], len(owner)), strict=True):
+        key = np.sort(found[a:e]).astype(np.int32).tobytes()
+        bags[key] = bags.get(key, 0) + 1
+    ends = np.cumsum([len(k) // 4 for k in bags])
+    return np.frombuffer(b"".join(bags), np.int32), np.stack([ends, list(bags.values())], 1).astype(np.int32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, used: np.ndarray, rounds: int = 150, rate: float = 0.5, l2: float = 0.01) -> Model:
+    """Adagrad on the noisy-or likelihood. bags: of documents, as bag_of gives them; used: the chosen features."""
+    if not len(used) or not len(y) or y.min() == y.max():
         return Model({}, -30.0)
-    held = np.zeros((2, WIDTH))
-    for (ids, _), v in zip(bags, y, strict=True):
-        held[int(v), np.unique(ids)] += 1
-    used = np.flatnonzero((held[1] >= least) & ((held[1] + 0.5) / (y.sum() + 1) > lift * (held[0] + 0.5) / (len(y) - y.sum() + 1)))
-    dense = np.full(WIDTH, len(used), np.int64)
-    dense[used] = np.arange(len(used))
-    change = np.concatenate([np.diff(b[1], prepend=-1) != 0 for b in bags])
-    sentence, first = np.cumsum(change) - 1, np.flatnonzero(change)
-    doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])[first]
-    ids = np.concatenate([dense[b[0]] for b in bags])
-    row, col = np.nonzero(ids < len(used))
-    at, owner = ids[row, col], sentence[row]
-    w, bias, seen, seen_b = np.zeros(len(used)), -6.0, np.full(len(used), 1e-8), 1e-8
+    times = np.concatenate([b[1][:, 1] for b in bags]).astype(float)
+    doc = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
+    sizes = np.concatenate([np.diff(b[1][:, 0], prepend=0) for b in bags])
+    at, owner = np.concatenate([b[0] for b in bags]), np.repeat(np.arange(len(doc)), sizes)
+    w, bias, seen, seen_b = np.zeros(len(used)), -3.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at], len(first)) + bias, -30, 30)))
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at], len(doc)) + bias, -30, 30)))
+        none = np.bincount(doc, times * np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
         toxic = np.maximum(-np.expm1(none), 1e-9)
-        grad = p * np.where(y > 0, -np.exp(none) / toxic, 1.0)[doc] / len(bags)
+        grad = times * p * np.where(y > 0, -np.exp(none) / toxic, 1.0)[doc] / len(bags)
         g, gb = np.bincount(at, grad[owner], len(used)) + l2 / len(bags) * w, grad.sum()
         seen, seen_b = seen + g * g, seen_b + gb * gb
         w, bias = w - rate * g / np.sqrt(seen), bias - rate * gb / np.sqrt(seen_b)
@@ -112,20 +133,50 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """The model from at most 1.2 * max_docs labelled documents for which `keep` holds; their ids are broadcast."""
+    """The model from about max_docs labelled documents (their ids are broadcast) of MAX_TRAIN_CHARS at most, for which `keep` holds."""
     small_batches(docs.sparkSession)
     sample = label_sample(labels, "toxic", keep, max_docs)
+    some = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text", "y")
 
-    def run(batches):
+    def count(batches):
+        words, held, total = Words(features, np.int32, 4), np.zeros((2, WIDTH), np.int64), [0, 0]
+        for b in batches:
+            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if found := tokens(text)[0]:
+                    held[y, np.unique(words(found))] += 1
+                    total[y] += 1
+        label, feature = np.nonzero(held)
+        n = np.concatenate([held[label, feature], total])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([label, [0, 1]])), pa.array(np.concatenate([feature, [-1, -1]])), pa.array(n)], ["y", "feature", "n"])
+
+    counted = some.mapInArrow(count, "y long, feature long, n long").groupBy("y", "feature").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("feature") >= 0).groupBy("feature").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("plain"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    held, totals = np.zeros((2, WIDTH), np.int64), np.zeros(2, np.int64)
+    for r in often.where(F.col("toxic") >= LEAST).unionByName(counted.where("feature < 0").select(F.col("feature"), F.col("y").alias("plain"), F.col("n").alias("toxic"))).collect():  # WIDTH rows at most
+        if r.feature < 0:
+            totals[r.plain] = r.toxic
+        else:
+            held[:, r.feature] = r.plain, r.toxic
+    used = chosen(held, totals)
+    place = np.full(WIDTH, -1, np.int32)
+    place[used] = np.arange(len(used))
+
+    def gather(batches):
         words = Words(features, np.int32, 4)
-        for ids, texts in texts_of(batches):
-            bags = [(words(found).tobytes(), sentence.astype(np.int32).tobytes()) for found, sentence in map(tokens, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([b[k] for b in bags], pa.binary()) for k in range(2))], ["doc_id", "ids", "sentence"])
-
-    rows = documents(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).mapInArrow(run, "doc_id long, ids binary, sentence binary")
-    got = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "ids", "sentence", "y").collect()
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
-    return train([(np.frombuffer(r[1], np.int32).reshape(-1, 4), np.frombuffer(r[2], np.int32)) for r in got], np.array([r[3] for r in got], float))
+        for b in batches:
+            out = []
+            for i, text, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                found, sentence = tokens(text)
+                if found:
+                    bag, ends = bag_of(words(found), sentence, place)
+                    out.append((i, bag.tobytes(), ends.tobytes(), y))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "bag", "ends", "y"])
+
+    got = some.mapInArrow(gather, "doc_id long, bag binary, ends binary, y int").collect()
+    got.sort(key=lambda r: (r[0], bytes(r[1]), r[3]))
+    bags = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32).reshape(-1, 2)) for r in got]
+    return train(bags, np.array([r[3] for r in got], float), used)
 
 
 def score(docs: DataFrame, model: Model, locate: float = 0.5) -> DataFrame:

@@ -106,19 +106,83 @@ def test_rules(docs, odd, empty, labels, no_labels):
     assert quality_rules.judge(empty, quality_rules.fit_rules(empty, no_labels)).count() == 0
 
 
+def test_rules_fall_as_promised(docs, labels):
+    """More symbols, repeated lines, repeated words or capitals never raise the score of a real text."""
+    model, x = quality_rules.fit_rules(docs, labels), textstats.matrix(list(texts(docs).values()))
+    for name in quality_rules.FALLING:
+        for step in (0.01, 1.0, 50.0):
+            more = x.copy()
+            more[:, textstats.NAMES.index(name)] += step
+            assert (model.score(more) <= model.score(x) + 1e-12).all(), name
+
+
+def plain_walk(model, row):
+    total = model.base
+    for at in model.root:
+        while model.left[at] != at:
+            at = model.left[at] if row[model.feature[at]] <= model.cut[at] else model.right[at]
+        total += model.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_walk_like_one_row_at_a_time(docs, labels):
+    model, x = quality_rules.fit_rules(docs, labels), textstats.matrix(list(texts(docs).values()))
+    assert model.score(x) == pytest.approx([plain_walk(model, r) for r in x])
+
+
 def test_toxicity(spark, odd, empty, no_labels):
     d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet").where("n_chars < 3000"), spark.read.parquet(f"{d}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
     toxic = [r for r in rows if r.toxic]
-    assert np.mean([r.predicted for r in toxic]) > 0.7 and np.mean([r.predicted for r in rows if not r.toxic]) < 0.02
+    assert np.mean([r.predicted for r in toxic]) > 0.8 and np.mean([r.predicted for r in rows if not r.toxic]) < 0.02
     all_ = texts(docs)
     r = next(r for r in toxic if r.sentences)
     assert all(0 <= s.start < s.end <= len(all_[r.doc_id]) for s in r.sentences)
-    assert {r.score for r in toxicity.classify(odd, no_labels).collect()} <= {0.0} | {r.score for r in toxicity.classify(odd, no_labels).where("score < 1e-9").collect()}
+    assert {r.score for r in toxicity.classify(odd, no_labels).collect()} == {0.0}
     assert toxicity.classify(empty, no_labels).count() == 0 and toxicity.drop_toxic(odd, no_labels).count() == len(ODD) + 1
 
 
+def test_toxicity_against_plain_scores():
+    """Noisy-or of sentences, one after the other; a harmless text of any length stays harmless."""
+    weight = {f: w for word, w in (("scum", 4.0), ("trash", 3.0), ("fine", -2.0)) for f in toxicity.features(word)[:1]}
+    model = toxicity.Model(weight, -5.0)
+    words = model.words()
+    for text in ("You are scum. Fine day.\nTrash and scum!", "Nothing. " * 50, "", "Scum", "trash fine. trash | scum. trash " * 3):
+        none = 1.0
+        for sentence in re.split(r"[.!?\n|]+", text.lower()):
+            z = [weight.get(toxicity.features(w)[0], 0.0) for w in re.findall(r"[^\W\d_]+", sentence)]
+            p = 1 / (1 + np.exp(5.0 - sum(z))) if any(z) else 0.0
+            none *= 1 - p if p >= toxicity.FLOOR else 1.0
+        assert toxicity.noisy_or(model.sentences(words, text)[1]) == pytest.approx(1 - none)
+    long = "A plain sentence of harmless words that nobody minds. " * 20_000
+    assert toxicity.noisy_or(model.sentences(words, long)[1]) == 0.0
+    assert toxicity.noisy_or(model.sentences(words, long + "You scum and trash.")[1]) > 0.8
+
+
+def test_toxicity_learns_the_sentence_from_document_labels():
+    """Bags hold each distinct sentence once, and the gradient is that of the noisy-or likelihood."""
+    words = toxicity.Words(toxicity.features, np.int32, 4)
+    texts_ = [f"good words here {k}. " + ("vile thing. " if k % 2 else "nice thing. ") + "more good words." for k in range(40)]
+    y = np.array([k % 2 for k in range(40)], float)
+    held, total = np.zeros((2, toxicity.WIDTH), int), np.array([20, 20])
+    split = [toxicity.tokens(t) for t in texts_]
+    for (w, _), v in zip(split, y, strict=True):
+        held[int(v), np.unique(words(w))] += 1
+    used = toxicity.chosen(held, total)
+    assert set(toxicity.features("vile")) <= set(used.tolist()) and not set(toxicity.features("good")) & set(used.tolist())
+    place = np.full(toxicity.WIDTH, -1, np.int32)
+    place[used] = np.arange(len(used))
+    bags = [toxicity.bag_of(words(w), s, place) for w, s in split]
+    assert all(len(b[1]) == v for b, v in zip(bags, y, strict=True))
+    model = toxicity.train(bags, y, used)
+    found = model.words()
+    score = [toxicity.noisy_or(model.sentences(found, t)[1]) for t in texts_]
+    assert min(s for s, v in zip(score, y, strict=True) if v) > 0.9 and max(s for s, v in zip(score, y, strict=True) if not v) == 0.0
+    repeated = toxicity.bag_of(*(lambda t: (words(t[0]), t[1]))(toxicity.tokens("vile. vile. plain. vile words")), place)
+    assert repeated[1][:, 1].sum() == 3
+
+
 def luhn(d):
     twice = [2 * int(c) - 9 * (c > "4") if i % 2 else int(c) for i, c in enumerate(reversed(d))]
     return sum(twice) % 10 == 0
@@ -150,6 +214,28 @@ def test_pii(docs, odd, empty):
     assert not any(plain_spans(t) for t in clean.values()) and pii.redact(odd).columns == odd.columns
 
 
+def test_pii_adds_rewritten_spans(spark):
+    """Each generator can add a span that the fixed formats do not find; numbers that are nobody's stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    new = {
+        1_000_001: ("Write to jane.doe at example dot com today.", "email"),
+        1_000_002: ("The server is 10[.]0[.]12[.]9 in the rack.", "ip"),
+        1_000_003: ("Card 4111.1111.1111.1111 was charged.", "card"),
+        1_000_004: ("Call (523) 555-6503 before noon.", "phone"),
+        1_000_005: ("Version 12 of 2024 sold 1234567 units at 99 percent.", None),
+    }
+    more = spark.createDataFrame([(i, t) for i, (t, _) in new.items()], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs.union(more)).where("doc_id > 1000000").collect()}
+    found = {i: sorted({x.split(":")[0] for x in s.split(",") if x}) for i, s in got.items()}
+    assert {i: (kind in found[i] if kind else not found[i]) for i, (_, kind) in new.items()} == dict.fromkeys(new, True)
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc now", "MINE", "s", 3, "x")], "doc_id long, text string, email string, spans string, n_chars long, loose_ip string")
+    out = pii.redact(df)
+    assert out.schema == df.schema and [tuple(r) for r in out.collect()] == [(1, "mail <EMAIL> now", "MINE", "s", 16, "x")]
+
+
 def test_pii_long_runs(spark):
     df = spark.createDataFrame([(1, "a" * 200_000), (2, "7" * 200_000), (3, "1." * 60_000), (4, "+1 " * 40_000)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_email, r.n_card) for r in pii.find(df).collect()) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0)]
@@ -180,11 +266,28 @@ def test_sentencepiece(docs, odd, empty, spark):
             assert r.round_trip
         whole = {i: [x for k in sorted(c) for x in c[k]] for i, c in got.items()}
         assert whole == {i: sp.encode(t) for i, t in all_.items()}
+        got = {(r.doc_id, r.chunk): (r.n_ids, r.ids_crc32) for r in sentencepiece_scan.encode(df, PIECES, chunk, digested=True).collect()}
+        if len(got) == len(whole):
+            assert got == {(i, 0): (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in whole.items()}
     back = sentencepiece_scan.decode(spark.createDataFrame(list(whole.items()), "doc_id long, ids array<int>"), PIECES)
     assert texts(back) == {i: sp.decode(whole[i]) for i in all_}
     assert sentencepiece_scan.encode(empty, PIECES).count() == 0
 
 
+def test_sentencepiece_of_long_texts_without_blanks(spark):
+    """At the production chunk: several chunks without any place that no piece reaches over, in a few seconds."""
+    import sentencepiece
+
+    letters = "".join(np.random.default_rng(2).choice(list("etaoinshrdlu"), 80_000))
+    df = spark.createDataFrame([(1, letters), (2, "the" * 15_000 + " word " * 5_000)], "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in sentencepiece_scan.encode(df, PIECES).collect():
+        got[r.doc_id][r.chunk] = r.ids
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {i: len(c) for i, c in got.items()} == {1: 3, 2: 3}
+    assert {i: [x for k in sorted(c) for x in c[k]] for i, c in got.items()} == {r.doc_id: sp.encode(r.text) for r in df.collect()}
+
+
 def test_max_plus_is_associative():
     rng = np.random.default_rng(3)
     a, b, c = (np.where(rng.random((4, 4)) < 0.5, rng.normal(size=(4, 4)), -np.inf) for _ in range(3))
@@ -224,18 +327,46 @@ def test_url_templates_without_labels(spark):
     assert got["/a/b/c/d/3/out"].template == "/a/b/c/d/*/out" and all(r.purity is not None for r in got.values())
 
 
+def plain_vector(t):
+    """Every lane of a text, one phrase after the other."""
+    xxhash = pytest.importorskip("xxhash")
+    equal, signs = [0] * 8, [0] * 128
+    for line in t.split("\n"):
+        h = hashlib.sha256(line.encode()).hexdigest()
+        equal = [(x + int(h[8 * k : 8 * k + 8], 16)) % 2**32 for k, x in enumerate(equal)]
+        for phrase in re.split(r"(?<=[adelnrst.,;:!?])[ \t\n\x0b\f\r]+", line):
+            of = xxhash.xxh64_intdigest(phrase.encode(), 42)
+            for w in range(2):
+                # the seed of a column is the hash of the one before
+                h = xxhash.xxh64_intdigest(w.to_bytes(4, "little"), of)
+                for k in range(32):
+                    signs[32 * w + k] += 1 if h >> k & 1 else -1
+                    signs[64 + 32 * w + k] += 1 if h >> (k + 32) & 1 else -1
+    return equal, signs
+
+
+def spelled(equal, signs):
+    return "".join(f"{x % 2**32:08x}" for x in [*equal, *signs])
+
+
 def test_fingerprints(docs, odd, empty):
-    for df in (docs, odd):
+    for df in (docs.where("n_chars < 3000"), odd):
         all_ = texts(df)
         ids = sorted(all_)
         after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
         rows = fingerprints.edited(df).collect()
-        assert sorted(r.doc_id for r in rows) == ids
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in df.select("doc_id").collect())
         for r in rows:
             a, b = all_[r.doc_id], all_[after[r.doc_id]]
             k = len(a) // 4
-            assert r.n_chars == len(a) and r.edited_sha256 == hashlib.sha256((a[: len(a) - k] + b[:k]).encode()).hexdigest()
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            new = a[: len(a) - k] + b[:k]
+            assert r.n_chars == len(a) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+            x, y, z = plain_vector(a), plain_vector(new), plain_vector(b)
+            assert r.fingerprint == spelled(*x) and r.edited_fingerprint == spelled(*y)
+            for near, other in ((r.near_edited, y), (r.near_next, z)):
+                p, q = np.array(x[1], float), np.array(other[1], float)
+                cosine = p @ q / np.sqrt((p @ p) * (q @ q)) if (p @ p) * (q @ q) else 0.0
+                assert near == pytest.approx(1.0 if x == other else min(1.0, max(0.0, cosine)), abs=1e-9)
         of = defaultdict(set)
         for r in rows:
             of[r.fingerprint].add(all_[r.doc_id])
@@ -244,19 +375,27 @@ def test_fingerprints(docs, odd, empty):
     assert fingerprints.edited(empty).count() == 0
 
 
+def test_fingerprints_of_shared_and_null_ids(spark):
+    rows = [(1, "a\nbc"), (1, "a\nbc"), (1, "other text here"), (None, "no id"), (None, None)]
+    got = fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 5), (1, 4), (1, 4), (1, 15)]
+    assert len({tuple(r) for r in got if r.n_chars == 4}) == 1
+
+
 def test_fingerprints_add_up(spark):
     df = spark.createDataFrame([(1, "alpha beta\ngamma"), (2, "delta"), (3, "gamma\ndelta\nalpha beta")], "doc_id long, text string")
-    v = {r.doc_id: r for r in fingerprints.vectors(df).collect()}
-    for name, modulus in (("equal", 1 << 32), ("signs", 1 << 16)):
+    v = {r.doc_id: r for r in fingerprints.vectors(df.withColumn("sign", F.lit(1)), ["doc_id"]).collect()}
+    for name in ("equal", "signs"):
         x, y, z = (F.array(*map(F.lit, v[i][name])) for i in (1, 2, 3))
-        got = spark.range(1).select(fingerprints.combine(x, y, modulus).alias("up"), fingerprints.combine(z, y, modulus, -1).alias("down")).first()
-        assert got.up == [k % modulus for k in v[3][name]] and got.down == [k % modulus for k in v[1][name]]
+        got = spark.range(1).select(fingerprints.combine(x, y).alias("up"), fingerprints.combine(z, y, -1).alias("down")).first()
+        assert got.up == [k % 2**32 for k in v[3][name]] and got.down == [k % 2**32 for k in v[1][name]]
 
 
 def test_fingerprints_of_a_phrase_many_times(spark):
-    """40,000 times the same line: the lanes do not wrap, the edited text is like it."""
-    df = spark.createDataFrame([(1, "ab\n" * 40_000), (2, "other words")], "doc_id long, text string")
-    assert {r.doc_id: r.near_edited for r in fingerprints.edited(df).collect()}[1] > 0.99
+    """40,000 times the same line or phrase: the lanes do not wrap, the edited text is like it."""
+    df = spark.createDataFrame([(1, "ab\n" * 40_000), (2, "other words"), (3, "a " * 40_000)], "doc_id long, text string")
+    near = {r.doc_id: r.near_edited for r in fingerprints.edited(df).collect()}
+    assert near[1] > 0.99 and near[3] > 0.95  # the next text begins otherwise
 
 
 def test_packing(docs, odd, empty):
