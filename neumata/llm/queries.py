@@ -40,7 +40,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sentencepiece_scan.digest(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digested=True)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

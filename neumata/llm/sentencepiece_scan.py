@@ -9,7 +9,7 @@ back on its own. Inside a chunk the matrix is a product of rank one wherever a b
 the model reaches over such a place: there the words between are looked up.
 
 Null and empty texts give one row without ids. Repeated rows and ids are encoded each. An empty table gives no rows.
-U+2581, the model's sign for a blank, decodes as a blank.
+Columns beyond doc_id and text are not read. U+2581, the model's sign for a blank, decodes as a blank.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, texts_of
+from .common import cut, documents, small_batches, texts_of
 
 BLANK, CHUNK = "▁", 1 << 15
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -32,14 +34,31 @@ INSIDE = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 NEVER = -np.inf
 
 
+class Words(dict):
+    """Ids of words already encoded (with a bound)."""
+
+    def __init__(self, model: Model, most: int):
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> tuple:
+        model = self.model
+        # the library puts one blank before what it encodes, so it gives a word after one blank as it stands here
+        plain = word[0] == BLANK and len(word) > 1 and word[1] != BLANK
+        ids = tuple(model.whole(word[1:]) if plain else model.ids_of(model.pieces(word)))
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Model:
-    """Pieces, their scores, and words already encoded (with a bound)."""
+    """Pieces, their scores, and words already encoded."""
 
     def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.normalize, self.whole, self.most, self.words, self.pairs = sp.normalize, sp.encode, most, {}, {}
+        self.normalize, self.whole, self.most, self.words, self.pairs = sp.normalize, sp.encode, most, Words(self, most), {}
         every = range(sp.get_piece_size())
         self.ids = {sp.id_to_piece(i): i for i in every if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
@@ -71,18 +90,12 @@ class Model:
     def ids_of(self, pieces: list[str]) -> list[int]:
         return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")])]
 
-    def word(self, word: str) -> np.ndarray:
-        if (got := self.words.get(word)) is None:
-            if len(self.words) > self.most:
-                self.words.clear()
-            # the library puts one blank before what it encodes, so it gives a word after one blank as it stands here
-            ids = self.whole(word[1:]) if word[0] == BLANK and len(word) > 1 and word[1] != BLANK else self.ids_of(self.pieces(word))
-            got = self.words[word] = np.array(ids, np.int32)
-        return got
+    def spells(self, ids, text: str) -> bool:
+        return b"".join(map(self.surface.__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
 
-    def plain(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> list[int]:
         """Ids of a stretch that begins and ends where no piece reaches over."""
-        return np.concatenate([np.zeros(0, np.int32), *(self.word(w) for w in WORD.findall(text))])
+        return list(chain.from_iterable(map(self.words.__getitem__, WORD.findall(text))))
 
     def fit_together(self, a: str, b: str) -> bool:
         if (got := self.pairs.get((a, b))) is None:
@@ -109,21 +122,39 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def model_of(path: str) -> Model:
+    """The model, read once in a worker, whose tasks share the words known so far."""
+    return Model(path)
+
+
 def walk(model: Model, text: str, start: tuple[int, int], stop: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """All paths from a piece to those that cover `stop`, as the pieces after it; one path each."""
-    ends = {start[1]: {start: []}}
-    done = {}
+    """All paths from a piece to those that cover `stop`, as the pieces after it; one path each.
+
+    A piece keeps the one before it, and paths are read backwards from their ends.
+    """
+    ends, before, done = {start[1]: [start]}, {start: None}, []
     for at in range(start[1], stop + model.longest + 1):
-        for token, path in ends.pop(at, {}).items():
-            if at >= stop:
-                done[token] = path
-                continue
+        reached = ends.pop(at, ())
+        if at >= stop:
+            done += reached
+        elif reached:
             for e in model.starting(text, at):
-                if token[0] == token[1] or model.fit_together(text[token[0] : token[1]], text[at:e]):
-                    ends.setdefault(e, {})[at, e] = [*path, (at, e)]
+                for token in reached:
+                    if token[0] == token[1] or model.fit_together(text[token[0] : token[1]], text[at:e]):
+                        before[at, e] = token
+                        ends.setdefault(e, []).append((at, e))
+                        break
         if not ends:
             break
-    return done
+    out = {}
+    for token in done:
+        path, at = [], token
+        while before[at] is not None:
+            path.append(at)
+            at = before[at]
+        out[token] = path[::-1]
+    return out
 
 
 def places(text: str, begin: int, end: int) -> tuple[int, int] | None:
@@ -163,56 +194,78 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def trace(model: Model, text: str, begin: int, end: int, u: tuple[int, int], v: tuple[int, int]) -> np.ndarray:
+def trace(model: Model, text: str, begin: int, end: int, u: tuple[int, int], v: tuple[int, int]) -> list[int]:
     """Ids of the pieces after u up to v."""
     if u[1] >= end:
-        return np.zeros(0, np.int32)
+        return []
     head, tails = paths(model, text, begin, end, u)
-    spell = lambda path: np.array(model.ids_of([text[a:e] for a, e in path]), np.int32)
+    spell = lambda path: model.ids_of([text[a:e] for a, e in path])
     if head is None:
         return spell(tails[v])
     first, last = places(text, max(begin, u[1]), end)
-    return np.concatenate([spell(head), model.plain(text[first:last]), spell(tails[v])])
+    return [*spell(head), *model.plain(text[first:last]), *spell(tails[v])]
+
+
+def told(ids: list[int], digested: bool) -> tuple:
+    """The columns that tell of ids: the ids themselves, or their number and CRC-32 (as little-endian 32-bit numbers)."""
+    return (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) if digested else (ids,)
 
 
-OUT = "doc_id long, chunk int, n_chunks int, ids array<int>, round_trip boolean"
+def columns(digested: bool) -> str:
+    return "n_ids long, ids_crc32 long" if digested else "ids array<int>"
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), KINDS[kind]) for c, (_, kind) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, digested: bool = False) -> DataFrame:
     """doc_id, chunk, n_chunks, ids, round_trip: the ids of a text are those of its chunks, one after the other.
 
-    round_trip: decoding gave the chunk's own text again. Only texts longer than a chunk are dealt out and combined.
+    round_trip: decoding gave the chunk's own text again. digested: n_ids and ids_crc32 in place of ids. Only texts longer
+    than a chunk are dealt out and combined; their chunks are written to the shared folder first, so that a task that runs
+    again reads the same rows under the same numbers.
     """
     small_batches(docs.sparkSession)
-    parts = "row long, doc_id long, chunk int, n_chunks int, text string, begin int, end int, ids array<int>, round_trip boolean"
-    names = [p.split()[0] for p in parts.split(", ")]
+    out_schema = f"doc_id long, chunk int, n_chunks int, {columns(digested)}, round_trip boolean"
+    names = [c.split()[0] for c in out_schema.split(", ")]
+    parts = f"row long, text string, begin int, end int, {out_schema}"
+    none = (None,) * (len(names) - 4)
 
-    def split(batches):
-        model, row = Model(path), TaskContext.get().partitionId() << 40
+    def whole(batches):
+        model = model_of(path)
         for ids, texts in texts_of(batches):
+            got = model.whole(texts)
+            yield batch([(i, 0, 1, *told(x, digested), model.spells(x, model.normalize(t))) for i, t, x in zip(ids, texts, got, strict=True)], out_schema)
+
+    def split(batches):
+        model, row = model_of(path), TaskContext.get().partitionId() << 40
+        for ids, texts in texts_of(batches, 16):
             out = []
             for i, raw in zip(ids, texts, strict=True):
                 text, row = model.normalize(raw), row + 1
                 n = max(1, -(-len(text) // chunk))
                 if n == 1:
-                    got = model.plain(text)
-                    same = b"".join(map(model.surface.__getitem__, got.tolist())) == text.encode("utf-8", "surrogatepass")
-                    out.append((row, i, 0, 1, None, 0, 0, got, same))
+                    got = model.whole(raw)
+                    out.append((row, None, 0, 0, i, 0, 1, *told(got, digested), model.spells(got, text)))
                 for k in range(n if n > 1 else 0):
                     begin, end = max(0, k * chunk - model.longest), min(len(text), (k + 1) * chunk + model.longest)
-                    out.append((row, i, k, n, text[begin:end], k * chunk - begin, min(len(text), (k + 1) * chunk) - begin, None, None))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=names)
+                    out.append((row, text[begin:end], k * chunk - begin, min(len(text), (k + 1) * chunk) - begin, i, k, n, *none, None))
+            yield batch(out, parts)
 
     def matrices(batches):
-        model = Model(path)
+        model = model_of(path)
         for b in batches:
             out = []
             for r in b.to_pylist():
                 m = transfer(model, r["text"], r["begin"], r["end"])
                 out.append((r["row"], r["chunk"], list(m.shape), (m == 0).ravel().tolist()))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["row", "chunk", "shape", "zero"])
+            yield batch(out, "row long, chunk int, shape array<int>, zero array<boolean>")
 
     def combine(key, pdf):
         pdf = pdf.sort_values("chunk")
@@ -227,47 +280,30 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         return pdf[["row", "chunk"]].assign(u=at[:-1], v=at[1:])
 
     def back(batches):
-        model = Model(path)
+        model = model_of(path)
         for b in batches:
             out = []
             for r in b.to_pylist():
                 text, begin, end = r["text"], r["begin"], r["end"]
                 u, v = model.borders(text, begin)[r["u"]], model.borders(text, end)[r["v"]]
                 got = trace(model, text, begin, end, u, v)
-                same = b"".join(map(model.surface.__getitem__, got.tolist())) == text[u[1] : max(u[1], v[1])].encode("utf-8", "surrogatepass")
-                out.append((r["doc_id"], r["chunk"], r["n_chunks"], got, same))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "chunk", "n_chunks", "ids", "round_trip"])
+                out.append((r["doc_id"], r["chunk"], r["n_chunks"], *told(got, digested), model.spells(got, text[u[1] : max(u[1], v[1])])))
+            yield batch(out, out_schema)
 
     some = documents(docs)
     blanks = F.length("text") + 1  # normalising puts one blank before a text, and may change its length otherwise
-    whole = some.where(blanks <= chunk // 2).mapInArrow(split, parts)
-    rest = some.where(blanks > chunk // 2).mapInArrow(split, parts)
-    long = rest.where("ids is null").select("row", "doc_id", "chunk", "n_chunks", "text", "begin", "end").repartition("row", "chunk")
+    rest = cut(some.where(blanks > chunk // 2).mapInArrow(split, parts))
+    long = rest.where("text is not null").select("row", "doc_id", "chunk", "n_chunks", "text", "begin", "end").repartition("row", "chunk")
     states = long.mapInArrow(matrices, "row long, chunk int, shape array<int>, zero array<boolean>").groupBy("row").applyInPandas(combine, "row long, chunk int, u int, v int")
-    done = long.join(states, ["row", "chunk"]).mapInArrow(back, OUT)
-    short = [d.where("ids is not null").select("doc_id", "chunk", "n_chunks", "ids", "round_trip") for d in (whole, rest)]
-    return short[0].unionByName(short[1]).unionByName(done)
-
-
-def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, chunk, n_chunks, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), round_trip."""
-
-    def run(batches):
-        for b in batches:
-            ids = b.column(3)
-            lists = [np.array(x.as_py(), "<u4") for x in ids]
-            cols = [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()), b.column(4)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "chunk", "n_chunks", "n_ids", "ids_crc32", "round_trip"])
-
-    return encoded.mapInArrow(run, "doc_id long, chunk int, n_chunks int, n_ids long, ids_crc32 long, round_trip boolean")
+    done = long.join(states, ["row", "chunk"]).mapInArrow(back, out_schema)
+    return some.where(blanks <= chunk // 2).mapInArrow(whole, out_schema).unionByName(rest.where("text is null").select(*names)).unionByName(done)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids of whole texts (one row a text)."""
 
     def run(batches):
-        model = Model(path)
+        model = model_of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
