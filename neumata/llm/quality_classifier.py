@@ -1,7 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of the whole text.
 
 A text without words is scored like any other (its statistics are zeros). Null texts count as empty. Repeated rows are
-scored each. Without usable labels every score is the constant 0.5.
+scored each, texts of any length whole, and equal statistics get equal scores. Columns beyond doc_id and text are not read.
+Without usable labels every score is the constant 0.5. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, keep, max_rows: int = MAX_TRAIN_ROWS, **params) -> gbt.Trees:
-    """Trees from at most 1.2 * max_rows labelled rows, for which `keep` (a condition on doc_id) holds.
+    """Trees from about max_rows labelled rows, for which `keep` (a condition on doc_id) holds.
 
-    The sampled ids are broadcast: their number has that bound.
+    The sampled ids are broadcast: a hash draws them, so their number has that bound.
     """
     sample = label_sample(labels, column, keep, max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")

@@ -2,7 +2,9 @@
 
 The trees may only lower a document's score as its symbols, capitals, repeated lines or repeated words grow, so a verdict
 can be explained by "too much of it". Null texts count as empty and fail the fixed rules, as do all under ten words.
-Repeated rows are judged each. Without usable labels the fixed rules alone decide.
+Repeated rows are judged each, texts of any length whole. A score equal to the least one is kept. Columns beyond doc_id and
+text are not read by `judge`; `keep_good` returns them as they are. Without usable labels the fixed rules alone decide. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from .common import MAX_TRAIN_ROWS, documents, small_batches, texts_of
 from .quality_classifier import fit
 
 #: Statistics that may only lower the score as they grow.
-FALLING = ("symbols_per_word", "bangs_per_word", "pipes_per_word", "upper_share", "dup_line_share", "repeat_share")
+FALLING = ("n_symbols", "n_dup_lines", "n_repeat_words", "symbols_per_word", "bangs_per_word", "pipes_per_word", "upper_share", "dup_line_share", "repeat_share")
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SCORE = 10, 20, 0.5
 
 
