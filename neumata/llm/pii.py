@@ -2,11 +2,15 @@
 
 Fixed formats (email, ip, card, phone) are found leftmost and without overlaps for each kind, and matches that fail their
 check are dropped. Looser generators then propose spans that may overlap: numbers grouped like phones or cards, addresses
-spelled out, addresses with bracketed dots. Boosted trees over a candidate's format and context score it; they are fitted
-on a bounded sample of candidates, those that touch a checked span of their kind being the positive ones. The threshold
-is calibrated on that sample for precision, and candidates beyond it that touch no fixed span join the result.
-
-Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are searched each.
+spelled out, addresses with bracketed dots. Boosted trees over a candidate's format and context score it. They are fitted
+on a bounded sample: positive are candidates that touch a checked span of their kind, and those that checked spans give
+when they are rewritten into the loose forms; negative are candidates that would not pass their check however they were
+written. What would pass but is no checked span is not learned from, since nobody knows what it is. The threshold is
+calibrated on documents that the trees were not fitted on, and candidates beyond it that touch no fixed span join the result.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are searched each, texts of any
+length whole. Where spans start together the order of the kinds decides. `redact` works under names of its own, so columns
+of any name come back as they were. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +42,13 @@ LOOSE = {
 }
 CONTEXT = 24
 SPAN = "array<struct<start:int,end:int,match:string>>"
-#: Bounds on the fitting sample: documents with candidates, and candidates.
+#: Bounds on the fitting sample, drawn by hashes: documents with candidates, and candidates.
 MAX_TRAIN_DOCS, MAX_TRAIN_SPANS = 4_000, 20_000
+#: How checked spans are rewritten for fitting (pattern, replacement), in two ways.
+REWRITTEN = (
+    ((r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)", "$1 at $2 dot $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1[.]$2[.]$3[.]$4"), (r"\+[0-9]{1,2}[\x20.-]?(?=\(?[0-9]{3})", ""), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
+    ((r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)", "$1 [at] $2 [dot] $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1.$2[.]$3.$4"), (r"\+[0-9]{1,2}[\x20.-]?\(?([0-9]{3})\)?[\x20.-]?([0-9]{3})[\x20.-]?([0-9]{4})", "($1) $2-$3"), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
+)
 FEATURES = ("kind", "length", "digits", "groups", "first_group", "last_group", "parens", "dashes", "dots", "blanks", "letters", "luhn", "before", "after", "named")
 
 
@@ -119,13 +128,24 @@ def features(kind: str, text: Column, s: Column) -> Column:
     return F.array(*(v.cast("double") for v in values))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """found and, for each kind, loose_<kind>: struct<start, end, x (features), fixed (it touches a fixed span of its kind)>."""
+def would_pass(kind: str, m: Column) -> Column:
+    """Whether a candidate is what its kind's check accepts, once it is written plainly."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(F.lower(m), r"\s*(?:\[at\]|\(at\)|\bat\b)\s*", "@"), r"\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*", ".")
+        return plain.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}$")
+    if kind == "phone":
+        return passes(kind, m) & m.rlike("[^0-9]")
+    return passes(kind, F.translate(m, "[]", ""))
+
+
+def candidates(found: DataFrame, judged: bool = False) -> DataFrame:
+    """found and, for each kind, loose_<kind>: struct<start, end, x (features), fixed (it touches a fixed span of its kind)>, and would_pass if judged."""
     text = F.col("text")
     rows = found.withColumns({f"loose_{k}": located(text, *LOOSE[k]) for k in KINDS})
 
     def described(k: str) -> Column:
-        return F.transform(f"loose_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(k, text, s).alias("x"), touches(s, F.col(k)).alias("fixed")))
+        more = lambda s: [would_pass(k, s["match"]).alias("plain")] * judged
+        return F.transform(f"loose_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(k, text, s).alias("x"), touches(s, F.col(k)).alias("fixed"), *more(s)))
 
     return rows.withColumns({f"loose_{k}": described(k) for k in KINDS})
 
@@ -144,19 +164,44 @@ def as_column(trees: gbt.Trees, x: Column) -> Column:
     return 1 / (1 + F.exp(-out))
 
 
-def fit(docs: DataFrame, precision: float = 0.98, max_docs: int = MAX_TRAIN_DOCS) -> tuple[gbt.Trees, float]:
-    """The trees and the least threshold with that precision on the sample; texts with any digit or "dot" are sampled by a hash."""
-    rows = documents(docs).where(F.col("text").rlike("[0-9]{3}|dot"))
+def rewritten(text: Column, way: int) -> Column:
+    for pattern, to in REWRITTEN[way]:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def training_spans(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """doc_id, x, y: labelled candidates of sampled documents, as they stand and rewritten."""
+    rows = documents(docs).where(F.col("text").rlike("[0-9]{3}|dot|@"))
     share = min(1.0, max_docs / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(int(1.2 * max_docs))
-    spans = candidates(fixed(rows)).select("doc_id", F.explode(F.concat(*(f"loose_{k}" for k in KINDS))).alias("s"))
-    got = sorted((tuple(r[0]), r[1]) for r in spans.select("s.x", "s.fixed").limit(MAX_TRAIN_SPANS).collect())
-    x, y = np.array([r[0] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float)
-    trees = gbt.fit(x, y, trees=12, depth=3, rate=0.4, bins=24)
-    score = trees.score(x)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def spans(df: DataFrame) -> DataFrame:
+        return candidates(fixed(df), judged=True).select("doc_id", F.explode(F.concat(*(f"loose_{k}" for k in KINDS))).alias("s"))
+
+    stand = spans(rows).where("s.fixed or not s.plain").select("doc_id", "s.x", F.col("s.fixed").alias("y"))
+    some = rows.where(F.col("text").rlike(r"@|[0-9]\.[0-9]|\+[0-9]|[0-9]{4}[\x20-][0-9]{4}"))
+    for way in range(len(REWRITTEN)):
+        stand = stand.union(spans(some.withColumn("text", rewritten(F.col("text"), way))).where("s.plain and not s.fixed").select("doc_id", "s.x", F.lit(True)))
+    return stand
+
+
+def fit(docs: DataFrame, precision: float = 0.98, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> tuple[gbt.Trees, float]:
+    """The trees, fitted on four fifths of the sampled documents, and the least threshold with that precision on the others."""
+    spans = training_spans(docs, max_docs)
+    counted = spans.groupBy("doc_id").agg(F.count("*").alias("n"))
+    share = min(1.0, max_spans / max(counted.agg(F.sum("n")).first()[0] or 0, 1))
+    drawn = spans.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = sorted((tuple(r[1]), r[2], r[0] or 0) for r in drawn.select(F.pmod(F.xxhash64("doc_id"), F.lit(5)), "x", "y").collect())
+    x, y, held = np.array([r[0] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float), np.array([r[2] == 0 for r in got], bool)
+    trees = gbt.fit(x[~held], y[~held], trees=12, depth=3, rate=0.4, bins=24)
+    if not held.any():
+        held[:] = True
+    score, truth = trees.score(x[held]), y[held]
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
+    right = np.cumsum(truth[order]) / np.arange(1, len(truth) + 1)
+    last = np.append(np.diff(score[order]) < 0, True)[: len(order)]  # equal scores go together
+    good = np.flatnonzero((right >= precision) & last)
     return trees, max(0.5, float(score[order][good[-1]])) if len(good) else 1.1
 
 
@@ -200,8 +245,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), new.alias("parts"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts")))
 
     done = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
-    rows = all_spans(docs.drop(*KINDS), fit(docs))
-    clean = rows.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text))
+    own = [f"own_{k}" for k in range(len(docs.columns))]
+    rows = all_spans(docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")])), fit(docs))
+    rows = rows.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text))
+    back = {"text": text}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(back.get(c, F.col(k)).alias(c) for c, k in zip(docs.columns, own, strict=True)))
