@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neumata.llm import ngram_join, packing, pii, quality_rules, toxicity
+from neumata.llm import common, ngram_join, packing, pii, quality_rules, toxicity
 from neumata.llm.queries import table
 
 
@@ -44,12 +43,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What is between them goes to the folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="neumata-pipeline-")
-    docs, at = table(spark, sf_dir, "documents"), f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    """All stages over documents. What is between them goes to the folder that all executors share.
+
+    Each run has a folder of its own, so one that is started again reads nothing of an earlier one; a stage's folder goes
+    when the next one is written, the last one stays for the result.
+    """
+    docs, at = table(spark, sf_dir, "documents"), f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            if k:
+                common.delete(spark, f"{at}/{k - 1}")
     return docs
