@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -175,9 +177,13 @@ def channel_split(spark, d):
     return n.groupBy("song_id", "bar", "channel").agg(F.count("*").alias("n"), F.sum("ticks").alias("ticks"), F.sum("midi").alias("midi_sum"))
 
 
-@query("SELECT 0::BIGINT AS song_id, 0 AS pos, '' AS rule WHERE false")
+@query(f"WITH {Q.TEXTS}, t AS (SELECT song_id, len(string_split(score, ' ')) AS n, string_split(score, ' ') AS w FROM texts) SELECT song_id, CAST(n - 2 AS INT) AS pos, 'no end' AS rule FROM t WHERE song_id % 5 = 1 UNION ALL SELECT song_id, 1, 'header' FROM t WHERE song_id % 5 = 2 UNION ALL SELECT song_id, CAST(n AS INT), 'empty bar' FROM t WHERE song_id % 5 = 3 UNION ALL SELECT song_id, CAST(n + 1 AS INT), unnest(['empty bar', 'no end']) FROM t WHERE song_id % 5 = 3 UNION ALL SELECT song_id, CAST(n AS INT), 'pitch without duration' FROM t WHERE song_id % 5 = 4 UNION ALL SELECT song_id, CAST(n AS INT), 'no end' FROM t WHERE song_id % 5 = 4")
 def grammar_violations(spark, d):
-    return tokens.violations(parsed(spark, d))
+    """Texts broken on purpose in four ways, by their ids; a fifth of them is left whole and must not show up."""
+    texts = X.score_texts(X.songs(spark, d), X.notes(spark, d))
+    way, score = F.col("song_id") % 5, F.col("score")
+    broken = F.when(way == 1, F.regexp_replace(score, " </s>$", "")).when(way == 2, F.regexp_replace(score, " Tempo_[0-9]+", " x")).when(way == 3, F.concat(score, F.lit(" <bar> <bar>"))).when(way == 4, F.concat(score, F.lit(" p_1/4"))).otherwise(score)
+    return tokens.violations(tokens.parse(texts.withColumn("score", broken)))
 
 
 @query(f"WITH {Q.TOKENS} SELECT song_id, count(*) AS n_token, count_if(tok = '<bar>') AS n_bar, count_if(tok LIKE 'p\\_%' ESCAPE '\\' AND tok NOT IN ('p_r', 'p_rare')) AS n_pitch, count_if(tok = 'p_r') AS n_rest, count_if(tok = '<tup>') AS n_tuplet, count(DISTINCT tok) AS n_distinct, max(CASE WHEN tok_type = 'time_sig' THEN tok END) AS time_sig, max(CASE WHEN tok_type = 'tempo' THEN tok END) AS tempo FROM tokens GROUP BY song_id")
@@ -588,9 +594,10 @@ def log_stitch(spark, d):
     return stats.stitched(log(spark, d))
 
 
-@query(f"WITH {LOG} SELECT run, step FROM lg WHERE false")
+@query(f"WITH {LOG} SELECT a.run, a.step FROM lg a WHERE a.step % 97 <> 0 AND (a.step - 1) % 97 = 0 AND EXISTS (SELECT 1 FROM lg b WHERE b.run = a.run AND b.step = a.step - 2)")
 def log_breaks(spark, d):
-    return stats.breaks(log(spark, d), "run")
+    """Every 97th step is taken out of the log: the steps after the holes must show up."""
+    return stats.breaks(log(spark, d).where("step % 97 <> 0"), "run")
 
 
 @query(f"WITH {LOG} SELECT step, max(CASE WHEN run = 'click' THEN round(value, 6) END) AS click, max(CASE WHEN run = 'view' THEN round(value, 6) END) AS view FROM lg GROUP BY step")
@@ -604,3 +611,119 @@ def log_pivot(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_stream(spark, d):
     return windows.hourly(spark, f"{d}/events.parquet")
+
+
+@query(f"WITH {LOG} SELECT run, step // 50 AS window, round(avg(value), 6) AS mean, count(*) AS n FROM lg GROUP BY ALL")
+def step_metric_means(spark, d):
+    return stats.window_means(log(spark, d), "run", 50)
+
+
+# Formats, names, admission
+
+
+@query(f"WITH {Q.NOTES}, c AS (SELECT song_id, channel, slots, count(*) AS n FROM notes GROUP BY ALL) SELECT channel, slots, CAST(sum(n) AS BIGINT) AS n, count(*) AS songs FROM c GROUP BY ALL")
+def counters_by_format(spark, d):
+    per = X.notes(spark, d).groupBy("song_id", "channel", "slots").agg(F.count("*").alias("n"))
+    return stats.merged_by(per, ["channel"], "slots")
+
+
+@query(f"WITH {Q.NOTES} SELECT channel, count(*) AS n, round(median(slots), 6) AS median FROM notes GROUP BY channel")
+def expanded_medians(spark, d):
+    per = X.notes(spark, d).groupBy("channel", "slots").agg(F.count("*").alias("n"))
+    return stats.expanded(per).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.median("slots"), 6).alias("median"))
+
+
+@query(f"WITH {Q.NOTES}, {Q.SONGS} SELECT dataset, count(*) AS n, count_if(slots % 8 = 0) AS n_quarter, count_if(slots % 4 = 0) AS n_eighth, count_if(slots % 2 = 0) AS n_sixteenth FROM notes JOIN songs USING (song_id) GROUP BY dataset")
+def grid_predicates(spark, d):
+    rows = X.notes(spark, d).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
+    ticks = F.col("slots").cast("long") * S.SLOT_TICKS
+    return rows.groupBy("dataset").agg(F.count("*").alias("n"), *(F.count_if(S.on_grid(ticks, p)).alias(f"n_{name}") for p, name in ((1, "quarter"), (2, "eighth"), (4, "sixteenth"))))
+
+
+@query(f"WITH {Q.NOTES}, g AS (SELECT song_id, bool_or(slots % 2 <> 0) AS off_grid, count(DISTINCT channel) < 2 AS one_part, bool_and(midi < 0) AS unheard FROM notes GROUP BY song_id) SELECT *, NOT (off_grid OR one_part OR unheard) AS admitted FROM g")
+def song_admission(spark, d):
+    return stats.admitted(X.notes(spark, d), 4)
+
+
+@query("SELECT k AS part, min(url) AS url FROM pages JOIN (VALUES ('/EN/'), ('/fr/'), ('.html'), ('nowhere at all')) t(k) ON contains(lower(url), lower(k)) GROUP BY k")
+def example_lookup(spark, d):
+    pages = X.table(spark, d, "pages").select("url")
+    found = [files.lookup(pages, "url", k).select(F.lit(k).alias("part"), "url") for k in ("/EN/", "/fr/", ".html", "nowhere at all")]
+    return reduce(lambda a, b: a.union(b), found)
+
+
+@query("WITH p AS (SELECT p_brand AS brand, replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_partkey AS k FROM part) SELECT brand, name AS stem, 'a/' || name || '.mxl' AS first, 'b/' || name || '.musicxml.mxl' AS second FROM p WHERE k % 2 = 0 AND k % 3 = 0")
+def paired_formats(spark, d):
+    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey"))
+    rows = X.table(spark, d, "part").select(F.col("p_brand").alias("brand"), name.alias("name"), F.col("p_partkey").alias("k"))
+    first = rows.where("k % 2 = 0").select("brand", F.concat(F.lit("a/"), "name", F.lit(".mxl")).alias("path"))
+    second = rows.where("k % 3 = 0").select("brand", F.concat(F.lit("b/"), "name", F.lit(".musicxml.mxl")).alias("path"))
+    return files.paired(first, second, "brand")
+
+
+@query("SELECT DISTINCT o_custkey AS name FROM orders WHERE o_custkey % 3 = 0 OR o_custkey > (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0)")
+def output_orphans(spark, d):
+    top = X.table(spark, d, "customer").where("c_custkey % 2 = 0").agg(F.max("c_custkey").alias("top"))  # one row
+    orders = X.table(spark, d, "orders").select(F.col("o_custkey").alias("name")).distinct()
+    listing = orders.join(F.broadcast(top), F.col("name") <= F.col("top")).where("name % 3 <> 0").select("name")
+    return files.orphans(orders, listing)
+
+
+@query("WITH a AS (SELECT o_custkey AS artist, o_orderpriority AS k, count(*) AS v FROM orders GROUP BY ALL), b AS (SELECT o_custkey AS artist, o_orderpriority AS k, CAST(-max(o_orderkey) AS BIGINT) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) SELECT a.artist, a.k AS key, coalesce(b.v, a.v) AS value FROM a LEFT JOIN b ON a.artist = b.artist AND a.k = b.k WHERE a.artist IN (SELECT artist FROM b)")
+def merged_settings(spark, d):
+    o = X.table(spark, d, "orders").select(F.col("o_custkey").alias("artist"), F.col("o_orderpriority").alias("k"), "o_orderkey", "o_orderstatus")
+    as_map = lambda df, v, name: df.groupBy("artist", "k").agg(v.cast("long").alias("v")).groupBy("artist").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(name))
+    both = as_map(o, F.count("*"), "a").join(as_map(o.where("o_orderstatus = 'F'"), -F.max("o_orderkey"), "b"), "artist")
+    return both.select("artist", F.explode(S.last_wins(F.col("a"), F.col("b"))).alias("key", "value"))
+
+
+@query(f"WITH {Q.SCORES}, {Q.SONGS} SELECT song_id, CASE WHEN key LIKE '%Major' THEN replace(key, 'Major', '') ELSE replace(key, 'Minor', 'm') END AS short_key, lpad(CAST(tempo * 7 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(tempo * 7 % 60 AS VARCHAR), 2, '0') AS length, round(60e6 / (tempo * 2500), 6) AS bpm, '{{n=' || tempo || ', ts=' || ts_num || '/' || ts_den || '}}' AS meta FROM best JOIN songs USING (song_id)".replace("{{", "{").replace("}}", "}"))
+def song_labels(spark, d):
+    rows = harmony.best_key(scores(spark, d)).select("song_id", "key").join(X.songs(spark, d), "song_id")
+    tempo = F.col("tempo")
+    meta = S.meta_text(n=tempo, ts=F.concat_ws("/", "ts_num", "ts_den"))
+    return rows.select("song_id", S.short_key(F.col("key")).alias("short_key"), S.minutes((tempo * 7).cast("long")).alias("length"), F.round(S.bpm(tempo * 2500), 6).alias("bpm"), meta.alias("meta"))
+
+
+@query(f"WITH {Q.vocab('step', 'v')} SELECT id, nullif(regexp_extract(tok, '^p_.*_([A-G])$', 1), '') AS step, tok_type FROM v")
+def vocab_steps(spark, d):
+    return dims.vocab(spark, "step").select("id", S.meta(F.col("tok"))["step"].alias("step"), "tok_type")
+
+
+# Tuplets
+
+
+RUNS = f"{Q.NOTES}, r0 AS (SELECT *, CASE WHEN slots % 4 = 3 THEN NULL ELSE CAST(slots % 4 AS INT) END AS kind FROM notes), r1 AS (SELECT *, sum(CAST(kind IS NOT NULL AND kind IS DISTINCT FROM prev AS INT)) OVER (PARTITION BY song_id, bar, channel ORDER BY pos) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY song_id, bar, channel ORDER BY pos) AS prev FROM r0)), r2 AS (SELECT *, CASE WHEN kind IS NOT NULL THEN run || '/' || ((row_number() OVER (PARTITION BY song_id, bar, channel, run, kind ORDER BY pos) - 1) // 3) END AS chunk FROM r1)"
+
+
+def chunks(spark, d):
+    kind = F.when(F.col("slots") % 4 != 3, (F.col("slots") % 4).cast("int"))
+    return intervals.tuplet_chunks(X.notes(spark, d).withColumn("kind", kind), ["song_id", "bar", "channel"], ["pos"], "kind", 3)
+
+
+@query(f"WITH {RUNS} SELECT song_id, bar, channel, pos, chunk FROM r2")
+def tuplet_chunks(spark, d):
+    return chunks(spark, d).select("song_id", "bar", "channel", "pos", "chunk")
+
+
+@query(f"WITH {RUNS}, g AS (SELECT song_id, bar, channel, chunk, count(*) AS n, CAST(sum(slots) AS BIGINT) AS slots FROM r2 WHERE chunk IS NOT NULL GROUP BY ALL) SELECT song_id, bar, channel, chunk, slots % n <> 0 AS tuplet, k, CASE WHEN slots % n = 0 THEN slots // n ELSE slots END AS part FROM (SELECT *, unnest(CASE WHEN slots % n = 0 THEN range(n) ELSE [0::BIGINT] END) AS k FROM g)")
+def tuplets_made_plain(spark, d):
+    groups = chunks(spark, d).where("chunk is not null").groupBy("song_id", "bar", "channel", "chunk").agg(F.count("*").alias("n"), F.sum("slots").cast("long").alias("slots"))
+    return intervals.plain_tuplets(groups).select("song_id", "bar", "channel", "chunk", "tuplet", F.col("k").cast("long").alias("k"), "part")
+
+
+# Texts for training
+
+LETTER = "list_extract(['C','C','D','D','E','F','F','G','G','A','A','B'], CAST(regexp_extract(tok, '^p_(\\d+)/', 1) AS INT))"
+DEGREES = f"{Q.TEXTS}, {Q.SCORES.replace(Q.NOTES + ', ', '')}, dt AS (SELECT song_id, key, unnest(string_split(texts.score, ' ')) AS tok, generate_subscripts(string_split(texts.score, ' '), 1) AS pos FROM texts JOIN best USING (song_id)), dd AS (SELECT song_id, key, pos, CASE WHEN tok LIKE 'p!_%' ESCAPE '!' AND tok <> 'p_r' THEN tok || '_' || ((strpos('CDEFGAB', {LETTER}) - strpos('CDEFGAB', key[1]) + 7) % 7 + 1) ELSE tok END AS tok FROM dt)"
+
+
+@query(f"WITH {DEGREES} SELECT song_id, string_agg(CASE WHEN pos = 2 THEN tok || ' Key_' || key ELSE tok END, ' ' ORDER BY pos) AS score FROM dd GROUP BY song_id")
+def degree_texts(spark, d):
+    texts = X.score_texts(X.songs(spark, d), X.notes(spark, d)).join(harmony.best_key(scores(spark, d)).select("song_id", "key"), "song_id")
+    return tokens.loaded(texts.withColumn("score", tokens.stepped(F.col("score"))), "degree")
+
+
+@query(f"WITH {Q.TEXTS}, bn AS (SELECT *, dense_rank() OVER (PARTITION BY song_id ORDER BY bar) AS nth FROM parts), bs AS (SELECT song_id, nth, '<bar> ' || string_agg(part, ' ' ORDER BY (channel = 'bass') <> ({Q.hashed('song_id', 'nth', chr(39) + '3' + chr(39))} % 2 = 1)) AS text FROM bn GROUP BY song_id, nth) SELECT s.song_id, 'TimeSig_' || ts_num || '/' || ts_den || ' Tempo_' || tempo || ' ' || string_agg(text, ' ' ORDER BY nth) || ' </s>' AS score FROM songs s JOIN bs USING (song_id) GROUP BY s.song_id, ts_num, ts_den, tempo")
+def channel_swap(spark, d):
+    return tokens.swapped(X.score_texts(X.songs(spark, d), X.notes(spark, d)), 3)

@@ -127,3 +127,23 @@ def folded(title: Column) -> Column:
 
 def bpm(microseconds: Column) -> Column:
     return 60e6 / microseconds
+
+
+def on_grid(ticks: Column, parts: int) -> Column:
+    """Whether a duration is a whole number of quarters' parts (1: whole quarters, 2: eighths, 2^(precision - 2): the grid of a precision)."""
+    return ticks % (TICKS_PER_QUARTER // parts) == 0
+
+
+def short_key(key: Column) -> Column:
+    """'F#Minor' as 'F#m', 'CMajor' as 'C'."""
+    return F.regexp_replace(F.regexp_replace(key, "Major$", ""), "Minor$", "m")
+
+
+def meta_text(**parts: Column) -> Column:
+    """'{a=1, b=x}': parameters in a file's name."""
+    return F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items())), F.lit("}"))
+
+
+def last_wins(first: Column, second: Column) -> Column:
+    """Two maps as one; keys of both take the second one's value."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)

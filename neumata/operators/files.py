@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -62,3 +62,42 @@ def by_title(songs: DataFrame, titles: DataFrame) -> DataFrame:
 def totals(files: DataFrame) -> DataFrame:
     """n_file, n_artist, n_song (distinct artist and title)."""
     return files.agg(F.count("*").alias("n_file"), F.count_distinct("artist").alias("n_artist"), F.count_distinct("artist", "title").alias("n_song"))
+
+
+def lookup(paths: DataFrame, column: str, part: str) -> DataFrame:
+    """The first path, in order, that holds this part, whatever its case; none if there is none."""
+    return paths.where(F.contains(F.lower(column), F.lit(part.lower()))).orderBy(column).limit(1)
+
+
+def paired(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
+    """by, stem, first, second: files of two formats with the same stem. Both: by, path."""
+    of = lambda df, name: df.select(by, stem(F.col("path")).alias("stem"), F.col("path").alias(name))
+    return of(first, "first").join(of(second, "second"), [by, "stem"])
+
+
+def write_vocabulary(vocab: DataFrame, folder: str) -> None:
+    """One JSON line a token (id, tok, tok_type), in the order of ids."""
+    vocab.select("id", "tok", "tok_type").coalesce(1).sortWithinPartitions("id").write.mode("overwrite").json(folder)
+
+
+def read_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("id int, tok string, tok_type string").json(folder)
+
+
+def write_samples(samples: DataFrame, folder: str) -> None:
+    """Generated texts with their prompts and parameters, one JSON line each."""
+    samples.write.mode("overwrite").json(folder)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A side table as CSV with a header, strictly by its schema."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+
+
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder once and read from there afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

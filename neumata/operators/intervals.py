@@ -181,3 +181,21 @@ def tuplets(elements: DataFrame, n: int = 3, unit_slots: int = 4) -> DataFrame:
         return [(r[3], label) for r, label in zip(rows, labels, strict=True)]
 
     return each_bar(elements, group, "id long, tuplet int")
+
+
+def tuplet_chunks(notes: DataFrame, by: list[str], order: list[str], kind: str, size: int) -> DataFrame:
+    """notes and chunk: neighbours of the same non-null kind in groups of `size`, numbered within `by`; null elsewhere."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    new = F.col(kind).isNotNull() & ~F.lag(kind).over(w).eqNullSafe(F.col(kind))
+    rows = notes.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    nth = F.row_number().over(Window.partitionBy(*by, "run", kind).orderBy(*order)) - 1
+    chunk = F.concat_ws("/", F.col("run"), F.floor(nth / size).cast("int"))
+    return rows.withColumn("chunk", F.when(F.col(kind).isNotNull(), chunk)).drop("run")
+
+
+def plain_tuplets(groups: DataFrame, size: str = "n", total: str = "slots") -> DataFrame:
+    """Groups, one row each, and parts: those whose equal shares lie on the grid become that many plain notes, others stay one."""
+    share = F.col(total) / F.col(size)
+    even = F.col(total) % F.col(size) == 0
+    parts = F.when(even, F.array_repeat(share.cast("long"), F.col(size).cast("int"))).otherwise(F.array(F.col(total).cast("long")))
+    return groups.select("*", F.posexplode(parts).alias("k", "part"), (~even).alias("tuplet"))

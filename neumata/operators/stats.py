@@ -129,3 +129,27 @@ def breaks(log: DataFrame, by: str) -> DataFrame:
     """by, step: steps that do not follow the one before."""
     before = F.lag("step").over(Window.partitionBy(by).orderBy("step"))
     return log.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") + 1 != F.col("step"))).select(by, "step")
+
+
+def window_means(log: DataFrame, by: str, every: int) -> DataFrame:
+    """by, window, mean, n: the mean of the values logged in each window of `every` steps."""
+    rows = log.withColumn("window", F.floor(F.col("step") / every).cast("long"))
+    return rows.groupBy(by, "window").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+def merged_by(counts: DataFrame, by: list[str], key: str, n: str = "n") -> DataFrame:
+    """Counters merged by format: by, key, n, songs (how many counters hold the key)."""
+    return counts.groupBy(*by, key).agg(F.sum(n).alias(n), F.count("*").alias("songs"))
+
+
+def expanded(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Each row as many times as it counts."""
+    return counts.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).drop(n)
+
+
+def admitted(notes: DataFrame, parts: int) -> DataFrame:
+    """song_id, off_grid, one_part, unheard, admitted: what keeps a song out (durations off the grid, a missing part, rests alone)."""
+    got = notes.groupBy("song_id").agg(
+        F.bool_or(~S.on_grid(F.col("slots").cast("long") * S.SLOT_TICKS, parts)).alias("off_grid"), (F.count_distinct("channel") < 2).alias("one_part"), F.bool_and(F.col("midi") < 0).alias("unheard"),
+    )
+    return got.withColumn("admitted", ~(F.col("off_grid") | F.col("one_part") | F.col("unheard")))

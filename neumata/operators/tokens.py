@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -149,3 +151,95 @@ def key_vector(keys: Column) -> Column:
     """24 scores in the order of key ordinals; missing and zero ones are -1."""
     names = [r[0] for r in dims.key_rows()]
     return F.array(*(F.coalesce(F.nullif(F.try_element_at(keys, F.lit(n)), F.lit(0.0)), F.lit(-1.0)) for n in names))
+
+
+def respelled(score: Column, pitch) -> Column:
+    """The text with pitch(token) in place of each heard pitch; nothing is dealt out."""
+    return F.array_join(F.transform(words(score), lambda t: F.when(S.is_pitch_heard(t), pitch(t)).otherwise(t)), " ")
+
+
+def stepped(score: Column) -> Column:
+    """Plain pitches with the letter of their usual spelling; where it crosses an octave, the octave is the letter's."""
+    letters = F.array(*(F.lit(s[0][0]) for s in dims.SPELLINGS))
+
+    def spelled(t: Column) -> Column:
+        return F.concat(t, F.lit("_"), F.element_at(letters, S.group(t, S.PITCH, 1).cast("int")))
+
+    return respelled(score, spelled)
+
+
+def degreed(score: Column, key: Column) -> Column:
+    """Pitches with a step letter as degrees of the key; numbers an octave out of range fold inwards."""
+
+    def shifted(t: Column) -> Column:
+        midi = S.midi_of(t)
+        inside = S.pitch_token(F.when(midi < 0, midi + 12).when(midi > 127, midi - 12).otherwise(midi))
+        return F.concat_ws("_", inside, S.degree(S.group(t, S.PITCH, 3), key).cast("string"))
+
+    return respelled(score, shifted)
+
+
+def augmented(score: Column, key: Column) -> Column:
+    """The key token third, and steps as degrees of that key."""
+    return key_inserted(degreed(score, key), key)
+
+
+def loaded(scores: DataFrame, pitch_kind: str, vocab: DataFrame | None = None) -> DataFrame:
+    """song_id, score as training takes it: 'midi' folds pitches into range, 'degree' inserts the key (column key) and shifts, 'step' stays.
+
+    vocab: tokens outside it become rare ones first (that alone deals tokens out and joins them).
+    """
+    if vocab is not None:
+        clean = sanitized(parse(scores), vocab).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clean"))).alias("t"))
+        texts = clean.select("song_id", F.array_join(F.transform("t", lambda x: x["clean"]), " ").alias("score"))
+        scores = scores.drop("score").join(texts, "song_id")
+    made = {"midi": lambda: respelled(F.col("score"), to_midi), "degree": lambda: augmented(F.col("score"), F.col("key")), "step": lambda: F.col("score")}
+    if pitch_kind not in made:
+        raise ValueError(f"pitch kind {pitch_kind!r} is none of {sorted(made)}")
+    return scores.select("song_id", made[pitch_kind]().alias("score"))
+
+
+def swapped(scores: DataFrame, seed: int) -> DataFrame:
+    """song_id, score: in each bar a coin decides whether the bass part comes before the melody part; within a text, without a shuffle."""
+    parts = F.split(F.regexp_replace(F.regexp_replace("score", " </s>$", ""), " <bar> ", "\n"), "\n")
+
+    def bar(t: Column, k: Column) -> Column:
+        melody, bass = F.regexp_extract(t, r"^(<melody>.*?)(?: <bass>|$)", 1), F.regexp_extract(t, r"(<bass>.*)$", 1)
+        first = F.pmod(S.hashed(F.col("song_id"), k, seed), F.lit(2)) == 1
+        both = F.when(first, F.array(bass, melody)).otherwise(F.array(melody, bass))
+        return F.when(k == 0, t).otherwise(F.concat_ws(" ", F.lit("<bar>"), F.array_join(F.filter(both, lambda x: x != ""), " ")))
+
+    return scores.select("song_id", F.concat(F.array_join(F.transform(parts, bar), " "), F.lit(" </s>")).alias("score"))
+
+
+@dataclass(frozen=True)
+class Augmented:
+    """The chain of transforms of a training epoch, as one projection: crop, tempo bins, pitch kind, key, order of channels."""
+
+    pitch_kind: str = "midi"
+    crop: int | None = None
+    tempo_width: int | None = None
+    swap: bool = False
+    seed: int = 0
+
+    def __post_init__(self):
+        if self.pitch_kind not in ("midi", "step", "degree"):
+            raise ValueError(f"pitch kind {self.pitch_kind!r}")
+        if self.crop is not None and self.crop < 1:
+            raise ValueError("a crop keeps one bar at least")
+
+    def __call__(self, scores: DataFrame, epoch: int, train: bool = True) -> DataFrame:
+        """song_id, score. scores: song_id, score, and key where the pitch kind is degree."""
+        rows, seed = scores, self.seed + epoch
+        if self.crop is not None and train:
+            rows = rows.drop("score").join(cropped(scores, seed, self.crop).select("song_id", "score"), "song_id") if "key" in scores.columns else cropped(scores, seed, self.crop)
+        if self.swap:
+            made = swapped(rows, seed)
+            rows = rows.drop("score").join(made, "song_id") if "key" in rows.columns else made
+        if self.tempo_width:
+            rows = rows.withColumn("score", tempo_grouped(F.col("score"), self.tempo_width))
+        return loaded(rows, self.pitch_kind)
+
+    @property
+    def name(self) -> str:
+        return "{" + ", ".join(f"{k}={v}" for k, v in (("pitch", self.pitch_kind), ("crop", self.crop), ("tempo", self.tempo_width), ("swap", self.swap)) if v) + "}"
