@@ -476,6 +476,33 @@ def test_ngram_join(docs, odd, empty, spark):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_ngram_join_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    d = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    want = c.execute(queries.oracle_sql()["op10_ngram_join"]).fetchall()
+    df = queries.op10_ngram_join(spark, d)
+    assert [x[0] for x in c.description] == df.columns and sorted(want) == sorted(map(tuple, df.collect()))
+
+
+def test_overlaps_in_blocks_of_columns():
+    """Accumulated counts against whole intersections, around the threshold."""
+    rng = np.random.default_rng(4)
+    pivot = np.unique(rng.integers(-(2**63), 2**63 - 1, 400))
+    rows = [np.unique(np.concatenate([rng.choice(pivot, k, replace=False), rng.integers(-(2**63), 2**63 - 1, m)])) for k in range(300, 400, 3) for m in (0, 5, 40)]
+    rows += [np.zeros(0, np.int64), pivot, pivot[:1]]
+    for threshold in (80, 85, 100):
+        want = [100 * (both := len(np.intersect1d(pivot, r))) >= threshold * (len(pivot) + len(r) - both) for r in rows]
+        assert ngram_join.reaching(pivot, rows, threshold).tolist() == want and any(want)
+
+
+def test_words_longer_than_a_segment():
+    texts_ = ["x" * 5000 + " b c d e", "short words in a text of nine or more", "", "y" * 300, " \t\n"]
+    small, large = ngram_join.Shingler(4, segment=64), ngram_join.Shingler(4)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(small(texts_), large(texts_), strict=True))
+
+
 def test_ngram_join_with_frequent_columns_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
