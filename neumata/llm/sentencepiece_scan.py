@@ -54,7 +54,7 @@ class Words(dict):
 class Model:
     """Pieces, their scores, and words already encoded."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, digested: bool = Fals
 
     def whole(batches):
         model = model_of(path)
-        for ids, texts in texts_of(batches):
+        for ids, texts in texts_of(batches, 64):
             got = model.whole(texts)
             yield batch([(i, 0, 1, *told(x, digested), model.spells(x, model.normalize(t))) for i, t, x in zip(ids, texts, got, strict=True)], out_schema)
 
