@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..llm.common import cut
+from ..functions.lineage import cut
 
 #: Merges that are repeated in every round before the blocks of words are written anew.
 MERGES = 64
