@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,17 +242,93 @@ def test_pii_long_runs(spark):
     assert sorted((r.doc_id, r.n_email, r.n_card) for r in pii.find(df).collect()) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0)]
 
 
-def test_licences(docs, odd, empty, spark):
+@pytest.fixture(scope="module")
+def licences(docs):
+    return license_scan.fit(docs)
+
+
+def test_licences(docs, odd, empty, spark, licences):
     notice = "This work is licensed under the GNU General Public License, version 3."
     more = spark.createDataFrame([(10_000, f"words here\n{notice}\nmore"), (10_001, "She renewed her driver's licence at the office.")], "doc_id long, text string")
-    got = {r.doc_id: r for r in license_scan.by_document(docs.select("doc_id", "text").union(more)).collect()}
+    got = {r.doc_id: r for r in license_scan.by_document(docs.select("doc_id", "text").union(more), licences).collect()}
     assert got[10_000].families == "GPL" and got[10_001].n_notices == 0
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", notice: "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
     for i, t in texts(docs).items():
-        want = {f for line, f in lines.items() if line in t.split("\n")}
-        assert want <= set(got[i].families.split(",")) or not want
-        assert want or not got[i].n_notices
-    assert license_scan.by_document(odd).count() == len(ODD) and license_scan.by_document(empty).count() == 0
+        want = [f for line in t.split("\n") for x, f in lines.items() if x == line.strip()]
+        assert got[i].families == ",".join(sorted(set(want))) and got[i].n_notices == len(want)
+    assert license_scan.by_document(odd, licences).count() == len(ODD) and license_scan.by_document(empty, licences).count() == 0
+    assert license_scan.by_document(empty).count() == 0
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+BSD, MIT, APACHE = license_scan.NOTICES["BSD"][0], license_scan.NOTICES["MIT"][1], license_scan.NOTICES["Apache-2.0"][1]
+
+
+@pytest.mark.parametrize(
+    "cases",
+    [
+        {wrapped(BSD, 60): "BSD", wrapped(BSD, 72, " * "): "BSD", wrapped(MIT, 50, "# "): "MIT", wrapped(APACHE, 60, "// "): "Apache-2.0", f"A line before\n{wrapped(MIT, 72)}\nand one after": "MIT"},
+        {license_scan.NOTICES["AGPL"][2]: "AGPL", license_scan.NOTICES["GPL"][1]: "GPL", "Released under the Mozilla Public License 2.0.": "MPL-2.0"},
+        {"Released under the MIT License.\nLicensed under CC BY-NC 4.0.": "CC-BY-NC,MIT", "This work is released into the public domain.": "public-domain"},
+        {"You must be licensed under state law, version 2.0 of the form.": "", "This work is NOT released into the public domain.": "", "This is not licensed under the MIT License.": ""},
+        {"The general public was granted permission to use the library.": "", "license " * 300: "", "Redistribution and use in source\n\nand binary forms, with or without modification": "", "": "", "\n" * 50: ""},
+    ],
+    ids=["wrapped", "named", "two", "denied", "unknown"],
+)
+def test_licences_wrapped_named_and_denied(spark, licences, cases):
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.by_document(rows, licences).collect()}
+    assert {t: got[k].families for k, t in enumerate(cases)} == cases
+    assert all(got[k].n_notices == (len(f.split(",")) if f else 0) for k, f in enumerate(cases.values()))
+
+
+def test_licences_of_shared_and_null_ids(spark, licences):
+    mit, nc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
+    rows = spark.createDataFrame([(1, mit), (1, nc), (1, nc), (None, mit), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_notices, r.families) for r in license_scan.by_document(rows, licences).collect()}
+    assert got == {1: (2, "CC-BY-NC,MIT"), None: (1, "MIT"), 2: (0, "")}
+
+
+def plain_licences(text, model):
+    """Every paragraph scored by itself: (first line, lines) of those that are kept."""
+    weights, bias, threshold, _ = model
+    lines, hits = text.lower().split("\n"), {}
+    for at in range(len(lines)):
+        for size in range(1, license_scan.MAX_LINES + 1):
+            part = lines[at : at + size]
+            if len(part) < size or not all(any(c.isalnum() for c in x) for x in part):
+                break
+            grams = set(license_scan.own_grams(" ".join(part)))
+            z = np.array(bias) + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(bias)))
+            f = license_scan.FAMILIES[max(range(len(z)), key=lambda k: (z[k], k))]
+            share = max(len(grams.intersection(t)) / len(t) for t in map(license_scan.own_grams, license_scan.NOTICES[f]))
+            if 1 / (1 + np.exp(-z.max())) >= threshold and share >= license_scan.CONFIRM:
+                hits[at, size] = f
+    least = {k: f for k, f in hits.items() if not any(a >= k[0] and a + n <= k[0] + k[1] and n < k[1] for a, n in hits)}
+    out, until = [], {}
+    for (at, size), f in sorted(least.items()):
+        if at >= until.get(f, 0):
+            out.append((at, size, f))
+        until[f] = max(until.get(f, 0), at + size)
+    return out
+
+
+def test_licences_against_plain_scores(spark, licences):
+    rng = np.random.default_rng(5)
+    notices = [t for x in license_scan.NOTICES.values() for t in x] + license_scan.wrong_notices()
+    made = []
+    for _ in range(60):
+        parts = [wrapped(notices[rng.integers(len(notices))], int(rng.integers(25, 90))) if rng.random() < 0.6 else ["", "***", "plain words of the file", "the license"][rng.integers(4)] for _ in range(6)]
+        made.append("\n".join(parts))
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in license_scan.scan(rows, licences).collect():
+        got[r.doc_id].append((r.at, r["size"], r.family))
+    assert {k: sorted(got[k]) for k in range(len(made))} == {k: plain_licences(t, licences) for k, t in enumerate(made)}
+    assert sum(map(len, got.values())) > 50
 
 
 def test_sentencepiece(docs, odd, empty, spark):
