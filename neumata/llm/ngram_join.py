@@ -9,7 +9,8 @@ other: overlap counts are accumulated, and a row is discarded once the rest of i
 that the sizes ask for.
 
 So that a large group of near copies costs no pairs within it, this runs in rounds. First each class asks the pivot it
-shares most columns with, then those other pivots of its columns that it is not connected with. The second round takes
+shares most columns with, then those other pivots of its columns that it is not connected with. While the columns would
+still pair many rows of different components, and each turn halves that, further turns draw other pivots. The second round takes
 the columns that still hold rows of several components, and multiplies the most alike pair of each two components; the
 third multiplies all other pairs whose components are still apart. Every pair that reaches the threshold is thus either
 multiplied or already connected: no link between components is lost, and no cap is set on anything.
@@ -42,6 +43,8 @@ SKETCH_BITS = 2048
 MOST_BROADCAST = 500_000
 #: Longs of the coarser sketch that goes along with cells in the second round.
 FOLDED = 8
+#: Pairs of different components for each row of the columns left, from which on another turn of pivots comes before the second round.
+CROSSING = 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes read at once, n-grams among which a task looks for frequent ones at once, and blocks of columns of the product.
 SEGMENT, TALLIED, COLUMN_BLOCKS = 1 << 20, 1 << 21, 8
@@ -407,6 +410,29 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(F.coalesce("p_root", "p") != F.coalesce("q_root", "q")).select("p", "q")
 
 
+def likeness(threshold: int):
+    """In how many bits the folded sketches of x and y differ, and whether so few allow the threshold."""
+    differ = sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(FOLDED))
+    return differ, (100 + threshold) * differ <= (100 - threshold) * (F.col("x.n") + F.col("y.n"))
+
+
+def crossing(placed: DataFrame) -> tuple[int, int]:
+    """How many pairs of rows of different components the columns hold, and how many rows."""
+    per = placed.groupBy("gram", "root").agg(F.count("*").cast("double").alias("c")).groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    got = per.agg(F.sum((F.col("c") * F.col("c") - F.col("own")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
+    return got.pairs or 0, got.rows or 0
+
+
+def other_pivots(placed: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """p, q: each row with the most alike of its columns' pivots, which are of another component and drawn anew each turn."""
+    row = F.struct("root", "cls", "n", "pos", *(f"s{k}" for k in range(FOLDED)))
+    tops = placed.groupBy("gram").agg(F.min_by(row, F.struct(F.xxhash64("cls", "gram", F.lit(turn)), F.col("cls"))).alias("x")).select("gram", "x")
+    differ, alike = likeness(threshold)
+    met = placed.alias("y").join(tops, "gram").where(F.col("x.root") != F.col("y.root"))
+    met = met.where(may_reach(threshold, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")) & alike)
+    return met.groupBy(F.col("y.cls").alias("q")).agg(F.min(F.struct(differ.alias("d"), F.col("x.cls").alias("p"))).alias("m")).select("m.p", "q")
+
+
 def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = cut(rows_of(docs, width))
@@ -436,15 +462,25 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
     if more.limit(1).count():
         roots = components(ask(more), roots)
 
+    # Between the rounds, while columns would still pair many rows of different components: each row asks another pivot.
+    before, turn = None, 0
+    while True:
+        of = sets.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
+        placed = cells.select("gram", "cls", "n", "pos").join(of, "cls")
+        open_ = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("gram")
+        placed = cut(placed.join(open_, "gram", "left_semi").join(folded(sets), "cls"))
+        pairs, rows = crossing(placed)
+        if pairs <= CROSSING * rows or (before is not None and 2 * pairs > before):
+            break
+        links = cut(ask(other_pivots(placed, turn, threshold)))
+        if not links.limit(1).count():
+            break
+        roots, before, turn = components(links, roots), pairs, turn + 1
+
     # Round 2: of each two components that a column holds, the two rows that look most alike.
-    of = sets.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    placed = cells.select("gram", "cls", "n", "pos").join(of, "cls")
-    open_ = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("gram")
-    placed = cut(placed.join(open_, "gram", "left_semi").join(folded(sets), "cls"))
     x, y = placed.alias("x"), placed.alias("y")
     crossed = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    differ = sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(FOLDED))
-    alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("x.n") + F.col("y.n"))
+    differ, alike = likeness(threshold)
     met = x.join(y, crossed & may_reach(threshold, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")) & alike)
     met = cut(met.select(F.col("x.cls").alias("p"), F.col("y.cls").alias("q"), F.least("x.root", "y.root").alias("r"), F.greatest("x.root", "y.root").alias("s"), differ.alias("d")).distinct())
     best = cut(met.groupBy("r", "s").agg(F.min(F.struct("d", "p", "q")).alias("m")).select("m.p", "m.q"))
