@@ -625,24 +625,3 @@ def test_pipeline_takes_shingles_of_five_words(spark):
 def test_queries_run(spark):
     for name, query in queries.queries().items():
         assert query(spark, SF).count() > 0, name
-
-
-def test_ngram_join_with_further_turns_of_pivots(spark, monkeypatch):
-    """Members of a large group, of which most are too far from any one pivot, against all pairs."""
-    rng = np.random.default_rng(3)
-    base = [f"w{k}" for k in range(100)]
-    made = []
-    for i in range(120):
-        words = list(base)
-        for k in rng.choice(100, 3, replace=False):
-            words[k] = f"x{rng.integers(4)}"
-        made.append((i, " ".join(words)))
-    rows = spark.createDataFrame(made, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "CROSSING", 0)
-    got = {r.doc_id: r.component_id for r in ngram_join.join(rows, 5, 80).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in made}
-    near = {i: [j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
-    root = {i: i for i in sets}
-    for _ in sets:
-        root = {i: min(root[j] for j in near[i]) for i in sets}
-    assert got == root and len(set(root.values())) < len(root)
