@@ -9,10 +9,11 @@ other: overlap counts are accumulated, and a row is discarded once the rest of i
 that the sizes ask for.
 
 So that a large group of near copies costs no pairs within it, this runs in rounds. First each class asks the pivot it
-shares most columns with, then those other pivots of its columns that it is not connected with. The second round takes
-the columns that still hold rows of several components, and multiplies the most alike pair of each two components; the
-third multiplies all other pairs whose components are still apart. Every pair that reaches the threshold is thus either
-multiplied or already connected: no link between components is lost, and no cap is set on anything.
+shares most columns with. The second round takes the long columns that still hold rows of several components; pivots are
+drawn anew, the rows in the middle of those they look like, since what is near the text all copies come from reaches most
+of them. The third round multiplies, over all columns, the most alike pair of each two components; the fourth all other
+pairs whose components are still apart. Every pair that reaches the threshold is thus either multiplied or already
+connected: no link between components is lost, and no cap is set on anything.
 
 Sets and n-grams are told apart by 64-bit hashes, which are certain enough up to some 10^9 distinct sets. Null texts and
 texts without words have an empty set and stay alone; repeated rows and ids each give a row (`keep_one` keeps or drops the
@@ -40,8 +41,10 @@ BLOCK = 2048
 SKETCH_BITS = 2048
 #: Ids (eight bytes each) that may be broadcast, once counted.
 MOST_BROADCAST = 500_000
-#: Longs of the coarser sketch that goes along with cells in the second round.
+#: Longs of the coarser sketch that goes along with cells after the first round.
 FOLDED = 8
+#: Rows from which a column is long: pivots are drawn anew in it. The pairs of shorter ones are few.
+LONG = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes read at once, n-grams among which a task looks for frequent ones at once, and blocks of columns of the product.
 SEGMENT, TALLIED, COLUMN_BLOCKS = 1 << 20, 1 << 21, 8
@@ -280,6 +283,77 @@ def folded(sets: DataFrame) -> DataFrame:
     return sets.select("cls", *(fold(k) for k in range(FOLDED)))
 
 
+def middles(cls: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, sketch: np.ndarray, threshold: int):
+    """(pivot, members, distances) of one block of a column: indices of the rows in the middle, and of rows of other components that look like them.
+
+    The majority of the block's bits stands for the text that copies come from. The row next to it is the pivot of all rows
+    that sketch, sizes and positions let reach the threshold with it; those left get another pivot, and so on, so each row
+    is a member at most once. The majority is taken anew whenever half of the rows are gone.
+    """
+    left, voted = np.arange(len(cls)), None
+    while len(left) > 1:
+        if voted is None or 2 * len(left) <= voted:
+            voted = len(left)
+            bits = np.unpackbits(sketch[left].view(np.uint8), axis=1).sum(0, dtype=np.int64)
+            major = np.packbits(2 * bits > voted).view(np.uint64)
+            far = np.bitwise_count(sketch[left] ^ major).sum(1, dtype=np.int64)
+            left = left[np.lexsort((cls[left], far))]
+        p, rest = left[0], left[1:]
+        d = np.bitwise_count(sketch[rest] ^ sketch[p]).sum(1, dtype=np.int64)
+        small, large = np.minimum(n[rest], n[p]), np.maximum(n[rest], n[p])
+        most = np.minimum(n[rest] - pos[rest], n[p] - pos[p])
+        able = (100 * small >= threshold * large) & ((100 + threshold) * most >= threshold * (small + large))
+        able &= (100 + threshold) * d <= (100 - threshold) * (small + large)
+        asks = able & (root[rest] != root[p])
+        yield p, rest[asks], d[asks]
+        left = rest[~able]
+
+
+def drawn(placed: DataFrame, threshold: int) -> DataFrame:
+    """p, q, d: pivots drawn anew in the blocks of long columns, and what each is to be multiplied with.
+
+    placed: cells with root, sketch and the number of parts of their column. Columns come from sorted partitions, one
+    block is held at a time. Each row asks the pivot most like it; pivots ask all they were drawn with, and the pivots of a
+    column's blocks one of them.
+    """
+    longs = [f"s{k}" for k in range(FOLDED)]
+
+    def run(batches):
+        def out(block):
+            gram, part, parts, cls, n, pos, root, *sketch = block
+            rows = []
+            for p, members, d in middles(cls, n, pos, root, np.stack(sketch, 1).view(np.uint64), threshold):
+                if not rows and parts[0] > 1:
+                    rows.append((gram[[0]], cls[[p]], np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool)))
+                rows.append((gram[: len(members)], np.full(len(members), cls[p]), cls[members], d, np.zeros(len(members), bool)))
+            return rows
+
+        held = None
+        for b in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            ends = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            rows, start = [], 0
+            for e in ends:
+                rows += out([x[start:e] for x in held])
+                start = e
+            held = [x[start:] for x in held]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["gram", "p", "q", "d", "head"])
+        if held is not None and len(held[0]) and (rows := out(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["gram", "p", "q", "d", "head"])
+
+    dealt = placed.where(F.col("c") >= LONG).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("part", F.pmod("cls", F.col("parts")).cast("int"))
+    dealt = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "cls").select("gram", "part", "parts", "cls", "n", "pos", "root", *longs)
+    met = cut(dealt.mapInArrow(run, "gram long, p long, q long, d long, head boolean"))
+    asks = met.where("not head").select("p", "q", "d").distinct()
+    nearest = asks.groupBy("q").agg(F.min(F.struct("d", "p")).alias("m")).select("m.p", "q")
+    between = asks.join(asks.select(F.col("p").alias("q")).distinct(), "q", "left_semi").select("p", "q")
+    heads = met.where("head").select("gram", "p").distinct()
+    across = heads.select("gram", F.col("p").alias("q")).join(heads.groupBy("gram").agg(F.min("p").alias("p")), "gram").select("p", "q").where("p <> q")
+    return nearest.union(between).union(across).distinct()
+
+
 def least_overlap(n, m, threshold: int):
     """The least number of common elements of sets of n and m elements that reach the threshold."""
     return -(-threshold * (n + m) // (100 + threshold))
@@ -422,25 +496,32 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
         return cut(multiply(docs, cut(near_enough(pairs, sets, threshold)), width, threshold))
 
     # Round 1: the product of each block's members with its pivot, and of a long column's pivots with one of them, gives
-    # counts of common columns. Each class asks the pivot it has most in common with, then the others still apart.
+    # counts of common columns. Each class asks the pivot it has most in common with.
     own = cells.select("cls", "n", "pos", "pivot", "pivot_n", "pivot_pos")
     heads = cells.where("salt >= 0").select("gram", F.struct(F.col("pivot").alias("cls"), F.col("pivot_n").alias("n"), F.col("pivot_pos").alias("pos")).alias("head")).distinct()
     first = heads.groupBy("gram").agg(F.min("head").alias("top"))
     across = heads.join(first, "gram").select("head.*", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.pos").alias("pivot_pos"))
     able = may_reach(threshold, F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"))
     met = own.union(across).where("cls <> pivot").groupBy(F.col("pivot").alias("p"), F.col("cls").alias("q")).agg(F.count("*").alias("common"), F.max(able).alias("able"))
-    met = cut(met.where("able").select("p", "q", "common"))
-    top = met.groupBy("q").agg(F.min(F.struct(-F.col("common"), "p")).alias("m")).select("m.p", "q")
+    top = cut(met.where("able").groupBy("q").agg(F.min(F.struct(-F.col("common"), "p")).alias("m")).select("m.p", "q"))
     roots = jumped(cut(ask(top).select(F.col("q").alias("node"), F.col("p").alias("root"))))  # a pivot is smaller than its members
-    more = cut(apart(met.select("p", "q").join(top, ["p", "q"], "left_anti"), roots))
-    if more.limit(1).count():
-        roots = components(ask(more), roots)
-
-    # Round 2: of each two components that a column holds, the two rows that look most alike.
-    of = sets.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    placed = cells.select("gram", "cls", "n", "pos").join(of, "cls")
-    open_ = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("gram")
-    placed = cut(placed.join(open_, "gram", "left_semi").join(folded(sets), "cls"))
+
+    # Round 2: in long columns that hold several components, pivots from the middle of what they look like.
+    def rooted(cells: DataFrame) -> DataFrame:
+        return cells.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+
+    def still_open(placed: DataFrame) -> DataFrame:
+        """The rows of columns that hold several components, with the number of their column's rows."""
+        several = placed.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("c"))
+        return placed.join(several.where("least < most").select("gram", "c"), "gram")
+
+    placed = cut(still_open(rooted(cells.select("gram", "cls", "n", "pos"))).join(folded(sets), "cls"))
+    pairs = drawn(placed, threshold)
+    if pairs.limit(1).count():
+        roots = components(ask(pairs), roots)
+        placed = cut(still_open(rooted(placed.drop("root", "c"))))
+
+    # Round 3: of each two components that a column holds, the two rows that look most alike.
     x, y = placed.alias("x"), placed.alias("y")
     crossed = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
     differ = sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(FOLDED))
@@ -450,7 +531,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
     best = cut(met.groupBy("r", "s").agg(F.min(F.struct("d", "p", "q")).alias("m")).select("m.p", "m.q"))
     if best.limit(1).count():
         roots = components(ask(best), roots)
-        # Round 3: all others whose components are still apart.
+        # Round 4: all others whose components are still apart.
         rest = cut(apart(met.select("p", "q").join(best, ["p", "q"], "left_anti"), roots))
         if rest.limit(1).count():
             roots = components(ask(rest), roots)
