@@ -53,6 +53,24 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Groups up to so many rows may be broadcast; more go through a salted join.
+MAX_BROADCAST_GROUPS = 100_000
+SALTS = 16
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, most: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """rows and what groups (one row a key, null included) says of their key.
+
+    Few groups are broadcast, their number counted first; otherwise rows of a hot key are spread over salts, groups repeated.
+    """
+    groups = cut(groups.withColumnRenamed(key, "_key"))
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("_row", F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_salt"))).drop("_key", "_salt", "_row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
