@@ -9,8 +9,9 @@ from pyspark.sql import Window
 
 from .functions import dims
 from .functions import scalars as S
-from .operators import files, harmony, intervals, merges, sampling, stats, tokens
+from .operators import files, harmony, intervals, merges, sampling, stats, tokens, voices
 from .plans import sql as Q
+from .plans import voices_sql as V
 from .sources import fixtures as X
 from .streaming import windows
 
@@ -381,27 +382,6 @@ def skyline_slots(spark, d):
     return intervals.slot_top(X.intervals(spark, d))
 
 
-@query()
-def skyline_high(spark, d):
-    return intervals.skyline(X.intervals(spark, d))
-
-
-@query()
-def skyline_low(spark, d):
-    return intervals.skyline(X.intervals(spark, d), "low")
-
-
-@query()
-def bass_without_melody(spark, d):
-    notes = X.intervals(spark, d)
-    return intervals.bass_of(notes, intervals.skyline(notes))
-
-
-@query()
-def tuplet_groups(spark, d):
-    return intervals.tuplets(X.intervals(spark, d))
-
-
 @query(f"WITH {Q.NOTES} SELECT b.song_id, b.bar, b.midi, b.slots, b.pos FROM notes b WHERE b.channel = 'bass' AND NOT EXISTS (SELECT 1 FROM notes m WHERE m.channel = 'melody' AND m.song_id = b.song_id AND m.bar = b.bar AND m.midi = b.midi AND m.slots = b.slots)")
 def bass_anti_melody(spark, d):
     n = X.notes(spark, d)
@@ -727,3 +707,68 @@ def degree_texts(spark, d):
 @query(f"WITH {Q.TEXTS}, bn AS (SELECT *, dense_rank() OVER (PARTITION BY song_id ORDER BY bar) AS nth FROM parts), bs AS (SELECT song_id, nth, '<bar> ' || string_agg(part, ' ' ORDER BY (channel = 'bass') <> ({Q.hashed('song_id', 'nth', chr(39) + '3' + chr(39))} % 2 = 1)) AS text FROM bn GROUP BY song_id, nth) SELECT s.song_id, 'TimeSig_' || ts_num || '/' || ts_den || ' Tempo_' || tempo || ' ' || string_agg(text, ' ' ORDER BY nth) || ' </s>' AS score FROM songs s JOIN bs USING (song_id) GROUP BY s.song_id, ts_num, ts_den, tempo")
 def channel_swap(spark, d):
     return tokens.swapped(X.score_texts(X.songs(spark, d), X.notes(spark, d)), 3)
+
+
+# Bars of chords and tuplets
+
+NOTE = "song_id, part, bar, start, \"end\", array_to_string(pitches, ' ') AS pitches, tuplet"
+
+
+def noted(df, *more):
+    return df.select("song_id", "part", "bar", "start", "end", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"), "tuplet", *more)
+
+
+@query(f"WITH RECURSIVE {V.GROUPS} SELECT song_id, part, bar, voice, CAST(run AS BIGINT) AS run, g, size, total, start, \"end\", odd, severe, low, overlap, run_overlap, run_gap, CAST(n_options AS BIGINT) AS n_options FROM gr")
+def tuplet_groups(spark, d):
+    g = voices.tuplets(X.elements(spark, d))
+    return g.select("song_id", "part", "bar", "voice", F.col("run").cast("long").alias("run"), "g", "size", "total", "start", "end", "odd", "severe", "low", "overlap", "run_overlap", "run_gap", F.col("n_options").cast("long").alias("n_options"))
+
+
+@query(f"WITH RECURSIVE {V.WAYS.format(most=12)} SELECT song_id, part, bar, voice, g, CAST(run AS BIGINT) AS run, array_to_string(pitches, ' ') AS pitches FROM chosen")
+def tuplet_choices(spark, d):
+    """Every way through the chords of a group; beyond 12 ways the highest."""
+    ways = voices.choices(voices.tuplets(X.elements(spark, d)), 12)
+    return ways.select("song_id", "part", "bar", "voice", "g", F.col("run").cast("long").alias("run"), F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))
+
+
+@query(f"WITH RECURSIVE {V.WAYS.format(most=100_000)}, r AS (SELECT *, list_sum(pitches) AS s FROM chosen) SELECT song_id, part, bar, voice, g, CAST(run AS BIGINT) AS run, CAST(rank - 1 AS INT) AS rank, CAST(s AS BIGINT) AS pitch_sum FROM (SELECT *, row_number() OVER (PARTITION BY song_id, part, bar, voice, run, g ORDER BY s DESC, pitches) AS rank FROM r) WHERE rank <= 4")
+def tuplet_best_choices(spark, d):
+    """The four highest ways, without building the others."""
+    ways = voices.best_choices(voices.tuplets(X.elements(spark, d)), 4)
+    return ways.select("song_id", "part", "bar", "voice", "g", F.col("run").cast("long").alias("run"), "rank", F.aggregate("pitches", F.lit(0).cast("long"), lambda a, p: a + p).alias("pitch_sum"))
+
+
+@query(f"WITH RECURSIVE {V.HIGH} SELECT {NOTE} FROM hi")
+def skyline_high(spark, d):
+    return noted(voices.skyline(voices.compound(X.elements(spark, d))))
+
+
+@query(f"WITH RECURSIVE {V.LINES} SELECT {NOTE} FROM lo")
+def skyline_low(spark, d):
+    return noted(voices.skyline(voices.compound(X.elements(spark, d), "low"), "low"))
+
+
+@query(f"WITH RECURSIVE {V.LINES} SELECT {NOTE} FROM ba")
+def bass_without_melody(spark, d):
+    e = X.elements(spark, d)
+    return noted(voices.bass_of(e, voices.skyline(voices.compound(e))))
+
+
+@query(f"WITH RECURSIVE {V.HIGH}, {V.grid('hi', 'gm')} SELECT {NOTE}, how FROM gm")
+def bars_on_grid(spark, d):
+    """The melody's bars on the grid: kept or dealt out anew, gaps filled, even tuplets made plain, rests joined."""
+    room = X.score_bars(spark, d).select("song_id", "part", "bar", "room")
+    return noted(voices.plain(voices.placed(voices.skyline(voices.compound(X.elements(spark, d))), room)), "how")
+
+
+@query(f"WITH RECURSIVE {V.GROUPS}, h0 AS (SELECT *, max(\"end\") OVER (PARTITION BY song_id, part, bar ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM gr), h1 AS (SELECT *, sum(CAST(reached IS NULL OR start >= reached AS INT)) OVER (PARTITION BY song_id, part, bar ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS no FROM h0) SELECT song_id, part, bar, CAST(no AS BIGINT) AS hull, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM h1 GROUP BY song_id, part, bar, no")
+def tuplet_hulls(spark, d):
+    """Stretches of each bar that tuplets of any voice cover together."""
+    return voices.hulls(voices.tuplets(X.elements(spark, d)).select("song_id", "part", "bar", "start", "end")).withColumn("hull", F.col("hull").cast("long"))
+
+
+@query(f"WITH RECURSIVE {V.HIGH} SELECT song_id, part, bar, nth, CAST(sum(len) OVER (PARTITION BY song_id, part, bar ORDER BY nth) - len AS BIGINT) AS start, CAST(sum(len) OVER (PARTITION BY song_id, part, bar ORDER BY nth) AS BIGINT) AS \"end\", pitches FROM (SELECT song_id, part, bar, row_number() OVER (PARTITION BY song_id, part, bar ORDER BY start, \"end\") AS nth, \"end\" - start AS len, array_to_string(pitches, ' ') AS pitches FROM hi)")
+def notes_unrolled_and_packed(spark, d):
+    """Notes taken apart into single ones, back to back, and put together again: the same notes, none shorter by a tick."""
+    got = voices.packed(voices.unrolled(voices.skyline(voices.compound(X.elements(spark, d)))))
+    return got.select("song_id", "part", "bar", F.col("nth").cast("long").alias("nth"), "start", "end", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))

@@ -119,12 +119,12 @@ def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
     return each_bar(notes, sweep, "id long, start int, end int, midi int")
 
 
-def each_bar(notes: DataFrame, work, schema: str) -> DataFrame:
-    """BAR and the columns of schema: work(rows) of each bar, rows (start, end, midi, id) in order.
+def each_bar(notes: DataFrame, work, schema: str, of: tuple[str, ...] = ("start", "end", "midi", "id")) -> DataFrame:
+    """BAR and the columns of schema: work(rows) of each bar, rows of the columns `of`, in their order.
 
     Bars come one after the other from sorted partitions, many to a batch; one bar alone is held back between batches.
     """
-    columns = [*BAR, "start", "end", "midi", "id"]
+    columns = [*BAR, *of]
     kinds = {f.name: f.dataType.simpleString() for f in notes.schema}
     names = [*BAR, *(c.split()[0] for c in schema.split(", "))]
 
@@ -149,7 +149,7 @@ def each_bar(notes: DataFrame, work, schema: str) -> DataFrame:
     def arrow(batches):
         for rows in run(batches):
             cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-            kinds_ = [pa.int64() if kinds[c] == "bigint" else pa.int32() if kinds[c] == "int" else pa.string() for c in BAR] + [pa.int64() if c.endswith("long") else pa.int32() for c in schema.split(", ")]
+            kinds_ = [pa.int64() if kinds[c] == "bigint" else pa.int32() if kinds[c] == "int" else pa.string() for c in BAR] + [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds_, strict=True)], names=names)
 
     sorted_ = notes.select(*columns).repartition(*BAR).sortWithinPartitions(*columns)
