@@ -10,9 +10,11 @@ from pyspark.sql import Window
 from .functions import dims
 from .functions import scalars as S
 from .operators import files, harmony, intervals, merges, sampling, stats, tokens, voices
+from .plans import extract
 from .plans import sql as Q
 from .plans import voices_sql as V
 from .sources import fixtures as X
+from .sources import songs
 from .streaming import windows
 
 QUERIES, SQL = {}, {}
@@ -772,3 +774,17 @@ def notes_unrolled_and_packed(spark, d):
     """Notes taken apart into single ones, back to back, and put together again: the same notes, none shorter by a tick."""
     got = voices.packed(voices.unrolled(voices.skyline(voices.compound(X.elements(spark, d)))))
     return got.select("song_id", "part", "bar", F.col("nth").cast("long").alias("nth"), "start", "end", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))
+
+
+@query(V.TEXTS)
+def extracted_texts(spark, d):
+    """Scores written as MusicXML, parsed, and extracted to token texts, tuplets included."""
+    files = songs.musicxml(X.elements(spark, d), X.score_bars(spark, d))
+    return extract.extract(files).select("song_id", "score", "seconds")
+
+
+@query(V.warnings(12))
+def extraction_warnings(spark, d):
+    """How often each bar (-1: the whole song) is warned of for each reason."""
+    found = extract.every_warning(X.elements(spark, d), X.score_bars(spark, d), 12)
+    return found.groupBy("song_id", F.coalesce("bar", F.lit(-1).cast("long")).alias("bar"), "warn_type").agg(F.count("*").alias("n"))

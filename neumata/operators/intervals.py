@@ -119,6 +119,9 @@ def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
     return each_bar(notes, sweep, "id long, start int, end int, midi int")
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
 def each_bar(notes: DataFrame, work, schema: str, of: tuple[str, ...] = ("start", "end", "midi", "id")) -> DataFrame:
     """BAR and the columns of schema: work(rows) of each bar, rows of the columns `of`, in their order.
 
@@ -149,7 +152,7 @@ def each_bar(notes: DataFrame, work, schema: str, of: tuple[str, ...] = ("start"
     def arrow(batches):
         for rows in run(batches):
             cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-            kinds_ = [pa.int64() if kinds[c] == "bigint" else pa.int32() if kinds[c] == "int" else pa.string() for c in BAR] + [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+            kinds_ = [pa.int64() if kinds[c] == "bigint" else pa.int32() if kinds[c] == "int" else pa.string() for c in BAR] + [ARROW[c.split()[1]] for c in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds_, strict=True)], names=names)
 
     sorted_ = notes.select(*columns).repartition(*BAR).sortWithinPartitions(*columns)

@@ -171,28 +171,36 @@ def sweep(rows: list[tuple], high: bool) -> tuple[list[tuple], list[str]]:
 
 
 def swept(notes: DataFrame, keep: str = "high") -> DataFrame:
-    """BAR, id, start, end, warning: the notes of the line, and, with no id, one row for each warning of its bar."""
+    """BAR, id, start, end, pitches, tuplet, warning: the notes of the line, and, with no id, one row for each warning of its bar."""
 
     def work(rows: list[tuple]) -> list[tuple]:
-        out, warned = sweep([(s, e, h, i, t) for s, e, h, i, t in rows], keep == "high")
-        return [(i, s, e, None) for i, s, e in out] + [(None, None, None, w) for w in warned]
+        out, warned = sweep([r[:5] for r in rows], keep == "high")
+        own = {r[3]: r[4:] for r in rows}
+        return [(i, s, e, own[i][1], own[i][0], None) for i, s, e in out] + [(None, None, None, None, None, w) for w in warned]
 
-    return each_bar(notes, work, "id long, start long, end long, warning string", ["start", "end", "height", "id", "tuplet"])
+    return each_bar(notes, work, "id long, start long, end long, pitches array<int>, tuplet boolean, warning string", ("start", "end", "height", "id", "tuplet", "pitches"))
+
+
+def notes_of(line: DataFrame) -> DataFrame:
+    """The notes of what swept() gives."""
+    return line.where("id is not null").drop("warning")
 
 
 def skyline(notes: DataFrame, keep: str = "high") -> DataFrame:
     """BAR, id, start, end, pitches, tuplet: the compound notes of the high (low) line, cut as the sweep says."""
-    line = swept(notes, keep).where("id is not null").drop("warning")
-    return line.join(notes.select(*BAR, "id", "pitches", "tuplet"), [*BAR, "id"])
+    return notes_of(swept(notes, keep))
 
 
-def bass_of(elements: DataFrame, melody: DataFrame, most: int = MOST) -> DataFrame:
+def only_low(low: DataFrame, melody: DataFrame) -> DataFrame:
     """The low line without the notes that the melody has too (same interval, same pitches)."""
-    low = skyline(compound(elements, "low", most), "low")
     same = [*BAR, "start", "end", "pitches"]
     return low.join(melody.select(*same), same, "left_anti").select(*low.columns)
 
 
+def bass_of(elements: DataFrame, melody: DataFrame, most: int = MOST) -> DataFrame:
+    return only_low(skyline(compound(elements, "low", most), "low"), melody)
+
+
 # The grid
 
 

@@ -99,3 +99,45 @@ def slots(n: str) -> str:
 def text(name: str) -> str:
     body = f"""array_to_string(list_transform(pitches, lambda p: {pitch("p")}), ' ') || ' ' || {slots(f'(("end" - start) // {SLOT})')}"""
     return f"""(SELECT {KEY}, string_agg(CASE WHEN tuplet THEN '<tup> ' || {body} || ' </tup>' ELSE {body} END, ' ' ORDER BY start) AS text FROM {name} GROUP BY {KEY})"""
+
+
+#: Bars from the first to the last in which anything sounds; rooms and elements of these alone.
+INSIDE = f"""{ELEMENTS.replace("rooms AS", "rooms0 AS").replace("JOIN rooms USING", "JOIN rooms0 USING").replace("el AS (", "el_all AS (")}, ends AS (SELECT song_id, min(bar) AS a, max(bar) AS z FROM el_all WHERE len(pitches) > 0 GROUP BY song_id),
+rooms AS (SELECT r.* FROM rooms0 r JOIN ends USING (song_id) WHERE bar BETWEEN a AND z), el AS (SELECT x.* FROM el_all x JOIN ends USING (song_id) WHERE bar BETWEEN a AND z)"""
+FULL = f"""fbars AS (SELECT song_id, part, bar, ts_num, ts_den, coalesce(last_value(tempo IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY bar ROWS UNBOUNDED PRECEDING), 120) AS tempo, tempo AS written FROM sbars),
+ibars AS (SELECT f.* FROM fbars f JOIN ends USING (song_id) WHERE bar BETWEEN a AND z),
+modes AS (SELECT song_id, ts_num, ts_den, count(*) AS n_mode, sum(count(*)) OVER (PARTITION BY song_id) AS n_all FROM ibars GROUP BY song_id, ts_num, ts_den QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY count(*) DESC, min(bar)) = 1)"""
+
+
+def inside(chain: str, most: int | None = None) -> str:
+    """A chain over the bars in which songs sound; most: another bound of chord options."""
+    return chain.replace(ELEMENTS, INSIDE).replace(f"> {MOST} ", f"> {most or MOST} ")
+
+
+PARTS = f"{inside(LINES)}, {FULL}, {grid('hi', 'gm')}, {grid('ba', 'gb')}"
+TEXTS = f"""WITH RECURSIVE {PARTS}, btext AS (SELECT m.song_id, m.bar, '<bar> <melody> ' || m.text || ' <bass> ' || b.text AS text FROM {text("gm")} m JOIN {text("gb")} b USING (song_id, part, bar)),
+song AS (SELECT song_id, CAST(round_even(avg(tempo), 0) AS INT) AS tempo, CAST(round_even(sum(ts_num * 4.0 / ts_den * 60 / tempo), 0) AS INT) AS seconds FROM ibars GROUP BY song_id)
+SELECT CAST(s.song_id AS VARCHAR) AS song_id, 'TimeSig_' || ts_num || '/' || ts_den || ' Tempo_' || tempo || ' ' || (SELECT string_agg(text, ' ' ORDER BY bar) FROM btext b WHERE b.song_id = s.song_id) || ' </s>' AS score, seconds FROM song s JOIN modes USING (song_id)"""
+
+
+def bar_warnings(name: str, line: str) -> str:
+    return f"""SELECT song_id, bar, 'Notes Beyond Quantization' AS w FROM {name}_f GROUP BY {KEY} HAVING bool_or(how = 'dealt') UNION ALL SELECT song_id, bar, 'Gap in extracted Bar Notes' FROM {name}_f GROUP BY {KEY} HAVING bool_or(how = 'gap')
+ UNION ALL SELECT song_id, bar, 'Tuplet Notes Quantizable' FROM {name}_f WHERE tuplet AND ("end" - start) % (len(pitches) * {SLOT}) = 0
+ UNION ALL SELECT song_id, bar, 'Invalid Bar Notes Duration' FROM rooms r WHERE room % {SLOT} <> 0"""
+
+
+def warnings(most: int) -> str:
+    """song_id, bar, warn_type, n."""
+    return f"""WITH RECURSIVE {inside(LINES, most).replace(f"> {MOST} OR", f"> {most} OR")}, {FULL}, {grid('hi', 'gm')}, {grid('ba', 'gb')},
+firsts AS (SELECT song_id, min(bar) AS first, max(bar) AS last, min_by(written IS NULL, bar) AS silent FROM fbars GROUP BY song_id),
+so AS (SELECT song_id, count(DISTINCT ts_num || '/' || ts_den) AS n_ts, count(DISTINCT tempo) AS n_tempo, round_even(avg(tempo), 0) AS mean FROM ibars GROUP BY song_id),
+per AS (SELECT * FROM so JOIN firsts USING (song_id) JOIN ends USING (song_id) JOIN modes USING (song_id)),
+w AS (SELECT song_id, NULL::BIGINT AS bar, unnest(list_filter([CASE WHEN a > first THEN 'Beginning Empty Bars' END, CASE WHEN z < last THEN 'Ending Empty Bars' END, CASE WHEN n_tempo > 1 THEN 'Multiple Tempos' END, CASE WHEN n_ts > 1 THEN 'Multiple Time Signatures' END, CASE WHEN silent THEN 'Missing Tempo' END,
+  CASE WHEN n_mode / n_all < 0.95 THEN 'Inconsistent Time Signatures' END, CASE WHEN ts_num || '/' || ts_den NOT IN ('2/2', '2/4', '3/4', '4/4', '5/4', '6/8', '12/8') THEN 'Rare Time Signature' END, CASE WHEN mean NOT BETWEEN 40 AND 240 THEN 'Rare Mean Tempo' END], lambda x: x IS NOT NULL)) AS w FROM per
+ UNION ALL SELECT song_id, bar, unnest(list_filter([CASE WHEN run_overlap THEN 'Input Tuplet Notes Overlap' END, CASE WHEN run_gap THEN 'Gap Observed in Consecutive Tuplets' END], lambda x: x IS NOT NULL)) FROM gr WHERE g = 0
+ UNION ALL SELECT song_id, bar, unnest(list_filter([CASE WHEN odd AND NOT severe THEN 'Invalid Tuplet Durations' END, CASE WHEN severe THEN 'Invalid Tuplet Durations, Severe' END, CASE WHEN low THEN 'Tuplet Group Duration Too Low' END, CASE WHEN run_size > 1 AND NOT low AND size <> n THEN 'Invalid Tuplet Size' END,
+  CASE WHEN NOT low AND overlap THEN 'Output Tuplet Notes Overlap' END, CASE WHEN NOT low AND overlap AND total % {SLOT} <> 0 THEN 'Tuplet Total Duration Beyond Quantization' END, CASE WHEN run_size > 1 AND NOT low AND list_contains(options, [-1]) THEN 'Rest in Tuplet' END, CASE WHEN run_size > 1 AND NOT low AND n_options > {most} THEN 'Excessive Tuplet Chord Notes' END], lambda x: x IS NOT NULL)) FROM gr
+ UNION ALL SELECT song_id, bar, warning FROM hi_w UNION ALL SELECT song_id, bar, warning FROM lo_w
+ UNION ALL SELECT DISTINCT song_id, bar, 'Rests Beyond Time Signature' FROM el WHERE len(pitches) = 0 AND start + dur > room
+ UNION ALL {bar_warnings("gm", "hi")} UNION ALL {bar_warnings("gb", "ba")})
+SELECT song_id, coalesce(bar, -1) AS bar, w AS warn_type, count(*) AS n FROM w GROUP BY ALL"""

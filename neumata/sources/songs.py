@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import TICKS_PER_QUARTER
@@ -17,7 +17,7 @@ WARNING = "array<struct<warn_name:string,bar_num:int,args:map<string,string>>>"
 SONG = f"struct<score:string,song_path:string,title:string,duration:int,warnings:{WARNING},keys:map<string,double>>"
 COMBINED = f"encoding_type string, extractor_meta {META}, music array<{SONG}>"
 SINGLE = f"encoding_type string, extractor_meta {META}, music {SONG}"
-NOTES = "path string, part int, bar int, voice int, start_ticks long, dur_ticks long, midi int, is_drum boolean, tuplet int, error string"
+NOTES = "path string, part int, bar int, voice int, start_ticks long, dur_ticks long, midi int, is_drum boolean, tuplet int, element int, error string"
 BARS = "path string, part int, bar int, ts_num int, ts_den int, tempo double"
 
 
@@ -74,6 +74,8 @@ def root_of(content: bytes) -> ElementTree.Element:
     return ElementTree.fromstring(content)
 
 
+#: How pitch classes are written.
+STEPS = (("C", 0), ("C", 1), ("D", 0), ("D", 1), ("E", 0), ("F", 0), ("F", 1), ("G", 0), ("G", 1), ("A", 0), ("A", 1), ("B", 0))
 SEMITONE = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 
@@ -85,7 +87,7 @@ def read_score(path: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
         divisions, sig = 1, (None, None)
         for b, measure in enumerate(part.findall("measure")):
             at = last = 0
-            tempos = []
+            element, tempos = -1, []
             for e in measure:
                 if e.tag == "attributes":
                     divisions = int(e.findtext("divisions", divisions))
@@ -101,7 +103,8 @@ def read_score(path: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
                     pitch, unpitched = e.find("pitch"), e.find("unpitched") is not None
                     midi = -1 if pitch is None else SEMITONE[pitch.findtext("step")] + int(float(pitch.findtext("alter", "0"))) + 12 * (int(pitch.findtext("octave")) + 1)
                     tuplet = int(e.findtext("time-modification/actual-notes", "0"))
-                    notes.append((path, p, b, int(e.findtext("voice", "1")), start, ticks, midi, unpitched or part.get("id") in drums, tuplet, None))
+                    element += e.find("chord") is None
+                    notes.append((path, p, b, int(e.findtext("voice", "1")), start, ticks, midi, unpitched or part.get("id") in drums, tuplet, element, None))
                     last = start
                     at = max(at, start + ticks) if e.find("chord") is not None else at + ticks
             bars.append((path, p, b, *sig, sum(tempos) / len(tempos) if tempos else None))
@@ -118,7 +121,7 @@ def parse(files: DataFrame, bars: bool = False) -> DataFrame:
                 try:
                     out += read_score(r.path, bytes(r.content))[bars]
                 except Exception as e:  # one broken file must not stop the others
-                    out += [] if bars else [(r.path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
+                    out += [] if bars else [(r.path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
             schema = BARS if bars else NOTES
             names = [c.split()[0] for c in schema.split(", ")]
             kinds = {"int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean", "string": "object"}
@@ -127,6 +130,48 @@ def parse(files: DataFrame, bars: bool = False) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, BARS if bars else NOTES)
 
 
+#: Voices of a part that are told apart.
+VOICES = 64
+
+
+def elements(notes: DataFrame) -> DataFrame:
+    """Parsed notes as elements of one part (see operators.voices, but for room): notes of a chord together, numbered as they are written."""
+    one = notes.groupBy(F.col("path").alias("song_id"), F.col("part").alias("p"), "bar", "voice", "element").agg(
+        F.min("start_ticks").alias("start"), F.max("dur_ticks").alias("dur"), F.array_sort(F.array_distinct(F.filter(F.collect_list("midi"), lambda m: m >= 0))).alias("pitches"), F.max("tuplet").alias("n"),
+    )
+    nth = F.row_number().over(Window.partitionBy("song_id", "bar").orderBy("p", "element")).cast("long")
+    return one.select("song_id", F.lit("score").alias("part"), F.col("bar").cast("long").alias("bar"), (F.col("p") * VOICES + F.col("voice")).cast("int").alias("voice"), nth.alias("id"), "start", "dur", "pitches", F.col("n").cast("int").alias("n"))
+
+
+def musicxml(elements: DataFrame, bars: DataFrame) -> DataFrame:
+    """path (the song's id), content: scores of one part each. Durations are written in ticks, each element at its place of the bar.
+
+    bars: song_id, part, bar, ts_num, ts_den, tempo (or null). A song is one row; nothing is gathered beyond it.
+    """
+    w = Window.partitionBy("song_id", "part", "bar").orderBy("voice", "start", "id")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
+    rows = elements.withColumn("move", F.col("start") - F.coalesce(F.lag(F.col("start") + F.col("dur")).over(w), F.lit(0)))
+    move = F.when(F.col("move") > 0, tag("forward", tag("duration", F.col("move")))).when(F.col("move") < 0, tag("backup", tag("duration", -F.col("move")))).otherwise("")
+    steps, alters = F.array(*(F.lit(STEPS[k][0]) for k in range(12))), F.array(*(F.lit(f"<alter>{a}</alter>" if a else "") for _, a in STEPS))
+    pc = lambda p: (F.pmod(p, F.lit(12)) + 1).cast("int")
+    pitch = lambda p: F.concat(F.lit("<pitch>"), tag("step", F.element_at(steps, pc(p))), F.element_at(alters, pc(p)), tag("octave", F.floor(p / 12) - 1), F.lit("</pitch>"))
+    tail = F.concat(tag("duration", F.col("dur")), tag("voice", F.col("voice")), F.when(F.col("n") > 0, tag("time-modification", F.concat(tag("actual-notes", F.col("n")), tag("normal-notes", F.lit(2))))).otherwise(""))
+    note = lambda head: F.concat(F.lit("<note>"), head, tail, F.lit("</note>"))
+    body = F.when(F.size("pitches") == 0, note(F.lit("<rest/>"))).otherwise(F.array_join(F.transform("pitches", lambda p, k: note(F.concat(F.when(k > 0, "<chord/>").otherwise(""), pitch(p)))), ""))
+    per = rows.select("song_id", "part", "bar", "voice", "start", "id", F.concat(move, body).alias("x")).groupBy("song_id", "part", "bar").agg(F.array_sort(F.collect_list(F.struct("voice", "start", "id", "x"))).alias("x"))
+    time = tag("time", F.concat(tag("beats", F.col("ts_num")), tag("beat-type", F.col("ts_den"))))
+    head = F.concat(F.lit("<attributes>"), tag("divisions", F.lit(TICKS_PER_QUARTER)), time, F.lit("</attributes>"), F.when(F.col("tempo").isNull(), "").otherwise(F.concat(F.lit('<sound tempo="'), F.col("tempo").cast("string"), F.lit('"/>'))))
+    measures = bars.join(per, ["song_id", "part", "bar"], "left").select("song_id", "bar", F.concat(F.lit("<measure>"), head, F.array_join(F.coalesce(F.transform("x", lambda x: x["x"]), F.array()), ""), F.lit("</measure>")).alias("m"))
+    score = measures.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bar", "m"))), lambda x: x["m"]), "").alias("m"))
+    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><score-partwise><part-list><score-part id="P1"><part-name>score</part-name></score-part></part-list><part id="P1">'), "m", F.lit("</part></score-partwise>"))
+    return score.select(F.col("song_id").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def write_scores(scores: DataFrame, folder: str) -> None:
+    """Scores (path, content) as files of a table, one row a score, which parse() reads again."""
+    scores.write.mode("overwrite").parquet(folder)
+
+
 def read_scores(spark: SparkSession, folder: str, pattern: str = "*.mxl") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
 
