@@ -15,7 +15,7 @@ from .plans import sql as Q
 from .plans import voices_sql as V
 from .sources import fixtures as X
 from .sources import songs
-from .streaming import windows
+from .streaming import tracking, windows
 
 QUERIES, SQL = {}, {}
 
@@ -230,9 +230,19 @@ def midi_tokens(spark, d):
     return dims.vocab(spark, "step").where(S.is_pitch_heard(F.col("tok"))).select("tok", tokens.to_midi(F.col("tok")).alias("midi_tok"))
 
 
-@query()
+MIX = f"""mn AS (SELECT song_id, bar, pos, channel, pitch || ' ' || duration AS elm, dense_rank() OVER (PARTITION BY song_id ORDER BY bar) AS nth, row_number() OVER (PARTITION BY song_id, bar, channel ORDER BY pos, pitch, duration) AS rn FROM nt),
+mz AS (SELECT song_id, nth, CAST(count_if(channel = 'melody') AS BIGINT) AS m, CAST(count_if(channel = 'bass') AS BIGINT) AS b FROM mn GROUP BY ALL),
+mk AS (SELECT *, CAST({Q.hashed('song_id', 'nth', 'k', "'7'")} % (m + b) < m AS INT) AS coin FROM (SELECT *, unnest(range(1, m + b + 1)) AS k FROM mz)),
+mc AS (SELECT *, sum(coin) OVER (PARTITION BY song_id, nth ORDER BY k) AS cm, sum(1 - coin) OVER (PARTITION BY song_id, nth ORDER BY k) AS cb FROM mk),
+mt AS (SELECT *, min(CASE WHEN cm >= m THEN k END) OVER (PARTITION BY song_id, nth) AS tm, min(CASE WHEN cb >= b THEN k END) OVER (PARTITION BY song_id, nth) AS tb FROM mc),
+mh AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN b = 0 THEN 1 WHEN k > least(coalesce(tm, 1000000), coalesce(tb, 1000000)) THEN CAST(coalesce(tb, 1000000) < coalesce(tm, 1000000) AS INT) ELSE coin END AS high FROM mt),
+mo AS (SELECT *, sum(high) OVER (PARTITION BY song_id, nth ORDER BY k) AS hm, k - sum(high) OVER (PARTITION BY song_id, nth ORDER BY k) AS hb, lag(high) OVER (PARTITION BY song_id, nth ORDER BY k) AS prev FROM mh),
+ms AS (SELECT mo.song_id, mo.nth, string_agg(CASE WHEN prev IS DISTINCT FROM high THEN CASE WHEN high = 1 THEN '<melody> ' ELSE '<bass> ' END ELSE '' END || elm, ' ' ORDER BY k) AS text FROM mo JOIN mn ON mn.song_id = mo.song_id AND mn.nth = mo.nth AND mn.channel = CASE WHEN high = 1 THEN 'melody' ELSE 'bass' END AND mn.rn = CASE WHEN high = 1 THEN hm ELSE hb END GROUP BY ALL)"""
+
+
+@query(f"WITH {Q.TEXTS}, {MIX} SELECT s.song_id, 'TimeSig_' || ts_num || '/' || ts_den || ' Tempo_' || tempo || ' ' || string_agg('<bar> ' || text, ' ' ORDER BY nth) || ' </s>' AS score FROM songs s JOIN ms USING (song_id) GROUP BY s.song_id, ts_num, ts_den, tempo")
 def channel_mix(spark, d):
-    return tokens.mixed(tokens.elements(parsed(spark, d)), 7)
+    return tokens.mixed(X.score_texts(X.songs(spark, d), X.notes(spark, d)), 7)
 
 
 @query(f"WITH {Q.SCORES} SELECT song_id, key, count(*) OVER (PARTITION BY song_id) AS n_keys FROM cands")
@@ -788,3 +798,24 @@ def extraction_warnings(spark, d):
     """How often each bar (-1: the whole song) is warned of for each reason."""
     found = extract.every_warning(X.elements(spark, d), X.score_bars(spark, d), 12)
     return found.groupBy("song_id", F.coalesce("bar", F.lit(-1).cast("long")).alias("bar"), "warn_type").agg(F.count("*").alias("n"))
+
+
+@query("WITH e AS (SELECT user_id AS song_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS k, event_id % 4 AS t FROM events), n AS (SELECT *, count_if(k = 'signup') OVER (PARTITION BY song_id ORDER BY seq) AS nth FROM e), u AS (SELECT song_id, nth, min(seq) AS until FROM n WHERE k = 'purchase' AND nth > 0 GROUP BY ALL) SELECT song_id, until AS seq, 'w' || t AS warn_type, count(*) AS n FROM n JOIN u USING (song_id, nth) WHERE k NOT IN ('signup', 'purchase') AND seq < until GROUP BY ALL")
+def tracked_warnings(spark, d):
+    """Warnings since each start of a song, from a stream that is stopped and goes on halfway."""
+    e = X.table(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").otherwise("warn")
+    rows = e.select(F.col("user_id").alias("song_id"), seq.alias("seq"), event.alias("event"), F.concat(F.lit("w"), F.col("event_id") % 4).alias("warn_type"), "ts")
+    half = e.agg((F.avg(F.unix_timestamp("ts"))).alias("at")).first().at or 0
+    early = F.unix_timestamp("ts") < half
+    return tracking.run(spark, [rows.where(early).drop("ts"), rows.where(~early).drop("ts")])
+
+
+@query(f"WITH {DEGREES}, drawn AS (SELECT song_id, key AS k FROM (SELECT *, round(-ln(({Q.hashed('song_id', 'key', chr(39) + '5' + chr(39))} + 1) / 1152921504606846977.0::DOUBLE) / score, 9) AS draw FROM cands WHERE score > 0) QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY draw, key) = 1), {Q.values('bins', 'a, z', [(a, z) for a, z, _ in dims.tempo_bins(5)])}, ct AS (SELECT dt.song_id, drawn.k, pos, CASE WHEN v.tok IS NOT NULL THEN dt.tok WHEN dt.tok LIKE 'd!_%' ESCAPE '!' THEN 'd_rare' WHEN dt.tok LIKE 'TimeSig!_%' ESCAPE '!' THEN 'TimeSig_rare' WHEN dt.tok LIKE 'Tempo!_%' ESCAPE '!' THEN CASE WHEN CAST(substr(dt.tok, 7) AS INT) < 40 THEN 'Tempo_low' ELSE 'Tempo_high' END ELSE dt.tok END AS tok FROM dt JOIN drawn USING (song_id) LEFT JOIN (SELECT tok FROM ({{'x'}})) v USING (tok)) SELECT song_id, string_agg(CASE WHEN pos = 2 THEN tok || ' Key_' || k WHEN tok LIKE 'p!_%' ESCAPE '!' AND tok <> 'p_r' THEN tok || '_' || ((strpos('CDEFGAB', {LETTER}) - strpos('CDEFGAB', k[1]) + 7) % 7 + 1) ELSE tok END, ' ' ORDER BY pos) AS score FROM ct GROUP BY song_id".replace("(SELECT tok FROM ({'x'}))", f"(WITH {Q.vocab('midi', 'mv')} SELECT tok FROM mv)"))
+def training_texts(spark, d):
+    """An epoch of the training chain: rare tokens replaced, a key drawn among the candidates, degrees of that key."""
+    texts = X.score_texts(X.songs(spark, d), X.notes(spark, d)).join(harmony.as_map(harmony.candidates(scores(spark, d))), "song_id")
+    vocab = dims.vocab(spark, "midi")
+    rows = tokens.clean(texts, vocab, ["keys"]).withColumn("score", tokens.stepped(F.col("score")))
+    return tokens.Augmented("degree", seed=2, keys="keys")(rows, 3)

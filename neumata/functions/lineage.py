@@ -5,19 +5,20 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written with a reliable checkpoint to the folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a session on one machine may name none: it gets a temporary one."""
+    conf = spark.sparkContext.getConf()
+    if not (named := conf.get("spark.checkpoint.dir")) and not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="neumata-")
+
 
-    Only a session on one machine may name none: it gets a temporary one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """df, written with a reliable checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = sc.getConf()
-        named = conf.get("spark.checkpoint.dir")
-        if not named and not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="neumata-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

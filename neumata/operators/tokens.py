@@ -133,18 +133,50 @@ def to_midi(tok: Column) -> Column:
     return F.when(S.is_pitch_heard(tok), S.pitch_token(S.snapped(S.midi_of(tok)))).otherwise(tok)
 
 
-def mixed(elms: DataFrame, seed: int) -> DataFrame:
-    """song_id, bar, k, channel, elm: melody and bass elements of a bar interleaved at random, each channel in its order.
+#: An element of a bar, or the mark of a channel.
+ELEMENT = r"<melody>|<bass>|<tup> .*? </tup>|p_\S+ d_\S+"
 
-    Every element draws a number, each channel's numbers are sorted, and elements come in the order of their numbers.
+
+def by_channel(bar: Column) -> Column:
+    """struct<melody, bass>: the elements of a bar's text, each channel's in its order, however the channels alternate."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("<melody>").alias("at"), none.alias("melody"), none.alias("bass"))
+
+    def step(s: Column, x: Column) -> Column:
+        mark, melody = x.isin("<melody>", "<bass>"), s["at"] == "<melody>"
+        return F.struct(F.when(mark, x).otherwise(s["at"]).alias("at"), F.when(~mark & melody, F.concat(s["melody"], F.array(x))).otherwise(s["melody"]).alias("melody"), F.when(~mark & ~melody, F.concat(s["bass"], F.array(x))).otherwise(s["bass"]).alias("bass"))
+
+    return F.aggregate(F.regexp_extract_all(bar, F.lit(ELEMENT), F.lit(0)), start, step)
+
+
+def merged_bar(melody: Column, bass: Column, draw) -> Column:
+    """Both channels as one text, each in its order: place by place draw(k) decides, melody as often as its share of the elements.
+
+    Once a channel is used up the other follows. A mark stands where the channel changes.
     """
-    rows = elms.where("channel is not null and bar >= 0 and size(toks) > 1").withColumn("u", S.hashed(F.col("song_id"), F.col("elm"), seed))
-    by = Window.partitionBy("song_id", "bar", "channel")
-    a = rows.withColumn("r", F.row_number().over(by.orderBy("elm"))).drop("u")
-    b = rows.withColumn("r", F.row_number().over(by.orderBy("u", "elm"))).select("song_id", "bar", "channel", "r", "u")
-    got = a.join(b, ["song_id", "bar", "channel", "r"])
-    k = F.row_number().over(Window.partitionBy("song_id", "bar").orderBy("u", "channel", "elm"))
-    return got.select("song_id", "bar", k.alias("k"), "channel", "elm")
+    n_m, n_b = F.size(melody), F.size(bass)
+    start = F.struct(F.lit(0).alias("m"), F.lit(0).alias("b"), F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        high = F.when(s["m"] >= n_m, F.lit(False)).when(s["b"] >= n_b, F.lit(True)).otherwise(F.pmod(draw(k), (n_m + n_b).cast("long")) < n_m)
+        mark = F.when(high, "<melody>").otherwise("<bass>")
+        elm = F.when(high, F.get(melody, s["m"])).otherwise(F.get(bass, s["b"]))
+        more = F.when(mark == s["at"], F.array(elm)).otherwise(F.array(mark, elm))
+        return F.struct((s["m"] + high.cast("int")).alias("m"), (s["b"] + (~high).cast("int")).alias("b"), mark.alias("at"), F.concat(s["out"], more).alias("out"))
+
+    places = F.when(n_m + n_b > 0, F.sequence(F.lit(1), n_m + n_b)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.aggregate(places, start, step)["out"], " ")
+
+
+def mixed(scores: DataFrame, seed: int) -> DataFrame:
+    """song_id, score: in each bar the elements of melody and bass in one random order that keeps each channel's own; within a text, without a shuffle."""
+    parts = F.split(F.regexp_replace(F.regexp_replace("score", " </s>$", ""), " <bar> ", "\n"), "\n")
+
+    def bar(t: Column, k: Column) -> Column:
+        c = by_channel(t)
+        return F.when(k == 0, t).otherwise(F.concat_ws(" ", F.lit("<bar>"), merged_bar(c["melody"], c["bass"], lambda j: S.hashed(F.col("song_id"), k, j, seed))))
+
+    return scores.select("song_id", F.concat(F.array_join(F.transform(parts, bar), " "), F.lit(" </s>")).alias("score"))
 
 
 def key_vector(keys: Column) -> Column:
@@ -184,15 +216,19 @@ def augmented(score: Column, key: Column) -> Column:
     return key_inserted(degreed(score, key), key)
 
 
+def clean(scores: DataFrame, vocab: DataFrame, kept: list[str]) -> DataFrame:
+    """song_id, score with rare tokens in place of those outside the vocabulary, and the columns that are kept."""
+    rows = sanitized(parse(scores), vocab).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clean"))).alias("t"))
+    return again(scores, rows.select("song_id", F.array_join(F.transform("t", lambda x: x["clean"]), " ").alias("score")), kept)
+
+
 def loaded(scores: DataFrame, pitch_kind: str, vocab: DataFrame | None = None) -> DataFrame:
     """song_id, score as training takes it: 'midi' folds pitches into range, 'degree' inserts the key (column key) and shifts, 'step' stays.
 
     vocab: tokens outside it become rare ones first (that alone deals tokens out and joins them).
     """
     if vocab is not None:
-        clean = sanitized(parse(scores), vocab).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clean"))).alias("t"))
-        texts = clean.select("song_id", F.array_join(F.transform("t", lambda x: x["clean"]), " ").alias("score"))
-        scores = scores.drop("score").join(texts, "song_id")
+        scores = clean(scores, vocab, [c for c in scores.columns if c not in ("song_id", "score")])
     made = {"midi": lambda: respelled(F.col("score"), to_midi), "degree": lambda: augmented(F.col("score"), F.col("key")), "step": lambda: F.col("score")}
     if pitch_kind not in made:
         raise ValueError(f"pitch kind {pitch_kind!r} is none of {sorted(made)}")
@@ -214,32 +250,57 @@ def swapped(scores: DataFrame, seed: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Augmented:
-    """The chain of transforms of a training epoch, as one projection: crop, tempo bins, pitch kind, key, order of channels."""
+    """The chain of transforms of a training epoch: sanitise, crop, order or mix of channels, tempo bins, key, pitch kind.
+
+    swap: bass before melody by a coin for each bar; mix: both channels in one random order. vocab: tokens outside it become rare
+    ones first. keys: the column of candidate keys with their scores (a map); each epoch draws one of them for the degrees.
+    """
 
     pitch_kind: str = "midi"
     crop: int | None = None
     tempo_width: int | None = None
     swap: bool = False
     seed: int = 0
+    mix: bool = False
+    vocab: DataFrame | None = None
+    keys: str | None = None
 
     def __post_init__(self):
         if self.pitch_kind not in ("midi", "step", "degree"):
             raise ValueError(f"pitch kind {self.pitch_kind!r}")
         if self.crop is not None and self.crop < 1:
             raise ValueError("a crop keeps one bar at least")
+        if self.swap and self.mix:
+            raise ValueError("channels are either swapped or mixed")
 
     def __call__(self, scores: DataFrame, epoch: int, train: bool = True) -> DataFrame:
-        """song_id, score. scores: song_id, score, and key where the pitch kind is degree."""
+        """song_id, score. scores: song_id, score, and, where the pitch kind is degree, key or the column of keys."""
         rows, seed = scores, self.seed + epoch
+        if self.keys:
+            rows = rows.withColumn("key", drawn_key(F.col(self.keys), F.col("song_id"), seed)).drop(self.keys)
+        kept = [c for c in ("key",) if c in rows.columns]
+        if self.vocab is not None:
+            rows = clean(rows, self.vocab, kept)
         if self.crop is not None and train:
-            rows = rows.drop("score").join(cropped(scores, seed, self.crop).select("song_id", "score"), "song_id") if "key" in scores.columns else cropped(scores, seed, self.crop)
-        if self.swap:
-            made = swapped(rows, seed)
-            rows = rows.drop("score").join(made, "song_id") if "key" in rows.columns else made
+            rows = again(rows, cropped(rows, seed, self.crop), kept)
+        if self.swap or self.mix:
+            rows = again(rows, (mixed if self.mix else swapped)(rows, seed), kept)
         if self.tempo_width:
             rows = rows.withColumn("score", tempo_grouped(F.col("score"), self.tempo_width))
         return loaded(rows, self.pitch_kind)
 
     @property
     def name(self) -> str:
-        return "{" + ", ".join(f"{k}={v}" for k, v in (("pitch", self.pitch_kind), ("crop", self.crop), ("tempo", self.tempo_width), ("swap", self.swap)) if v) + "}"
+        return "{" + ", ".join(f"{k}={v}" for k, v in (("pitch", self.pitch_kind), ("crop", self.crop), ("tempo", self.tempo_width), ("swap", self.swap), ("mix", self.mix), ("keys", self.keys)) if v) + "}"
+
+
+def again(rows: DataFrame, made: DataFrame, kept: list[str]) -> DataFrame:
+    """The texts made of rows, with the columns that are kept."""
+    made = made.select("song_id", "score")
+    return rows.select("song_id", *kept).join(made, "song_id") if kept else made
+
+
+def drawn_key(keys: Column, song: Column, seed: int) -> Column:
+    """One of a map's keys, drawn by a hash in proportion to their scores (the least -ln(u) / score wins; ties by name)."""
+    lots = F.transform(F.map_entries(F.map_filter(keys, lambda _, v: v > 0)), lambda e: F.struct(F.round(-F.log((S.hashed(song, e["key"], seed) + 1) / F.lit(float((1 << 60) + 1))) / e["value"], 9).alias("draw"), e["key"].alias("key")))
+    return F.array_min(lots)["key"]

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
+
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="neumata-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
+    """A folder that all executors see: under spark.checkpoint.dir. Only a session on one machine may name none."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -52,12 +53,32 @@ def test_transforms(spark):
     assert r.k.split()[2] == "Key_EMinor" and r.f.endswith("p_1/2 d_4") and " ".join(r.w) == r.f and r.p == [1, 2, 0, 0] and r.c == [1]
 
 
-def test_mix_keeps_order(parsed):
-    rows = tokens.mixed(tokens.elements(parsed), 3).orderBy("bar", "k").collect()
-    for c in ("melody", "bass"):
-        mine = [r.elm for r in rows if r.channel == c]
-        assert mine == sorted(mine)
-    assert len(rows) == 6
+def test_mix_keeps_order(spark):
+    scores = spark.createDataFrame([(k, MIDI) for k in range(60)], "song_id long, score string")
+    orders = set()
+    for r in tokens.mixed(scores, 3).collect():
+        bars = r.score.removesuffix(" </s>").split(" <bar> ")
+        assert bars[0] == "TimeSig_4/4 Tempo_120" and r.score.endswith(" </s>") and bars[2] == "<bass> p_1/3 d_1/2 p_1/3 d_7/2"
+        at, got = None, {"<melody>": [], "<bass>": []}
+        for e in re.findall(r"<melody>|<bass>|<tup> .*? </tup>|p_\S+ d_\S+", bars[1]):
+            if e in got:
+                assert e != at  # a mark stands where the channel changes, and only there
+                at = e
+            else:
+                got[at].append(e)
+        assert got == {"<melody>": ["p_1/4 d_1", "<tup> p_3/4 p_r p_5/4 d_1 </tup>", "p_r d_2"], "<bass>": ["p_1/2 d_4"]}
+        orders.add(bars[1])
+    assert len(orders) == 4  # wherever the bass may stand
+
+
+def test_share_of_melody_at_each_place(spark):
+    """Until a channel is used up, the melody has its share of the elements at every place."""
+    text = "TimeSig_4/4 Tempo_120 <bar> <melody> " + "p_1/4 d_1 " * 6 + "<bass> p_1/2 d_1 p_1/2 d_1 </s>"
+    rows = tokens.mixed(spark.createDataFrame([(k, text) for k in range(2000)], "song_id long, score string"), 1).collect()
+    firsts = [re.findall(r"<melody>|<bass>|p_\S+", r.score) for r in rows]
+    assert abs(sum(f[0] == "<melody>" for f in firsts) / 2000 - 0.75) < 0.04
+    second = ["<melody>" if (f[2] if f[2].startswith("<") else f[0]) == "<melody>" else "<bass>" for f in firsts]
+    assert abs(sum(x == "<melody>" for x in second) / 2000 - 0.75) < 0.04
 
 
 def test_spellings(spark):
