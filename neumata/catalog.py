@@ -505,10 +505,34 @@ def score_characters(spark, d):
     return merges.to_chars(tokens.encoded(parsed(spark, d), dims.vocab(spark)))
 
 
+#: Size of the vocabulary that is trained on the documents.
+PIECES = 8192
+
+
 @query()
 def wordpiece_tokens(spark, d):
     w = words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
-    return merges.wordpieces(w, merges.train_wordpiece(w, 400))
+    return merges.wordpieces(w, merges.train_wordpiece(w, PIECES))
+
+
+@query(f"WITH {WORDS} SELECT tok AS word, count(*) AS n FROM w GROUP BY tok")
+def wordpiece_decoded(spark, d):
+    """Every word, from the pieces it was cut into, and how often it occurs."""
+    w = words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
+    cut = merges.wordpieces(w, merges.train_wordpiece(w, 600)).join(w, "word")
+    return cut.groupBy(merges.unpieced(F.col("pieces")).alias("word")).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {Q.NOTES} SELECT song_id, count(*) AS n, CAST(sum(midi) AS BIGINT) AS midi_sum FROM notes WHERE song_id IN (SELECT o_orderkey FROM orders) GROUP BY song_id")
+def pitches_of_pieces(spark, d):
+    """The pitches of each song (a rest is -1), by way of pieces trained on its characters."""
+    vocab = dims.vocab(spark)
+    chars = merges.char_words(tokens.encoded(parsed(spark, d), vocab))
+    w = chars.groupBy("word").agg(F.count("*").alias("n"))
+    cut = merges.wordpieces(w, merges.train_wordpiece(w, 1000)).select("word", F.explode("pieces").alias("piece"))
+    pitches = merges.piece_pitches(cut, vocab)
+    per = cut.join(pitches, "piece").groupBy("word").agg(F.sum(F.size("pitches")).alias("n"), F.sum(F.aggregate("pitches", F.lit(0).cast("long"), lambda a, p: a + p)).alias("m"))
+    return chars.join(per, "word").groupBy("song_id").agg(F.sum("n").alias("n"), F.sum("m").alias("midi_sum"))
 
 
 # Files

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import scalars as S
 from ..functions.lineage import cut
 
 #: Merges that are repeated in every round before the blocks of words are written anew.
@@ -58,36 +62,146 @@ def merged(ids: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
     return np.delete(ids, hit + 1)
 
 
-def sure_merges(pairs: dict[tuple[str, str], int], room: int) -> list[tuple[str, str, str]]:
-    """The next merges (a, b, new) that follow from the counts of all pairs, without a new count: at least one, at most room.
+#: Merges guessed ahead in one job, pairs of neighbours kept on the driver for each piece still to be found, and at least.
+GUESSED, PAIRS_A_PIECE, LEAST_PAIRS = 192, 8, 1024
+
+
+def pair_counts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of neighbours, their counts). ids: pieces of words, each word followed by -1; n: how often each word occurs."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = np.cumsum(ids < 0) - (ids < 0)
+    near = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    u, at = np.unique(ids[near].astype(np.int64) << 32 | ids[near + 1], return_inverse=True)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, at, n[word[near]])
+    return u, total
+
 
-    A merge of a and b lowers the counts of pairs that end in a or begin with b, and makes pairs with the new piece, which
-    are no more than the pairs they come from. With these bounds, the first pair is sure while its own count is exact.
+def stepped(ids: np.ndarray, n: np.ndarray, step: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids after a merge, pairs whose counts it changes, by how much). Only words that hold the pair are looked at."""
+    a, b, new = step
+    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+    none = np.zeros(0, np.int64)
+    if not len(hit):
+        return ids, none, none
+    ends = np.flatnonzero(ids < 0)
+    words = np.unique(np.searchsorted(ends, hit))
+    first = np.where(words > 0, ends[words - 1] + 1, 0)
+    spans = ends[words] - first + 1
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+    old = ids[at]
+    made = merged(old.copy(), a, b, new)
+    (u, c), (v, d) = pair_counts(old, n[words]), pair_counts(made, n[words])
+    pairs, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    change = np.zeros(len(pairs), np.int64)
+    np.add.at(change, where, np.concatenate([-c, d]))
+    return merged(ids, a, b, new), pairs[change != 0], change[change != 0]
+
+
+class Greedy:
+    """Counts of pairs on the driver, and the merges that follow from them.
+
+    All counts are exact, of the most frequent pairs down to `last` (count and names) when they were counted: no other comes first
+    before these, as counts of old pairs only fall, and a pair that a merge makes is known in full.
     """
-    most, bounds, out = dict(pairs), set(), []
-    while most and len(out) < room:
-        a, b = best = min(most, key=lambda x: (-most[x], x))
-        if best in bounds:
-            break
-        new = a + b.removeprefix("##")
-        out.append((a, b, new))
-        if any(new in x for x in most):  # the same piece, made otherwise before
-            break
-        n = most.pop(best)
-        made = {(new, new): n} | ({(new, a): n} if a == b else {})
-        for x in [x for x in most if x[1] == a or x[0] == b]:
-            bounds.add(x)
-            made |= {y: min(n, most[x]) for y in [(x[0], new)] * (x[1] == a) + [(new, x[1])] * (x[0] == b)}
-        most |= made
-        bounds |= set(made)
-    return out
+
+    def __init__(self, pieces: list[str], counts: dict[tuple[int, int], int], last: tuple[int, int, int] | None):
+        self.pieces, self.number = pieces, {p: k for k, p in enumerate(pieces)}
+        self.counts, self.seen = counts, {}
+        self.last = (0, ("", "")) if last is None else (last[0], (pieces[last[1]], pieces[last[2]]))
+
+    def best(self, counts: dict) -> tuple[int, int] | None:
+        """The most frequent pair, of equals the first by name; none when unknown ones may have as many."""
+        top = max(counts.values(), default=0)
+        if top <= 0:
+            return None
+        name = lambda x: (self.pieces[x[0]], self.pieces[x[1]])
+        first = min((x for x, n in counts.items() if n == top), key=name)
+        return first if (-top, name(first)) <= (-self.last[0], self.last[1]) or not self.last[0] else None
+
+    def named(self, pair: tuple[int, int]) -> str:
+        return self.pieces[pair[0]] + self.pieces[pair[1]].removeprefix("##")
+
+    def guessed(self, most: int) -> list[tuple[int, int, int]]:
+        """The next merges, as far as they can be guessed: what a merge changes is known from a job that guessed it too, or estimated from the frequencies of its pieces."""
+        counts, pieces, out = self.counts.copy(), len(self.pieces), []
+        heap = [(-n, self.pieces[a], self.pieces[b], a, b) for (a, b), n in counts.items()]
+        heapq.heapify(heap)
+        followers, leaders = {}, {}
+        for (a, b), n in counts.items():
+            followers.setdefault(a, {})[b] = n
+            leaders.setdefault(b, {})[a] = n
+
+        def put(a: int, b: int, n: int) -> None:
+            counts[a, b] = n
+            followers.setdefault(a, {})[b] = n
+            leaders.setdefault(b, {})[a] = n
+            if n > 0:
+                heapq.heappush(heap, (-n, self.pieces[a], self.pieces[b], a, b))
+
+        try:
+            while len(out) < most and heap:
+                n, _, _, a, b = heapq.heappop(heap)
+                n = -n
+                if counts.get((a, b)) != n:
+                    continue
+                if n < self.last[0]:
+                    break
+                name = self.named((a, b))
+                new = self.number.get(name, -1)
+                if new < 0:
+                    new = len(self.pieces)
+                    self.pieces.append(name)
+                    self.number[name] = new
+                out.append((a, b, new))
+                put(a, b, 0)
+                if (name, self.pieces[a]) in self.seen:
+                    changes = {(self.number[x], self.number[y]): d for (x, y), d in self.seen[name, self.pieces[a]].items() if x in self.number and y in self.number}
+                    for (x, y), d in changes.items():
+                        if (x, y) != (a, b):
+                            put(x, y, max(0, counts.get((x, y), 0) + d))
+                    continue
+                of_a, of_b = sum(leaders.get(a, {}).values()) + n or 1, sum(followers.get(b, {}).values()) + n or 1
+                for x, m in list(leaders.get(a, {}).items()):
+                    if m > 0 and (k := m * n // of_a):
+                        put(x, a, m - k)
+                        put(x, new, counts.get((x, new), 0) + k)
+                for y, m in list(followers.get(b, {}).items()):
+                    if m > 0 and (k := m * n // of_b):
+                        put(b, y, m - k)
+                        put(new, y, counts.get((new, y), 0) + k)
+        finally:
+            for name in self.pieces[pieces:]:
+                del self.number[name]
+            del self.pieces[pieces:]
+        return out
+
+    def accepted(self, steps: list[tuple[int, int, int]], changes: dict[int, dict[tuple[int, int], int]], names: list[str]) -> int:
+        """How many of the guessed merges are the right ones; their pieces and counts are taken over. names: of all pieces, guessed ones too."""
+        for k, (a, b, new) in enumerate(steps):
+            if self.best(self.counts) != (a, b):
+                break
+            if new == len(self.pieces):
+                self.pieces.append(names[new])
+                self.number[names[new]] = new
+            for x, d in changes.get(k, {}).items():
+                self.counts[x] = self.counts.get(x, 0) + d
+                if not self.counts[x]:
+                    del self.counts[x]
+        else:
+            k = len(steps)
+        self.seen = {(names[new], names[a]): {(names[x], names[y]): d for (x, y), d in changes.get(j, {}).items()} for j, (a, b, new) in enumerate(steps) if j >= k}
+        return k
 
 
 def train_wordpiece(words: DataFrame, size: int) -> list[str]:
     """Pieces by repeated merging of the most frequent pair of neighbours (of equals, the first by name). words: word, n (distinct).
 
-    Words lie in blocks of piece ids over the cluster. Each round counts all pairs of neighbours (at most the square of the
-    pieces) and takes all merges that are sure by these counts. The driver holds pieces and pairs alone.
+    Words lie in blocks of piece ids over the cluster. The driver keeps the exact counts of the most frequent pairs (some for each
+    piece to be found) and guesses the next merges; one job applies them one after the other to the words that hold them and gives
+    back what each changed. Guesses are taken over up to the first that is not the most frequent pair by these exact counts, so
+    the result is that of one merge at a time, in far fewer jobs. All pairs are counted anew only when those kept run out.
     """
 
     def split(word):
@@ -99,7 +213,8 @@ def train_wordpiece(words: DataFrame, size: int) -> list[str]:
             found.update(*map(split, b.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["p"])
 
-    rows = cut(words.where("word <> ''").select("word", F.col("n").cast("long").alias("n")))
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(words.where("word <> ''").select("word", F.col("n").cast("long").alias("n")).repartition(spread, "word"))
     pieces = sorted(r.p for r in rows.select("word").mapInArrow(alphabet, "p string").distinct().collect())
     if len(pieces) >= size:
         return pieces
@@ -118,70 +233,143 @@ def train_wordpiece(words: DataFrame, size: int) -> list[str]:
         def run(batches):
             for b in batches:
                 for k in range(b.num_rows):
-                    ids, n = flat(b.column(0).slice(k, 1)).copy(), b.column(1).slice(k, 1)
+                    ids = flat(b.column(0).slice(k, 1)).copy()
                     for step in steps:
                         ids = merged(ids, *step)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), n], ["ids", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), b.column(1).slice(k, 1)], ["ids", "n"])
 
         return run
 
-    def counting(steps):
+    def summed(parts):
+        """Rows (step, pair, c) of a task, summed."""
+        if not parts:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["step", "pair", "c"])
+        step, pair, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pair, step))
+        step, pair, c = step[order], pair[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(step) != 0) | (np.diff(pair) != 0)])) if len(step) else np.zeros(0, np.int64)
+        total = np.add.reduceat(c, first) if len(first) else c
+        return pa.RecordBatch.from_arrays([pa.array(step[first].astype(np.int32)), pa.array(pair[first]), pa.array(total)], ["step", "pair", "c"])
+
+    def counting(done, steps=None):
+        """Counts of all pairs (step -1), or what each of the steps changes."""
+
         def run(batches):
-            of: dict[int, int] = {}
-            for b in merging(steps)(batches):
-                ids, n = flat(b.column(0)), flat(b.column(1))
-                n = n[np.cumsum(ids < 0) - (ids < 0)]
-                near = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                u, at = np.unique(ids[near].astype(np.int64) << 32 | ids[near + 1], return_inverse=True)
-                total = np.zeros(len(u), np.int64)
-                np.add.at(total, at, n[near])
-                for x, c in zip(u.tolist(), total.tolist(), strict=True):
-                    of[x] = of.get(x, 0) + c
-            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), pa.array(list(of.values()), pa.int64())], ["pair", "c"])
+            parts = []
+            for b in merging(done)(batches):
+                ids, n = flat(b.column(0)).copy(), flat(b.column(1))
+                if steps is None:
+                    u, c = pair_counts(ids, n)
+                    parts.append((np.full(len(u), -1, np.int32), u, c))
+                for k, step in enumerate(steps or ()):
+                    ids, u, c = stepped(ids, n, step)
+                    parts.append((np.full(len(u), k, np.int32), u, c))
+            yield summed(parts)
 
         return run
 
-    state, steps = cut(rows.mapInArrow(blocks, "ids array<int>, n array<long>")), []
+    schema = "step int, pair long, c long"
+    pair = lambda x: (x >> 32, x & 0xFFFFFFFF)
+    state, done, greedy = cut(rows.mapInArrow(blocks, "ids array<int>, n array<long>")), [], None
     while len(pieces) < size:
-        if len(steps) >= MERGES:
-            state, steps = cut(state.mapInArrow(merging(steps), state.schema)), []
-        found = state.mapInArrow(counting(steps), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()
-        sure = sure_merges({(pieces[r.pair >> 32], pieces[r.pair & 0xFFFFFFFF]): r.c for r in found}, size - len(pieces))
-        if not sure:
-            break
-        steps = list(steps)
-        for a, b, new in sure:
-            number.setdefault(new, len(pieces))
-            steps.append((number[a], number[b], number[new]))
-            pieces.append(new)
+        if len(done) >= MERGES:
+            state, done = cut(state.mapInArrow(merging(done), state.schema)), []
+        if greedy is None or greedy.best(greedy.counts) is None:
+            most = PAIRS_A_PIECE * (size - len(pieces)) + LEAST_PAIRS
+            every = state.mapInArrow(counting(done), schema).groupBy("pair").agg(F.sum("c").alias("c"))
+            kept = by_name(every, pieces).orderBy(F.desc("c"), "a", "b").limit(most).collect()
+            greedy = Greedy(pieces, {pair(r.pair): r.c for r in kept}, (kept[-1].c, *pair(kept[-1].pair)) if len(kept) == most else None)
+            if not kept:
+                break
+        steps = greedy.guessed(min(GUESSED, size - len(pieces)))
+        names = list(pieces)
+        for a, b, new in steps:
+            if new == len(names):
+                names.append(names[a] + names[b].removeprefix("##"))
+        changes: dict[int, dict[tuple[int, int], int]] = {}
+        for r in state.mapInArrow(counting(done, steps), schema).groupBy("step", "pair").agg(F.sum("c").alias("c")).where("c <> 0").collect():
+            changes.setdefault(r.step, {})[pair(r.pair)] = r.c
+        k = greedy.accepted(steps, changes, names)
+        done = [*done, *steps[:k]]
     return pieces
 
 
-def wordpieces(words: DataFrame, pieces: list[str]) -> DataFrame:
-    """word, pieces: greedy longest match from the left; [UNK] where none fits."""
-    known, longest = frozenset(pieces), max(map(len, pieces), default=1)
-
-    def cut(word: str) -> list[str]:
-        out, at = [], 0
-        while at < len(word):
-            for end in range(min(len(word), at + longest), at, -1):
-                piece = ("##" if at else "") + word[at:end]
-                if piece in known:
-                    out.append(piece)
-                    at = end
-                    break
-            else:
+def by_name(pairs: DataFrame, pieces: list[str]) -> DataFrame:
+    """pair, c, a, b: the places of both pieces in the order of names, so that ties can be sorted. pieces are broadcast: a vocabulary's rows."""
+    place = {p: k for k, p in enumerate(sorted(pieces))}
+    rank = np.array([place[p] for p in pieces], np.int32)
+
+    def run(batches):
+        for b in batches:
+            x = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rank[x >> 32]), pa.array(rank[x & 0xFFFFFFFF])], ["pair", "c", "a", "b"])
+
+    return pairs.select("pair", "c").mapInArrow(run, "pair long, c long, a int, b int")
+
+
+class Trie:
+    """Greedy longest match in one pass: where a walk ends, a failure link says which pieces are certain and where to go on."""
+
+    def __init__(self, pieces: list[str]):
+        known = frozenset(pieces)
+        self.next, self.fail, self.out, text = [{}, {}], [None, None], [[], []], ["", "##"]
+        self.first, self.inner = 0, 1
+        for p in pieces:
+            at = self.inner if p.startswith("##") and len(p) > 2 else self.first
+            for c in p[2:] if at == self.inner else p:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.fail.append(None)
+                    self.out.append([])
+                    text.append(text[at] + c)
+                at = self.next[at][c]
+        queue = deque((self.first, self.inner))
+        while queue:
+            v = queue.popleft()
+            for c, u in self.next[v].items():
+                if text[u] in known:
+                    self.fail[u], self.out[u] = self.inner, [text[u]]
+                else:
+                    z, popped = self.fail[v], []
+                    while z is not None and c not in self.next[z]:
+                        popped += self.out[z]
+                        z = self.fail[z]
+                    if z is not None:
+                        self.fail[u], self.out[u] = self.next[z][c], self.out[v] + popped
+                queue.append(u)
+
+    def __call__(self, word: str) -> list[str]:
+        at, out, k = self.first, [], 0
+        while k < len(word) or at not in (self.first, self.inner):
+            if k < len(word) and word[k] in self.next[at]:
+                at, k = self.next[at][word[k]], k + 1
+            elif self.fail[at] is None:
                 return ["[UNK]"]
+            else:
+                out += self.out[at]
+                at = self.fail[at]
         return out
 
+
+def wordpieces(words: DataFrame, pieces: list[str]) -> DataFrame:
+    """word, pieces: greedy longest match from the left; [UNK] where none fits, none for an empty word."""
+
     def run(batches):
+        cut_ = Trie(pieces)
         for b in batches:
             w = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([cut(x or "") for x in w], pa.list_(pa.string()))], ["word", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([cut_(x or "") for x in w], pa.list_(pa.string()))], ["word", "pieces"])
 
     return words.select("word").mapInArrow(run, "word string, pieces array<string>")
 
 
+def unpieced(pieces: Column) -> Column:
+    """The word that pieces make up; null where one is unknown."""
+    word = F.array_join(F.transform(pieces, lambda p, k: F.when((k > 0) & p.startswith("##"), F.substr(p, F.lit(3))).otherwise(p)), "")
+    return F.when(~F.array_contains(pieces, "[UNK]"), word)
+
+
 #: The first of the characters that stand for token ids.
 FIRST_CHARACTER = 0x4E00
 
@@ -197,3 +385,26 @@ def from_chars(chars: DataFrame) -> DataFrame:
     """song_id, pos, id: the ids that characters stand for."""
     rows = chars.select("song_id", F.posexplode(F.split("chars", r"(?!\A)(?!\z)")).alias("pos", "c"))
     return rows.select("song_id", "pos", (F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("int") - FIRST_CHARACTER).alias("id"))
+
+
+def char_words(encoded: DataFrame) -> DataFrame:
+    """song_id, k, word: tokens (song_id, pos, id, tok_type) as characters, split into words before and after header and special tokens, so that no piece reaches over them."""
+    char = F.decode(F.unhex(F.lpad(F.hex(F.col("id") + FIRST_CHARACTER), 4, "0")), "UTF-16BE")
+    alone = F.col("tok_type").isin("special", "time_sig", "tempo", "key")
+    w = Window.partitionBy("song_id").orderBy("pos")
+    rows = encoded.where("id is not null").select("song_id", "pos", char.alias("c"), alone.alias("alone"))
+    rows = rows.withColumn("new", (F.col("alone") | F.coalesce(F.lag("alone").over(w), F.lit(True))).cast("int"))
+    rows = rows.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = rows.groupBy("song_id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
+    return got.select("song_id", "k", F.array_join(F.transform("x", lambda x: x["c"]), "").alias("word"))
+
+
+def piece_pitches(pieces: DataFrame, vocab: DataFrame, with_rests: bool = True) -> DataFrame:
+    """piece, pitches: the pitches of the tokens that each distinct piece (of characters) stands for, in their order; a rest is -1."""
+    bare = F.when(F.col("piece").startswith("##") & (F.length("piece") > 2), F.substr("piece", F.lit(3))).otherwise(F.col("piece"))
+    rows = pieces.select("piece").distinct().select("piece", F.posexplode(F.split(bare, r"(?!\A)(?!\z)")).alias("k", "c"))
+    rows = rows.withColumn("id", F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("int") - FIRST_CHARACTER)
+    rows = rows.join(F.broadcast(vocab.select("id", "tok")), "id", "left")  # a vocabulary's rows
+    heard = S.is_pitch_heard(F.col("tok")) | (F.col("tok") == "p_r") if with_rests else S.is_pitch_heard(F.col("tok"))
+    got = rows.groupBy("piece").agg(F.array_sort(F.collect_list(F.when(heard, F.struct("k", S.midi_of(F.col("tok")).alias("m"))))).alias("x"))
+    return got.select("piece", F.transform("x", lambda x: x["m"]).alias("pitches"))

@@ -192,7 +192,37 @@ def test_wordpiece_query_takes_all_words(spark):
     got = {r.word: r.pieces for r in catalog.queries()["wordpiece_tokens"](spark, d).collect()}
     counts = {r.tok: r.n for r in catalog.words(spark, d).groupBy("tok").agg(F.count("*").alias("n")).collect()}
     assert set(got) == set(counts) and ["[UNK]"] not in got.values()
-    assert {p for v in got.values() for p in v} <= set(plain_wordpiece(sorted(counts.items()), 400))
+    assert all("".join(p.removeprefix("##") for p in v) == k for k, v in got.items())
+    some = dict(sorted(counts.items())[::7])
+    rows = spark.createDataFrame(sorted(some.items()), "word string, n long")
+    assert merges.train_wordpiece(rows, 400) == plain_wordpiece(sorted(some.items()), 400)
+
+
+def test_longest_match_in_one_pass():
+    """The trie against slices of every length, on words with and without a way through."""
+    rng = random.Random(8)
+    for _ in range(60):
+        pieces = sorted({("##" if rng.random() < 0.6 else "") + "".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 14))})
+        trie, known = merges.Trie(pieces), set(pieces)
+        for _ in range(60):
+            word, want, at = "".join(rng.choices("abc", k=rng.randint(0, 9))), [], 0
+            while at < len(word):
+                end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in known), None)
+                if end is None:
+                    want = ["[UNK]"]
+                    break
+                want.append(("##" if at else "") + word[at:end])
+                at = end
+            assert trie(word) == want, (pieces, word)
+
+
+def test_pieces_of_ties_over_the_kept_pairs(spark, monkeypatch):
+    """With few pairs kept on the driver, counts run out often, and the pieces are the same."""
+    rng = random.Random(2)
+    rows = [(w, 1) for w in sorted({"".join(rng.choices("abcdef", k=6)) for _ in range(200)})]
+    monkeypatch.setattr(merges, "PAIRS_A_PIECE", 0)
+    monkeypatch.setattr(merges, "LEAST_PAIRS", 5)
+    assert merges.train_wordpiece(spark.createDataFrame(rows, "word string, n long"), 90) == plain_wordpiece(rows, 90)
 
 
 def test_smoothing(spark):
