@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 from .functions import dims
 from .functions import scalars as S
-from .operators import files, harmony, intervals, merges, sampling, stats, tokens, voices
+from .operators import files, harmony, intervals, merges, sampling, slots, stats, tokens, voices
 from .plans import extract
 from .plans import sql as Q
 from .plans import voices_sql as V
@@ -843,3 +843,64 @@ def training_texts(spark, d):
     vocab = dims.vocab(spark, "midi")
     rows = tokens.clean(texts, vocab, ["keys"]).withColumn("score", tokens.stepped(F.col("score")))
     return tokens.Augmented("degree", seed=2, keys="keys")(rows, 3)
+
+
+# Slots, stretches, formats, envelopes
+
+SLOTTED = f"{Q.NOTES}, g0 AS (SELECT song_id, bar, pos, slots, slots % 4 = 0 AND midi >= 0 AND pos % 2 = 1 AS three, midi, CAST(sum(slots) OVER (PARTITION BY song_id, bar ORDER BY pos) - slots AS INT) AS start FROM notes WHERE channel = 'melody')"
+
+
+def slotted(spark, d):
+    """Melodies of triplets (whole quarters of their slots at odd places) and plain notes, back to back."""
+    n = X.notes(spark, d).where("channel = 'melody'")
+    start = F.sum("slots").over(Window.partitionBy("song_id", "bar").orderBy("pos")) - F.col("slots")
+    three = (F.col("slots") % 4 == 0) & (F.col("midi") >= 0) & (F.col("pos") % 2 == 1)
+    pitches = F.when(three, F.array("midi", F.col("midi"), (F.col("midi") + 5) % 128)).otherwise(F.array("midi"))
+    return n.select("song_id", "bar", start.cast("int").alias("start"), "slots", pitches.alias("pitches"))
+
+
+@query(f"WITH {SLOTTED}, g1 AS (SELECT *, dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS nth, CAST(three OR coalesce(lag(three) OVER w, true) OR lag(midi) OVER w IS DISTINCT FROM midi AS INT) AS new FROM g0 WINDOW w AS (PARTITION BY song_id, bar ORDER BY pos)), g2 AS (SELECT *, sum(new) OVER (PARTITION BY song_id, bar ORDER BY pos) AS run FROM g1) SELECT song_id, nth AS bar, min(start) AS start, CAST(sum(slots) AS INT) AS slots, any_value(CASE WHEN three THEN midi || ' ' || midi || ' ' || (midi + 5) % 128 ELSE CAST(midi AS VARCHAR) END) AS pitches FROM g2 GROUP BY song_id, nth, run")
+def slot_round_trip(spark, d):
+    """Melodies as rows of 64 ids and back: triplets by their marks, neighbours of one pitch as one note."""
+    rows = slots.rows_of(slots.encoded_groups(slotted(spark, d)), 64)
+    got = slots.decoded_groups(slots.slots_of(rows, 64))
+    return got.select("song_id", "bar", "start", "slots", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))
+
+
+@query(f'WITH {Q.INTERVALS}, st AS (SELECT song_id, part, bar, t AS start, sum(d) AS d FROM (SELECT song_id, part, bar, start AS t, 1 AS d FROM iv WHERE "end" > start UNION ALL SELECT song_id, part, bar, "end", -1 FROM iv WHERE "end" > start) GROUP BY ALL HAVING sum(d) <> 0), r AS (SELECT song_id, part, bar, start, sum(d) OVER w AS n, lead(start) OVER w AS "end" FROM st WINDOW w AS (PARTITION BY song_id, part, bar ORDER BY start)) SELECT song_id, part, bar, start, "end", CAST(n AS BIGINT) AS n FROM r WHERE n > 0')
+def simultaneous_notes(spark, d):
+    return intervals.simultaneous(X.intervals(spark, d))
+
+
+@query(f'WITH {Q.INTERVALS}, x AS (SELECT song_id, midi, bar * 32 + start AS a, bar * 32 + "end" AS z FROM iv WHERE "end" > start), st AS (SELECT song_id, midi, t AS start, sum(d) AS d FROM (SELECT song_id, midi, a AS t, 1 AS d FROM x UNION ALL SELECT song_id, midi, z, -1 FROM x) GROUP BY ALL HAVING sum(d) <> 0), r AS (SELECT song_id, midi, start, sum(d) OVER w AS n, lead(start) OVER w AS "end" FROM st WINDOW w AS (PARTITION BY song_id, midi ORDER BY start)) SELECT song_id, midi, start, "end", CAST(n AS BIGINT) AS n FROM r WHERE n > 0')
+def piano_roll(spark, d):
+    """When each pitch of a song sounds, over all its bars, and how often at once."""
+    at = F.col("bar") * 32
+    rows = X.intervals(spark, d).select("song_id", "midi", (at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"))
+    return intervals.simultaneous(rows, ("song_id", "midi"))
+
+
+@query(f"WITH {V.BARS} SELECT song_id, bar, tempo FROM (SELECT *, lag(tempo) OVER (PARTITION BY song_id ORDER BY bar) AS before FROM sbars WHERE tempo IS NOT NULL) WHERE before IS NULL OR before <> tempo")
+def tempo_changes(spark, d):
+    return intervals.changes(X.score_bars(spark, d), ["song_id"], ["bar"], "tempo").select("song_id", "bar", "tempo")
+
+
+@query(f"WITH {V.ELEMENTS}, f AS (SELECT DISTINCT song_id, ['.mxl', '.musicxml', '.xml', '.musicxml.mxl', ''][song_id % 5 + 1] AS format, song_id % 7 IN (2, 3) AS bad FROM rooms) SELECT format, NULL::BIGINT AS ticks, count(*) AS n, count_if(bad) AS broken FROM f GROUP BY format UNION ALL SELECT format, dur, CAST(sum(len(pitches)) AS BIGINT), 0 FROM el JOIN f USING (song_id) WHERE NOT bad AND len(pitches) > 0 GROUP BY format, dur")
+def scanned_formats(spark, d):
+    """Files of five formats, some of them cut off or no scores at all: what can be read is counted, what cannot is counted too."""
+    files = songs.musicxml(X.elements(spark, d), X.score_bars(spark, d)).withColumn("song_id", F.col("path").cast("long"))
+    ending = F.element_at(F.array(*map(F.lit, (".mxl", ".musicxml", ".xml", ".musicxml.mxl", ""))), (F.col("song_id") % 5 + 1).cast("int"))
+    broken = F.when(F.col("song_id") % 7 == 2, F.substring("content", 1, 200)).when(F.col("song_id") % 7 == 3, F.encode(F.lit("PK none"), "UTF-8")).otherwise(F.col("content"))
+    files = files.select(F.concat("path", ending).alias("path"), broken.alias("content"))
+    return songs.by_format(songs.scanned(songs.parse(files)))
+
+
+@query(f"WITH {Q.TEXTS} SELECT dataset, count(*) AS n, CAST(sum(length(score)) AS BIGINT) AS chars, min(md5(score)) AS least, max(md5(score)) AS most FROM texts GROUP BY dataset")
+def combined_songs(spark, d):
+    """All songs written as envelopes and read back."""
+    meta = F.struct(F.lit("full").alias("mode"), F.lit(5).alias("precision"), F.lit(False).alias("with_pitch_step"), F.lit(None).cast("long").alias("greedy_tuplet_pitch_threshold"))
+    rows = X.score_texts(X.songs(spark, d), X.notes(spark, d)).select(F.lit("str").alias("encoding_type"), meta.alias("extractor_meta"), "score", F.col("song_id").cast("string").alias("song_path"), F.col("dataset").alias("title"), F.lit(0).alias("duration"), F.lit(None).cast(songs.WARNING).alias("warnings"), F.lit(None).cast("map<string,double>").alias("keys"))
+    at = windows.shared(spark, "combined")
+    songs.combine(rows, at)
+    back = songs.load_combined(spark, at)
+    return back.groupBy(F.col("title").alias("dataset")).agg(F.count("*").alias("n"), F.sum(F.length("score")).alias("chars"), F.min(F.md5("score")).alias("least"), F.max(F.md5("score")).alias("most"))

@@ -67,6 +67,25 @@ def slot_top(notes: DataFrame) -> DataFrame:
     return rows.groupBy(*BAR, "slot").agg(F.max("midi").alias("midi"))
 
 
+def simultaneous(notes: DataFrame, by: tuple[str, ...] = BAR) -> DataFrame:
+    """by, start, end, n: how many notes sound in each stretch between two starts or ends; silent stretches are left out.
+
+    A note counts +1 where it starts and -1 where it ends, so no time is dealt out in steps.
+    """
+    steps = notes.where("end > start").select(*by, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy(*by, F.col("x.at").alias("start")).agg(F.sum("x.d").alias("d")).where("d <> 0")
+    w = Window.partitionBy(*by).orderBy("start")
+    rows = steps.withColumns({"n": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "end": F.lead("start").over(w)})
+    return rows.where("n > 0").select(*by, "start", "end", "n")
+
+
+def changes(rows: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """rows whose value differs from the one before in order, the first ones included; nulls stand for no change."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    known = rows.where(F.col(column).isNotNull()).withColumn("_before", F.lag(column).over(w))
+    return known.where(F.col("_before").isNull() | (F.col("_before") != F.col(column))).drop("_before")
+
+
 def carried(rows: DataFrame, keys: list[str], order: list[str], column: str, default) -> DataFrame:
     """rows with nulls of a column filled from the row before (as-of), or with the default where none is."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -25,10 +25,58 @@ def decoded(slots: DataFrame) -> DataFrame:
 
 
 def rows_of(slots: DataFrame, length: int) -> DataFrame:
-    """song_id, ids: a song's ids in order, filled up with PAD to a length."""
-    got = slots.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("bar", "slot", "id"))).alias("x"))
+    """song_id, row, ids: a song's ids in order, in rows of a length, the last filled up with PAD; nothing is left out."""
+    w = Window.partitionBy("song_id").orderBy("bar", "slot")
+    rows = slots.withColumn("nth", F.row_number().over(w) - 1).withColumn("row", F.floor(F.col("nth") / length).cast("int"))
+    got = rows.groupBy("song_id", "row").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("x"))
     ids = F.transform("x", lambda x: x["id"])
-    return got.select("song_id", F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(PAD), F.greatest(F.lit(length) - F.size(ids), F.lit(0)))).alias("ids"))
+    return got.select("song_id", "row", F.concat(ids, F.array_repeat(F.lit(PAD), length - F.size(ids))).alias("ids"))
+
+
+def slots_of(rows: DataFrame, length: int) -> DataFrame:
+    """song_id, bar, slot, id: rows of ids apart again, separators included; bars and slots are counted by separators."""
+    ids = rows.select("song_id", "row", F.posexplode("ids").alias("k", "id")).where(F.col("id") != PAD).withColumn("nth", F.col("row") * length + F.col("k"))
+    before = Window.partitionBy("song_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.col("id") == SEP
+    ids = ids.withColumns({"bar": F.coalesce(F.count_if(ended).over(before), F.lit(0)), "last": F.coalesce(F.max(F.when(ended, F.col("nth"))).over(before), F.lit(-1))})
+    return ids.select("song_id", F.col("bar").cast("long").alias("bar"), (F.col("nth") - F.col("last") - 1).cast("int").alias("slot"), "id")
+
+
+# Triplets: of four equal parts of their slots, three hold the pitches and the last the mark.
+
+
+def encoded_groups(notes: DataFrame) -> DataFrame:
+    """song_id, bar, slot, id of notes (song_id, bar, start, slots, pitches): one pitch (-1: a rest) a note, three a triplet; a separator ends each bar.
+
+    A triplet takes a multiple of four slots, as nothing shorter can be written.
+    """
+    part = F.col("slots") / 4
+    filled = lambda p, n: F.array_repeat(F.when(p < 0, REST).otherwise(p), n.cast("int"))
+    three = F.concat(*(filled(F.col("pitches")[k], part) for k in range(3)), F.array_repeat(F.lit(TRIPLET), part.cast("int")))
+    checked = F.when(F.col("slots") % 4 == 0, three).otherwise(F.raise_error(F.lit("a triplet takes a multiple of four slots")).cast("array<int>"))
+    ids = F.when(F.size("pitches") == 3, checked).otherwise(filled(F.col("pitches")[0], F.col("slots")))
+    rows = notes.select("song_id", "bar", "start", F.posexplode(ids).alias("k", "id")).select("song_id", "bar", (F.col("start") + F.col("k")).cast("int").alias("slot"), "id")
+    ends = rows.groupBy("song_id", "bar").agg((F.max("slot") + 1).alias("slot")).withColumn("id", F.lit(SEP))
+    return rows.unionByName(ends)
+
+
+def decoded_groups(slots: DataFrame) -> DataFrame:
+    """song_id, bar, start, slots, pitches: triplets by their marks, of the other slots each run of one id as a note.
+
+    A mark of n slots says that the 3n before it are the triplet's pitches, whether or not what stands before has the same id.
+    """
+    ids = slots.where(F.col("id") != SEP)
+    marks = ids.where(F.col("id") == TRIPLET).withColumn("island", F.col("slot") - F.row_number().over(Window.partitionBy("song_id", "bar").orderBy("slot")))
+    marks = marks.groupBy("song_id", "bar", "island").agg(F.min("slot").alias("at"), F.count("*").cast("int").alias("n")).drop("island")
+    inside = marks.select("song_id", "bar", (F.col("at") - 3 * F.col("n")).alias("start"), "n", F.explode(F.sequence(F.col("at") - 3 * F.col("n"), F.col("at") + F.col("n") - 1)).alias("slot"))
+    rows = ids.join(inside, ["song_id", "bar", "slot"], "left")
+    pitch = F.when(F.col("id") == REST, -1).otherwise(F.col("id"))
+    heads = rows.where(F.col("n").isNotNull() & (F.col("id") != TRIPLET) & ((F.col("slot") - F.col("start")) % F.col("n") == 0))
+    three = heads.groupBy("song_id", "bar", "start", "n").agg(F.array_sort(F.collect_list(F.struct("slot", pitch.alias("p")))).alias("x"))
+    three = three.select("song_id", "bar", "start", (F.col("n") * 4).alias("slots"), F.transform("x", lambda x: x["p"]).alias("pitches"))
+    one = rows.where("n is null").withColumn("island", F.col("slot") - F.row_number().over(Window.partitionBy("song_id", "bar", "id").orderBy("slot")))
+    one = one.groupBy("song_id", "bar", "id", "island").agg(F.min("slot").alias("start"), F.count("*").cast("int").alias("slots"))
+    return three.unionByName(one.select("song_id", "bar", "start", "slots", F.array(pitch).alias("pitches")))
 
 
 def stripped(ids):

@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import TICKS_PER_QUARTER
@@ -44,10 +44,22 @@ def stack(*songs: DataFrame) -> DataFrame:
     return out
 
 
-def combine(songs: DataFrame, path: str) -> None:
-    """Songs of one setting as one JSON line a setting: the envelope and its songs."""
-    rows = songs.groupBy("encoding_type", "extractor_meta").agg(F.collect_list(F.struct("score", "song_path", "title", "duration", "warnings", "keys")).alias("music"))
-    rows.write.mode("overwrite").json(path)
+#: Songs of one envelope that combine() writes.
+ENVELOPE = 1000
+
+
+def combine(songs: DataFrame, path: str, most: int = ENVELOPE) -> None:
+    """Songs as envelopes of at most `most` songs of one setting each, one JSON line an envelope, so no row ever holds the corpus."""
+    song = F.struct("score", "song_path", "title", "duration", "warnings", "keys")
+    nth = F.monotonically_increasing_id()
+    rows = songs.withColumn("box", F.struct(F.shiftright(nth, 33).alias("part"), F.floor(nth.bitwiseAND(F.lit((1 << 33) - 1)) / most).alias("k")))
+    rows.groupBy("encoding_type", "extractor_meta", "box").agg(F.collect_list(song).alias("music")).drop("box").write.mode("overwrite").json(path)
+
+
+def load_combined(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """load() of what combine() has written; files are read by ranges of bytes, an envelope a line."""
+    rows = spark.read.schema(COMBINED).json(path)
+    return rows.select(F.lit(dataset).alias("dataset"), "encoding_type", "extractor_meta", F.explode("music").alias("m")).select("dataset", "encoding_type", "extractor_meta", "m.*")
 
 
 def to_dataset(songs: DataFrame, path: str) -> None:
@@ -187,3 +199,23 @@ def scan_statistics(notes: DataFrame, bars: DataFrame) -> DataFrame:
     n = notes.groupBy("path").agg(F.count_if(F.col("midi") >= 0).alias("notes"), F.count_if(F.col("midi") == -1).alias("rests"), F.count("error").alias("errors"))
     b = bars.groupBy("path").agg(F.count_distinct("bar").alias("bars"), F.count_distinct("ts_num", "ts_den").alias("time_signatures"), F.count_distinct("tempo").alias("tempos"))
     return n.join(b, "path", "left")
+
+
+def format_of(path: Column) -> Column:
+    """The file's ending in small letters, with both endings of a double one; empty where it has none."""
+    return F.lower(F.regexp_extract(path, r"((?:\.[A-Za-z0-9]{1,9}){1,2})$", 1))
+
+
+def scanned(notes: DataFrame) -> DataFrame:
+    """path, format, error (class name; null: readable), notes, rests, histogram (ticks -> notes) of each file: broken ones are kept apart by their error."""
+    per = notes.groupBy("path", F.when(F.col("midi") >= 0, F.col("dur_ticks")).alias("ticks")).agg(F.count_if(F.col("midi") >= 0).alias("n"), F.count_if(F.col("midi") == -1).alias("rests"), F.max("error").alias("error"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("ticks", "n"))))
+    got = per.groupBy("path").agg(F.sum("n").alias("notes"), F.sum("rests").alias("rests"), F.regexp_extract(F.max("error"), r"^(\w+)", 1).alias("error"), F.map_from_entries(pairs).alias("histogram"))
+    return got.select("path", format_of(F.col("path")).alias("format"), F.nullif("error", F.lit("")).alias("error"), "notes", "rests", "histogram")
+
+
+def by_format(scan: DataFrame) -> DataFrame:
+    """format, ticks (null: files), n, broken: notes of each duration, and files with how many of them cannot be read."""
+    files = scan.groupBy("format").agg(F.count("*").alias("n"), F.count("error").alias("broken")).withColumn("ticks", F.lit(None).cast("long"))
+    notes = scan.where("error is null").select("format", F.explode("histogram").alias("ticks", "n")).groupBy("format", "ticks").agg(F.sum("n").alias("n")).withColumn("broken", F.lit(0).cast("long"))
+    return files.select("format", "ticks", "n", "broken").unionByName(notes.select("format", "ticks", "n", "broken"))
