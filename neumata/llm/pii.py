@@ -6,7 +6,8 @@ spelled out, addresses with bracketed dots. Boosted trees over a candidate's for
 on a bounded sample: positive are candidates that touch a checked span of their kind, and those that checked spans give
 when they are rewritten into the loose forms; negative are candidates that would not pass their check however they were
 written. What would pass but is no checked span is not learned from, since nobody knows what it is. The threshold is
-calibrated on documents that the trees were not fitted on, and candidates beyond it that touch no fixed span join the result.
+calibrated on documents that the trees were not fitted on. Candidates beyond it join the result if they touch no fixed span
+of any kind and would pass their check once written plainly (a card in its usual groups, a number not named as another).
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are searched each, texts of any
 length whole. Where spans start together the order of the kinds decides. `redact` works under names of its own, so columns
@@ -15,6 +16,8 @@ of any name come back as they were. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Loose generators, each with its cheap test.
 LOOSE = {
-    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\)|\bat\b)\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\bdot\b)\x20?[A-Za-z0-9-]++)++", "dot"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\)|\bat\b)\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\bdot\b)\x20?)[A-Za-z0-9-]++)++", r"dot|[\[(]at[\])]"),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}(?![0-9])", r"[0-9]\[?\.\]?[0-9]"),
     "card": (r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])", r"[0-9](?:[\x20.-]?[0-9]){12}"),
     "phone": (r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", r"[0-9]{3}[\x20.-]?[0-9]{4}"),
@@ -46,8 +49,8 @@ SPAN = "array<struct<start:int,end:int,match:string>>"
 MAX_TRAIN_DOCS, MAX_TRAIN_SPANS = 4_000, 20_000
 #: How checked spans are rewritten for fitting (pattern, replacement), in two ways.
 REWRITTEN = (
-    ((r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)", "$1 at $2 dot $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1[.]$2[.]$3[.]$4"), (r"\+[0-9]{1,2}[\x20.-]?(?=\(?[0-9]{3})", ""), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
-    ((r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)", "$1 [at] $2 [dot] $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1.$2[.]$3.$4"), (r"\+[0-9]{1,2}[\x20.-]?\(?([0-9]{3})\)?[\x20.-]?([0-9]{3})[\x20.-]?([0-9]{4})", "($1) $2-$3"), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
+    ((r"([A-Za-z]+)[0-9._%+-]*[13579]@[A-Za-z0-9-]+\.([A-Za-z]+)(?:\.[A-Za-z]+)*\.([A-Za-z]+)", "$1.$1 at $2 dot $3"), (r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.(?:[A-Za-z0-9-]+\.)*([A-Za-z]+)", "$1 at $2 dot $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1[.]$2[.]$3[.]$4"), (r"\+[0-9]{1,2}[\x20.-]?(?=\(?[0-9]{3})", ""), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
+    ((r"([A-Za-z]+)[0-9._%+-]*[13579]@([A-Za-z]+)[0-9]*((?:\.[A-Za-z0-9-]+)+)", "$1(at)$2$3"), (r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]+)", "$1 [at] $2 [dot] $3"), (r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", "$1.$2[.]$3.$4"), (r"\+[0-9]{1,2}[\x20.-]?\(?([0-9]{3})\)?[\x20.-]?([0-9]{3})[\x20.-]?([0-9]{4})", "($1) $2-$3"), (r"(?<=[0-9]{4})[\x20-](?=[0-9]{4})", ".")),
 )
 FEATURES = ("kind", "length", "digits", "groups", "first_group", "last_group", "parens", "dashes", "dots", "blanks", "letters", "luhn", "before", "after", "named")
 
@@ -129,23 +132,40 @@ def features(kind: str, text: Column, s: Column) -> Column:
 
 
 def would_pass(kind: str, m: Column) -> Column:
-    """Whether a candidate is what its kind's check accepts, once it is written plainly."""
+    """Whether a candidate is what its kind's check accepts, once it is written plainly.
+
+    Bare words "at" and "dot" stand in sentences too: they make an address only where the part before them is more than a word.
+    """
     if kind == "email":
+        marked = m.rlike(r"@|[\[(]at[\])]") | m.rlike(r"^[A-Za-z]*[0-9._%+-]")
         plain = F.regexp_replace(F.regexp_replace(F.lower(m), r"\s*(?:\[at\]|\(at\)|\bat\b)\s*", "@"), r"\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*", ".")
-        return plain.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}$")
+        return marked & plain.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}$")
     if kind == "phone":
         return passes(kind, m) & m.rlike("[^0-9]")
+    if kind == "card":  # in groups of four, or of four, six and five or four, by one separator
+        return passes(kind, m) & m.rlike(r"^[0-9]+$|^[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}$|^[0-9]{4}([\x20.-])[0-9]{6}\2[0-9]{4,5}$")
     return passes(kind, F.translate(m, "[]", ""))
 
 
-def candidates(found: DataFrame, judged: bool = False) -> DataFrame:
-    """found and, for each kind, loose_<kind>: struct<start, end, x (features), fixed (it touches a fixed span of its kind)>, and would_pass if judged."""
+#: What, right before a number, says that it is no phone.
+OTHER = r"(?i)\b(?:part|item|order|ref|serial|model|invoice|ticket|isbn|sku|no|nr|id)\b[\s.:#]*$"
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """found and, for each kind, loose_<kind>: struct<start, end, x (features), fixed (it touches a fixed span of its kind), over (it touches one of any kind), plain (it would pass)>."""
     text = F.col("text")
     rows = found.withColumns({f"loose_{k}": located(text, *LOOSE[k]) for k in KINDS})
 
     def described(k: str) -> Column:
-        more = lambda s: [would_pass(k, s["match"]).alias("plain")] * judged
-        return F.transform(f"loose_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(k, text, s).alias("x"), touches(s, F.col(k)).alias("fixed"), *more(s)))
+        def plain(s: Column) -> Column:
+            begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
+            ok = would_pass(k, s["match"])
+            return ok & ~F.substr(text, begin + 1, s["start"] - begin).rlike(OTHER) if k == "phone" else ok
+
+        def over(s: Column) -> Column:
+            return reduce(lambda a, b: a | b, (touches(s, F.col(x)) for x in KINDS))
+
+        return F.transform(f"loose_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(k, text, s).alias("x"), touches(s, F.col(k)).alias("fixed"), over(s).alias("over"), plain(s).alias("plain")))
 
     return rows.withColumns({f"loose_{k}": described(k) for k in KINDS})
 
@@ -177,7 +197,7 @@ def training_spans(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def spans(df: DataFrame) -> DataFrame:
-        return candidates(fixed(df), judged=True).select("doc_id", F.explode(F.concat(*(f"loose_{k}" for k in KINDS))).alias("s"))
+        return candidates(fixed(df)).select("doc_id", F.explode(F.concat(*(f"loose_{k}" for k in KINDS))).alias("s"))
 
     stand = spans(rows).where("s.fixed or not s.plain").select("doc_id", "s.x", F.col("s.fixed").alias("y"))
     some = rows.where(F.col("text").rlike(r"@|[0-9]\.[0-9]|\+[0-9]|[0-9]{4}[\x20-][0-9]{4}"))
@@ -216,7 +236,7 @@ def all_spans(docs: DataFrame, model: tuple[gbt.Trees, float]) -> DataFrame:
     rows = candidates(fixed(docs))
 
     def chosen(k: str) -> Column:
-        extra = F.filter(f"loose_{k}", lambda s: ~s["fixed"] & (as_column(trees, s["x"]) >= threshold))
+        extra = F.filter(f"loose_{k}", lambda s: ~s["over"] & s["plain"] & (as_column(trees, s["x"]) >= threshold))
         return F.concat(ranked(k, F.col(k)), ranked(k, extra))
 
     return rows.withColumn("spans", F.array_sort(F.concat(*(chosen(k) for k in KINDS)))).drop(*(f"loose_{k}" for k in KINDS))

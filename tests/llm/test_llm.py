@@ -224,10 +224,18 @@ def test_pii_adds_rewritten_spans(spark):
         1_000_003: ("Card 4111.1111.1111.1111 was charged.", "card"),
         1_000_004: ("Call (523) 555-6503 before noon.", "phone"),
         1_000_005: ("Version 12 of 2024 sold 1234567 units at 99 percent.", None),
+        1_000_006: ("Look at the dot com boom of 1999.", None),
+        1_000_007: ("The handbook is ISBN 978-0-306-40615-7 in print.", None),
+        1_000_008: ("Please quote part no 523-555-6503 when you reorder.", None),
+        1_000_009: ("Reach bob(at)mail.example.org for help.", "email"),
+        1_000_010: ("They met at noon dot by dot.", None),
     }
     more = spark.createDataFrame([(i, t) for i, (t, _) in new.items()], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find(docs.union(more)).where("doc_id > 1000000").collect()}
     found = {i: sorted({x.split(":")[0] for x in s.split(",") if x}) for i, s in got.items()}
+    over = spark.createDataFrame([(1, "of +1 (523) 555-4081 190.137.223.204 and 4111 1111 1111 1111.")], "doc_id long, text string")
+    spans = pii.all_spans(pii.documents(over), pii.fit(docs)).select(pii.text_of(F.col("spans")).alias("s")).first().s
+    assert "card:41:60" in spans and "ip:21:36" in spans and spans.count("card") == spans.count("ip") == 1
     assert {i: (kind in found[i] if kind else not found[i]) for i, (_, kind) in new.items()} == dict.fromkeys(new, True)
 
 
