@@ -118,7 +118,7 @@ def compound(elements: DataFrame, keep: str = "high", most: int = MOST) -> DataF
     """BAR, id, start, end, height, pitches, tuplet: chords as their notes, tuplet groups as one note each.
 
     Of a group's chord options the highest (lowest) alone takes part: a sweep never keeps another one, since whatever is better
-    than the best option and cuts it off does the same to all others of the same interval.
+    than the best option and cuts it off does the same to all others of the same interval. The low line is drawn among what sounds: rests take part in the high one alone.
     """
     ids = F.col("id") * 256
     plain = elements.where("n = 0").withColumn("p", F.explode(F.when(F.size("pitches") == 0, F.array(F.lit(-1))).otherwise(F.col("pitches"))))
@@ -131,7 +131,9 @@ def compound(elements: DataFrame, keep: str = "high", most: int = MOST) -> DataF
     weights = F.when(rest, F.array(F.col("total"))).when(F.col("severe"), F.transform("members", lambda m: F.lit(1).cast("long"))).otherwise(F.transform("members", lambda m: m["dur"]))
     end = F.when(rest, F.col("start") + F.col("total")).otherwise(F.col("end"))
     made = g.select(*BAR, (F.col("members")[0]["id"] * 256 + 255).alias("id"), "start", end.alias("end"), pitches.alias("pitches"), weights.alias("weights"), (~one).alias("tuplet"))
-    return plain.unionByName(made).where("end > start").withColumn("height", height(F.col("pitches"), F.col("weights"))).drop("weights")
+    rows = plain.unionByName(made).where("end > start")
+    rows = rows if keep == "high" else rows.where(F.col("pitches") != F.array(F.lit(-1)))  # the low line has no rests
+    return rows.withColumn("height", height(F.col("pitches"), F.col("weights"))).drop("weights")
 
 
 OVER, OVER_TUPLET, MAKEUP = "Higher Pitch Overlap", "Higher Pitch Overlap with Triplet", "Lower Pitch Makeup"

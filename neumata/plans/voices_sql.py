@@ -50,7 +50,7 @@ def compound(keep: str, name: str, most: int = MOST) -> str:
     return f"""{name}_g AS (SELECT *, len(list_filter(options, lambda o: o <> [-1])) = 0 AS rest FROM gr WHERE NOT low),
 {name}_c AS (SELECT {KEY}, id * 256 + p + 1 AS id, start, start + dur AS "end", [p] AS pitches, [dur] AS ws, false AS tuplet FROM (SELECT *, unnest(CASE WHEN len(pitches) = 0 THEN [-1] ELSE pitches END) AS p FROM el WHERE n = 0)
  UNION ALL SELECT {KEY}, first_id * 256 + 255, start, CASE WHEN rest THEN start + total ELSE "end" END, CASE WHEN rest THEN [-1] ELSE list_transform(options, lambda o: {pick}) END, CASE WHEN rest THEN [total] WHEN severe THEN list_transform(durs, lambda d: 1) ELSE durs END, NOT (size = 1 OR rest) FROM {name}_g),
-{name} AS (SELECT {KEY}, id, start, "end", pitches, tuplet, CAST(round(1000 * (list_sum(list_transform(list_zip(pitches, ws), lambda z: (CASE WHEN z[1] < 0 THEN 0.0 ELSE 440.0 * pow(2.0, (z[1] - 69) / 12.0) END) * z[2])) / list_sum(ws))) AS BIGINT) AS height FROM {name}_c WHERE "end" > start)"""
+{name} AS (SELECT {KEY}, id, start, "end", pitches, tuplet, CAST(round(1000 * (list_sum(list_transform(list_zip(pitches, ws), lambda z: (CASE WHEN z[1] < 0 THEN 0.0 ELSE 440.0 * pow(2.0, (z[1] - 69) / 12.0) END) * z[2])) / list_sum(ws))) AS BIGINT) AS height FROM {name}_c WHERE "end" > start{"" if keep == "high" else " AND pitches <> [-1]"})"""
 
 
 def sweep(notes: str, keep: str, name: str) -> str:

@@ -49,11 +49,11 @@ ENVELOPE = 1000
 
 
 def combine(songs: DataFrame, path: str, most: int = ENVELOPE) -> None:
-    """Songs as envelopes of at most `most` songs of one setting each, one JSON line an envelope, so no row ever holds the corpus."""
+    """Songs as envelopes of at most `most` songs of one setting each, a file an envelope, so no row ever holds the corpus; load() reads them too."""
     song = F.struct("score", "song_path", "title", "duration", "warnings", "keys")
     nth = F.monotonically_increasing_id()
     rows = songs.withColumn("box", F.struct(F.shiftright(nth, 33).alias("part"), F.floor(nth.bitwiseAND(F.lit((1 << 33) - 1)) / most).alias("k")))
-    rows.groupBy("encoding_type", "extractor_meta", "box").agg(F.collect_list(song).alias("music")).drop("box").write.mode("overwrite").json(path)
+    rows.groupBy("encoding_type", "extractor_meta", "box").agg(F.collect_list(song).alias("music")).drop("box").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def load_combined(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
