@@ -526,7 +526,7 @@ def score_characters(spark, d):
 
 
 #: Size of the vocabulary that is trained on the documents.
-PIECES = 8192
+PIECES = 2048
 
 
 @query()
