@@ -882,8 +882,7 @@ def slotted(spark, d):
 @query(f"WITH {SLOTTED}, g1 AS (SELECT *, dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS nth, CAST(three OR coalesce(lag(three) OVER w, true) OR lag(midi) OVER w IS DISTINCT FROM midi AS INT) AS new FROM g0 WINDOW w AS (PARTITION BY song_id, bar ORDER BY pos)), g2 AS (SELECT *, sum(new) OVER (PARTITION BY song_id, bar ORDER BY pos) AS run FROM g1) SELECT song_id, nth AS bar, min(start) AS start, CAST(sum(slots) AS INT) AS slots, any_value(CASE WHEN three THEN midi || ' ' || midi || ' ' || (midi + 5) % 128 ELSE CAST(midi AS VARCHAR) END) AS pitches FROM g2 GROUP BY song_id, nth, run")
 def slot_round_trip(spark, d):
     """Melodies as rows of 64 ids and back: triplets by their marks, neighbours of one pitch as one note."""
-    rows = slots.rows_of(slots.encoded_groups(slotted(spark, d)), 64)
-    got = slots.decoded_groups(slots.slots_of(rows, 64))
+    got = slots.song_notes(slots.song_rows(slotted(spark, d), 64))
     return got.select("song_id", "bar", "start", "slots", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))
 
 

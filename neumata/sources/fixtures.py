@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -33,10 +33,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
     channel = F.when(F.col("l_linestatus") == "O", "melody").otherwise("bass")
-    w = Window.partitionBy("l_orderkey", "l_linenumber", "l_linestatus").orderBy(*order)
+    own = ["l_orderkey", "l_linenumber", "l_linestatus"]
+    li = li.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*own[1:], *order)))  # dealt out by song, as all that follows
+    pos = F.col("nth") - F.min("nth").over(Window.partitionBy(*own)) + 1
     rest = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_partkey") % 3 == 0)
     return li.select(
-        F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") - 1).alias("bar"), F.row_number().over(w).alias("pos"), channel.alias("channel"),
+        F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") - 1).alias("bar"), pos.alias("pos"), channel.alias("channel"),
         F.when(rest, -1).otherwise((F.col("l_partkey") % 128).cast("int")).alias("midi"), (F.floor("l_quantity").cast("int") % 60 + 1).alias("slots"),
     )
 
@@ -48,11 +50,16 @@ def note_tokens(rows: DataFrame) -> DataFrame:
 
 def score_texts(songs_: DataFrame, notes_: DataFrame) -> DataFrame:
     """song_id, dataset, score: header, bars with a melody and a bass part, and the closing token."""
-    per = note_tokens(notes_).groupBy("song_id", "bar", "channel").agg(F.array_sort(F.collect_list(F.struct("pos", "pitch", "duration"))).alias("n"))
-    part = F.concat_ws(" ", F.concat(F.lit("<"), "channel", F.lit(">")), F.array_join(F.transform("n", lambda x: F.concat_ws(" ", x["pitch"], x["duration"])), " "))
-    bars = per.select("song_id", "bar", (F.col("channel") == "bass").alias("second"), part.alias("part"))
-    bars = bars.groupBy("song_id", "bar").agg(F.concat_ws(" ", F.lit("<bar>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("second", "part"))), lambda x: x["part"]), " ")).alias("text"))
-    body = bars.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bar", "text"))), lambda x: x["text"]), " ").alias("body"))
+    one = F.struct("bar", (F.col("channel") == "bass").alias("second"), "channel", "pos", "pitch", "duration")
+    per = note_tokens(notes_).groupBy("song_id").agg(F.array_sort(F.collect_list(one)).alias("n"))
+
+    def text(x: Column, k: Column) -> Column:
+        before = F.get(F.col("n"), k - 1)
+        same = before["bar"].eqNullSafe(x["bar"]) & (k > 0)
+        mark = F.when(same & before["channel"].eqNullSafe(x["channel"]), F.lit(None)).otherwise(F.concat(F.lit("<"), x["channel"], F.lit(">")))
+        return F.concat_ws(" ", F.when(~same, "<bar>"), mark, x["pitch"], x["duration"])
+
+    body = per.select("song_id", F.array_join(F.transform("n", text), " ").alias("body"))
     head = F.concat_ws(" ", S.time_sig_token(F.col("ts_num"), F.col("ts_den")), F.concat(F.lit("Tempo_"), F.col("tempo").cast("string")))
     return songs_.join(body, "song_id").select("song_id", "dataset", F.concat_ws(" ", head, "body", F.lit("</s>")).alias("score"))
 

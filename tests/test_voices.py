@@ -121,3 +121,24 @@ def test_envelopes_are_bounded(spark, tmp_path):
     assert max(sizes) <= 7 and sum(sizes) == 50
     back = songs.load_combined(spark, str(tmp_path / "out"), "x")
     assert sorted(r.score for r in back.collect()) == sorted(f"s{k}" for k in range(50))
+
+
+def test_song_slots_like_slots_dealt_out(spark):
+    """A song's rows of ids and back within the song give what slots as single rows give, triplets beside notes of the same pitch included, and deal nothing out."""
+    rng = random.Random(4)
+    rows = []
+    for song in range(60):
+        for bar in range(rng.randint(1, 5)):
+            at = 0
+            for _ in range(rng.randint(1, 6)):
+                three = rng.random() < 0.4
+                length = 4 * rng.randint(1, 6) if three else rng.randint(1, 20)
+                rows.append((song, bar, at, length, [rng.choice((60, 61, -1)) for _ in range(3 if three else 1)]))
+                at += length
+    notes = spark.createDataFrame(rows, "song_id long, bar long, start int, slots int, pitches array<int>")
+    dealt = slots.rows_of(slots.encoded_groups(notes), 16)
+    made = slots.song_rows(notes, 16)
+    assert sorted((r.song_id, r.row, r.ids) for r in dealt.collect()) == sorted((r.song_id, k, x) for r in made.collect() for k, x in enumerate(r.rows))
+    key = lambda r: (r.song_id, r.bar, r.start, r.slots, r.pitches)
+    assert sorted(map(key, slots.decoded_groups(slots.slots_of(dealt, 16)).collect())) == sorted(map(key, slots.song_notes(made).collect()))
+    assert slots.song_notes(made)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
