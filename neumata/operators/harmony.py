@@ -50,21 +50,22 @@ def as_map(cands: DataFrame) -> DataFrame:
     return cands.groupBy("song_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "score")))).alias("keys"))
 
 
-def in_key(notes: DataFrame, song_keys: DataFrame, fix_e_minor: bool = False, rests_as_b: bool = False) -> DataFrame:
-    """song_id, key, ikr: the share of heard pitches inside each given key. rests_as_b: count a rest as pitch class 11."""
+def in_key(notes: DataFrame, song_keys: DataFrame, fix_e_minor: bool = False, rests_as_b: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """song_id, key, ikr: the share of heard pitches inside each given key. rests_as_b: count a rest as pitch class 11. kept: columns of song_keys that stay."""
     keys = F.broadcast(dims.keys(notes.sparkSession, fix_e_minor))
     heard = notes.where("midi is not null") if rests_as_b else notes.where("midi >= 0 or midi < -1")
-    counts = heard.groupBy("song_id", F.pmod("midi", F.lit(12)).alias("pc")).agg(F.count("*").alias("n"))
-    rows = song_keys.select("song_id", "key").join(keys, "key").join(counts, "song_id", "left")
-    inside = ~F.array_contains("off_offsets", F.pmod(F.col("pc") - F.col("tonic_pc"), F.lit(12)))
-    out = rows.groupBy("song_id", "key").agg(F.try_divide(F.sum(F.when(inside, F.col("n")).otherwise(0)), F.sum("n")).alias("ikr"))
-    return out.select("song_id", "key", F.coalesce("ikr", F.lit(0.0)).alias("ikr"))
+    pc = F.pmod("midi", F.lit(12))
+    counts = heard.groupBy("song_id").agg(*(F.count_if(pc == k).alias(f"n{k}") for k in range(12)))  # a row a song, whatever the number of keys
+    more = [c for c in song_keys.columns if c in kept]
+    rows = song_keys.select("song_id", "key", *more).join(counts, "song_id", "left").join(keys, "key")
+    outside = sum(F.when(F.array_contains("off_offsets", F.pmod(F.lit(k) - F.col("tonic_pc"), F.lit(12))), F.col(f"n{k}")).otherwise(0) for k in range(12))
+    every = sum(F.col(f"n{k}") for k in range(12))
+    return rows.select("song_id", "key", *more, F.coalesce(F.try_divide(every - outside, every), F.lit(0.0)).alias("ikr"))
 
 
 def weighted_in_key(notes: DataFrame, scores: DataFrame, **options) -> DataFrame:
     """song_id, ikr: mean over the keys with positive scores, weighted by them."""
-    good = scores.where("score > 0")
-    rows = in_key(notes, good, **options).join(good, ["song_id", "key"])
+    rows = in_key(notes, scores.where("score > 0"), kept=("score",), **options)
     return rows.groupBy("song_id").agg((F.sum(F.col("ikr") * F.col("score")) / F.sum("score")).alias("ikr"))
 
 
