@@ -210,9 +210,10 @@ def tuplet_chunks(notes: DataFrame, by: list[str], order: list[str], kind: str,
     w = Window.partitionBy(*by).orderBy(*order)
     new = F.col(kind).isNotNull() & ~F.lag(kind).over(w).eqNullSafe(F.col(kind))
     rows = notes.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    nth = F.row_number().over(Window.partitionBy(*by, "run", kind).orderBy(*order)) - 1
+    rows = rows.withColumns({"_at": F.row_number().over(w), "_new": F.coalesce(new, F.lit(False))})
+    nth = F.col("_at") - F.max(F.when(F.col("_new"), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))  # a run's rows of the kind stand together
     chunk = F.concat_ws("/", F.col("run"), F.floor(nth / size).cast("int"))
-    return rows.withColumn("chunk", F.when(F.col(kind).isNotNull(), chunk)).drop("run")
+    return rows.withColumn("chunk", F.when(F.col(kind).isNotNull(), chunk)).drop("run", "_at", "_new")
 
 
 def plain_tuplets(groups: DataFrame, size: str = "n", total: str = "slots") -> DataFrame:
