@@ -20,6 +20,70 @@ def words(text: Column) -> Column:
 def parse(scores: DataFrame) -> DataFrame:
     """song_id, pos, tok, tok_type, bar (-1: header), channel, tuplet (depth): one row a token."""
     t = scores.select("song_id", F.posexplode(words(F.col("score"))).alias("pos", "tok"))
+MARKS = pa.array(["<bar>", "<melody>", "<bass>", "<tup>", "</tup>"])
+MARKED = "array<struct<tok:string,bar:int,channel:string,tuplet:int>>"
+SONG_ELEMENTS = "array<struct<bar:int,channel:string,elm:int,toks:array<string>>>"
+
+
+def running(texts: pa.ListArray) -> tuple[pa.Array, np.ndarray, dict[str, np.ndarray]]:
+    """(tokens of all texts, where each text begins and the last ends, for each token: mark (place in MARKS, -1: none), bar, channel (place in MARKS, -1: none yet), tuplet) of texts as lists of tokens."""
+    toks, sizes = texts.flatten(), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    mark = pc.fill_null(pc.index_in(toks, MARKS), -1).to_numpy(zero_copy_only=False)
+    first = np.repeat(ends[:-1], sizes)
+    met = np.maximum.accumulate(np.where((mark == 1) | (mark == 2), np.arange(len(mark)), -1)) if len(mark) else mark
+    channel = np.where(met >= first, mark[met], -1) if len(mark) else mark
+    return toks, ends, {"mark": mark, "bar": summed(mark == 0, first) - 1, "channel": channel, "tuplet": summed((mark == 3).astype(int) - (mark == 4), first), "first": first}
+
+
+def summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums within each text, the text's first place given for each token."""
+    upto = np.concatenate([[0], np.cumsum(x)])
+    return upto[1:] - upto[first]
+
+
+def named(channel: np.ndarray) -> pa.Array:
+    return pc.replace_substring_regex(MARKS.take(pa.array(channel, mask=channel < 0)), "[<>]", "")
+
+
+def mark_all(texts: pa.Array) -> pa.Array:
+    """The tokens of each text with their bar, channel and depth of tuplets, in one pass over a batch."""
+    toks, ends, x = running(texts)
+    rows = pa.StructArray.from_arrays([toks, pa.array(x["bar"].astype(np.int32)), named(x["channel"]), pa.array(x["tuplet"].astype(np.int32))], names=["tok", "bar", "channel", "tuplet"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rows)
+
+
+def group_all(texts: pa.Array) -> pa.Array:
+    """The elements of each text, in one pass over a batch."""
+    toks, ends, x = running(texts)
+    inside = (x["tuplet"] > 0) | (x["mark"] == 4)
+    starts = (x["mark"] == 3) | ~(inside | pc.starts_with(toks, "d_").to_numpy(zero_copy_only=False))
+    elm = summed(starts, x["first"]) - 1
+    at = np.flatnonzero(starts | (np.arange(len(toks)) == x["first"]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(toks)).astype(np.int32)), toks)
+    rows = pa.StructArray.from_arrays([pa.array(x["bar"][at].astype(np.int32)), named(x["channel"][at]), pa.array(elm[at].astype(np.int32)), lists], names=["bar", "channel", "elm", "toks"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends).astype(np.int32)), rows)
+
+
+def marked(texts: Column) -> Column:
+    return F.arrow_udf(mark_all, MARKED)(texts)
+
+
+def grouped(texts: Column) -> Column:
+    return F.arrow_udf(group_all, SONG_ELEMENTS)(texts)
+
+
+def dealt(scores: DataFrame, *kept: str) -> DataFrame:
+    """song_id, kept, pos, tok, tok_type: one row a token, where nothing but the token counts."""
+    rows = scores.select("song_id", *kept, F.posexplode(words(F.col("score"))).alias("pos", "tok"))
+    return rows.withColumn("tok_type", S.tok_type(F.col("tok")))
+
+
+def let(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it (a lambda's expressions are not shared otherwise)."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
     w = Window.partitionBy("song_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.when(F.col("tok") == "<melody>", "melody").when(F.col("tok") == "<bass>", "bass")
     return t.select(
@@ -139,12 +203,14 @@ ELEMENT = r"<melody>|<bass>|<tup> .*? </tup>|p_\S+ d_\S+"
 
 def by_channel(bar: Column) -> Column:
     """struct<melody, bass>: the elements of a bar's text, each channel's in its order, however the channels alternate."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit("<melody>").alias("at"), none.alias("melody"), none.alias("bass"))
+    marks = ("<melody>", "<bass>")
 
-    def step(s: Column, x: Column) -> Column:
-        mark, melody = x.isin("<melody>", "<bass>"), s["at"] == "<melody>"
-        return F.struct(F.when(mark, x).otherwise(s["at"]).alias("at"), F.when(~mark & melody, F.concat(s["melody"], F.array(x))).otherwise(s["melody"]).alias("melody"), F.when(~mark & ~melody, F.concat(s["bass"], F.array(x))).otherwise(s["bass"]).alias("bass"))
+    def channel(xs: Column) -> Column:
+        """The elements, in stretches of one channel each: what stands between two marks is cut out whole."""
+        n = F.size(xs)
+        at = F.concat(F.array(F.lit(-1)), F.filter(F.transform(xs, lambda x, i: F.when(x.isin(*marks), i).otherwise(-1)), lambda i: i >= 0))
+        pieces = lambda ps, mark: F.flatten(F.transform(ps, lambda p, k: F.when((F.when(p < 0, F.lit("<melody>")).otherwise(F.get(xs, p))) == mark, F.slice(xs, p + 2, F.coalesce(F.get(ps, k + 1), n) - p - 1)).otherwise(F.array().cast("array<string>"))))
+        return let(at, lambda ps: F.struct(pieces(ps, "<melody>").alias("melody"), pieces(ps, "<bass>").alias("bass")))
 
     return F.aggregate(F.regexp_extract_all(bar, F.lit(ELEMENT), F.lit(0)), start, step)
 
@@ -158,11 +224,15 @@ def merged_bar(melody: Column, bass: Column, draw) -> Column:
     start = F.struct(F.lit(0).alias("m"), F.lit(0).alias("b"), F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, k: Column) -> Column:
-        high = F.when(s["m"] >= n_m, F.lit(False)).when(s["b"] >= n_b, F.lit(True)).otherwise(F.pmod(draw(k), (n_m + n_b).cast("long")) < n_m)
-        mark = F.when(high, "<melody>").otherwise("<bass>")
-        elm = F.when(high, F.get(melody, s["m"])).otherwise(F.get(bass, s["b"]))
-        more = F.when(mark == s["at"], F.array(elm)).otherwise(F.array(mark, elm))
-        return F.struct((s["m"] + high.cast("int")).alias("m"), (s["b"] + (~high).cast("int")).alias("b"), mark.alias("at"), F.concat(s["out"], more).alias("out"))
+        drawn = F.when(s["m"] >= n_m, F.lit(False)).when(s["b"] >= n_b, F.lit(True)).otherwise(F.pmod(draw(k), (n_m + n_b).cast("long")) < n_m)
+
+        def put(high: Column) -> Column:
+            mark = F.when(high, "<melody>").otherwise("<bass>")
+            elm = F.when(high, F.get(melody, s["m"])).otherwise(F.get(bass, s["b"]))
+            more = F.when(mark == s["at"], F.array(elm)).otherwise(F.array(mark, elm))
+            return F.struct((s["m"] + high.cast("int")).alias("m"), (s["b"] + (~high).cast("int")).alias("b"), mark.alias("at"), F.concat(s["out"], more).alias("out"))
+
+        return let(drawn, put)
 
     places = F.when(n_m + n_b > 0, F.sequence(F.lit(1), n_m + n_b)).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.aggregate(places, start, step)["out"], " ")
@@ -173,8 +243,8 @@ def mixed(scores: DataFrame, seed: int) -> DataFrame:
     parts = F.split(F.regexp_replace(F.regexp_replace("score", " </s>$", ""), " <bar> ", "\n"), "\n")
 
     def bar(t: Column, k: Column) -> Column:
-        c = by_channel(t)
-        return F.when(k == 0, t).otherwise(F.concat_ws(" ", F.lit("<bar>"), merged_bar(c["melody"], c["bass"], lambda j: S.hashed(F.col("song_id"), k, j, seed))))
+        merged = let(by_channel(t), lambda c: merged_bar(c["melody"], c["bass"], lambda j: S.hashed(F.col("song_id"), k, j, seed)))
+        return F.when(k == 0, t).otherwise(F.concat_ws(" ", F.lit("<bar>"), merged))
 
     return scores.select("song_id", F.concat(F.array_join(F.transform(parts, bar), " "), F.lit(" </s>")).alias("score"))
 
