@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from .functions import dims
 from .functions import scalars as S
+from .functions.lineage import bounded_join, cut
 from .operators import files, harmony, intervals, merges, sampling, slots, stats, tokens, voices
 from .plans import extract
 from .plans import sql as Q
@@ -38,8 +39,17 @@ def oracle_sql():
     return dict(SQL)
 
 
+def score_texts(spark, d):
+    return X.score_texts(X.songs(spark, d), X.notes(spark, d))
+
+
 def parsed(spark, d):
-    return tokens.parse(X.score_texts(X.songs(spark, d), X.notes(spark, d)))
+    return tokens.parse(score_texts(spark, d))
+
+
+def counted(spark, d, *by):
+    """by, tok, tok_type, n: how often the songs' texts hold each token."""
+    return stats.counts(tokens.dealt(score_texts(spark, d), *by), *by, "tok_type", "tok")
 
 
 # Keys
@@ -113,7 +123,7 @@ COUNTED = "tc AS (SELECT tok, count(*) AS n FROM tokens GROUP BY tok)"
 
 def used(spark, d, vocab):
     """vocab and how often the songs' texts hold each token."""
-    return vocab.join(stats.counts(parsed(spark, d), "tok"), "tok", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return vocab.join(counted(spark, d).select("tok", "n"), "tok", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def vocab_query(kind):
@@ -142,8 +152,7 @@ for kind in ("midi", "step", "degree"):
 
 @query(f"WITH {Q.TOKENS} SELECT dataset, tok_type, count(*) AS n, count(DISTINCT tok) AS n_distinct FROM tokens JOIN songs USING (song_id) GROUP BY ALL")
 def token_type_counts(spark, d):
-    rows = parsed(spark, d).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
-    return rows.groupBy("dataset", "tok_type").agg(F.count("*").alias("n"), F.count_distinct("tok").alias("n_distinct"))
+    return counted(spark, d, "dataset").groupBy("dataset", "tok_type").agg(F.sum("n").alias("n"), F.count("tok").alias("n_distinct"))
 
 
 @query(f"WITH {Q.TOKENS}, {COUNTED}, {Q.vocab('degree', 'v')} SELECT id, coalesce(n, 0) AS n, CASE WHEN tok = 'p_r' THEN -1 ELSE CAST(nullif(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 1), '') AS INT) - 1 + (CAST(nullif(regexp_extract(tok, '^p_(\\d+)/(-?\\d+)', 2), '') AS INT) + 1) * 12 END AS midi, CAST(nullif(regexp_extract(tok, '^p_.*_([1-7])$', 1), '') AS INT) AS degree, CASE WHEN tok = 'Tempo_low' THEN 39 WHEN tok = 'Tempo_high' THEN 241 ELSE CAST(nullif(regexp_extract(tok, '^Tempo_(\\d+)$', 1), '') AS INT) END AS tempo, CAST(nullif(regexp_extract(tok, '^TimeSig_(\\d+)/', 1), '') AS INT) AS ts_num, CAST(nullif(regexp_extract(tok, '^d_(\\d+)', 1), '') AS INT) AS dur_num, CASE WHEN regexp_matches(tok, '^d_\\d') THEN coalesce(CAST(nullif(regexp_extract(tok, '^d_\\d+/(\\d+)$', 1), '') AS INT), 1) END AS dur_den, nullif(regexp_extract(tok, '^Key_(.*)$', 1), '') AS key FROM v LEFT JOIN tc USING (tok)")
@@ -160,18 +169,19 @@ def vocab_round_trip_violations(spark, d):
     again = F.when(F.col("tok_type") == "pitch", S.pitch_token(m["midi"])).when(F.col("tok_type") == "duration", S.slots_token(slots_)).when(F.col("tok_type") == "time_sig", S.time_sig_token(m["ts_num"], m["ts_den"])).when(F.col("tok_type") == "key", F.concat(F.lit("Key_"), m["key"])).otherwise(F.col("tok"))
     number = F.regexp_extract("tok", "^d_([0-9]+)$", 1)
     broken = F.when(number != "", F.concat(F.lit("d_"), (F.nullif(number, F.lit("")).cast("int") * 2).cast("string"), F.lit("/2"))).otherwise(F.col("tok"))
-    return stats.counts(parsed(spark, d).withColumn("tok", broken).where(again != F.col("tok")), "tok")
+    rows = counted(spark, d).withColumn("tok", broken).where(again != F.col("tok"))  # a token's meaning does not hang on where it stands
+    return rows.groupBy("tok").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {Q.TOKENS}, {Q.vocab('midi')}, s AS (SELECT t.*, v.tok IS NULL OR t.tok IN ('p_rare', 'd_rare') AS rare, CASE WHEN v.tok IS NOT NULL THEN t.tok WHEN t.tok_type = 'pitch' THEN 'p_rare' WHEN t.tok_type = 'duration' THEN 'd_rare' WHEN t.tok_type = 'time_sig' THEN 'TimeSig_rare' WHEN t.tok_type = 'tempo' AND CAST(substr(t.tok, 7) AS INT) < 40 THEN 'Tempo_low' WHEN t.tok_type = 'tempo' THEN 'Tempo_high' ELSE t.tok END AS clean FROM tokens t LEFT JOIN vocab v USING (tok)) SELECT clean, count(*) AS n, count_if(rare) AS n_rare FROM s GROUP BY clean")
 def sanitized_counts(spark, d):
-    return tokens.sanitized(parsed(spark, d), dims.vocab(spark)).groupBy("clean").agg(F.count("*").alias("n"), F.count_if("rare").alias("n_rare"))
+    rows = tokens.sanitized(counted(spark, d), dims.vocab(spark))
+    return rows.groupBy("clean").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rare"), F.col("n")).otherwise(0)).alias("n_rare"))
 
 
 @query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT dataset, t.tok_type, round(100.0 * count_if(v.tok IS NULL) / count(*), 6) AS ratio FROM tokens t LEFT JOIN vocab v USING (tok) JOIN songs USING (song_id) GROUP BY ALL")
 def rare_token_ratio(spark, d):
-    rows = tokens.sanitized(parsed(spark, d), dims.vocab(spark)).join(X.songs(spark, d).select("song_id", "dataset"), "song_id")
-    return stats.rare_ratio(rows)
+    return stats.rare_ratio(tokens.sanitized(counted(spark, d, "dataset"), dims.vocab(spark)), F.col("n"))
 
 
 @query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT song_id, count(*) AS n, CAST(sum(id * (pos % 97 + 1)) AS BIGINT) AS checksum, count_if(id IS NULL) AS n_unknown FROM tokens t LEFT JOIN vocab v USING (tok) GROUP BY song_id")
@@ -182,12 +192,12 @@ def encoded_ids(spark, d):
 
 @query(f"WITH {Q.TOKENS} SELECT song_id, bar, string_agg(tok, ' ' ORDER BY pos) AS text FROM tokens WHERE bar >= 0 AND tok <> '</s>' GROUP BY ALL")
 def bar_strings(spark, d):
-    return tokens.bar_texts(parsed(spark, d))
+    return tokens.song_bars(score_texts(spark, d))
 
 
 @query(f"WITH {Q.NOTES}, b AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS nth FROM notes) SELECT song_id, nth AS bar, channel, count(*) AS n, CAST(sum(slots) AS BIGINT) * 720720 AS ticks, CAST(sum(midi) AS BIGINT) AS midi_sum FROM b JOIN orders ON o_orderkey = song_id GROUP BY song_id, nth, channel")
 def channel_split(spark, d):
-    n = tokens.note_list(tokens.elements(parsed(spark, d)))
+    n = tokens.note_list(tokens.each_element(tokens.song_elements(score_texts(spark, d))))
     return n.groupBy("song_id", "bar", "channel").agg(F.count("*").alias("n"), F.sum("ticks").alias("ticks"), F.sum("midi").alias("midi_sum"))
 
 
@@ -197,12 +207,12 @@ def grammar_violations(spark, d):
     texts = X.score_texts(X.songs(spark, d), X.notes(spark, d))
     way, score = F.col("song_id") % 5, F.col("score")
     broken = F.when(way == 1, F.regexp_replace(score, " </s>$", "")).when(way == 2, F.regexp_replace(score, " Tempo_[0-9]+", " x")).when(way == 3, F.concat(score, F.lit(" <bar> <bar>"))).when(way == 4, F.concat(score, F.lit(" p_1/4"))).otherwise(score)
-    return tokens.violations(tokens.parse(texts.withColumn("score", broken)))
+    return tokens.song_violations(texts.withColumn("score", broken))
 
 
 @query(f"WITH {Q.TOKENS} SELECT song_id, count(*) AS n_token, count_if(tok = '<bar>') AS n_bar, count_if(tok LIKE 'p\\_%' ESCAPE '\\' AND tok NOT IN ('p_r', 'p_rare')) AS n_pitch, count_if(tok = 'p_r') AS n_rest, count_if(tok = '<tup>') AS n_tuplet, count(DISTINCT tok) AS n_distinct, max(CASE WHEN tok_type = 'time_sig' THEN tok END) AS time_sig, max(CASE WHEN tok_type = 'tempo' THEN tok END) AS tempo FROM tokens GROUP BY song_id")
 def song_facts(spark, d):
-    return stats.song_facts(parsed(spark, d))
+    return stats.song_facts_of(score_texts(spark, d))
 
 
 # Transforms
@@ -323,7 +333,7 @@ def token_length_percentile(spark, d):
 
 @query(f"WITH {Q.TOKENS}, {Q.vocab('midi')}, c AS (SELECT tok, count(*) AS n FROM tokens GROUP BY tok) SELECT v.tok, coalesce(n, 0) AS n FROM vocab v LEFT JOIN c USING (tok)")
 def vocab_usage(spark, d):
-    return stats.zero_filled(stats.counts(parsed(spark, d), "tok"), dims.vocab(spark))
+    return stats.zero_filled(counted(spark, d), dims.vocab(spark))
 
 
 @query(f"WITH {Q.NOTES}, {Q.SONGS}, b AS (SELECT song_id, bar, max(CASE WHEN channel = 'melody' AND midi >= 0 THEN 1 ELSE 0 END) AS m, max(CASE WHEN channel = 'bass' AND midi >= 0 THEN 1 ELSE 0 END) AS s FROM notes GROUP BY ALL), p AS (SELECT dataset, song_id, count(*) AS bars, sum(1 - m) AS me, sum(1 - s) AS be FROM b JOIN songs USING (song_id) GROUP BY ALL) SELECT dataset, 'melody' AS channel, 'bar' AS by, round(sum(me) / sum(bars), 6) AS ratio FROM p GROUP BY dataset UNION ALL SELECT dataset, 'bass', 'bar', round(sum(be) / sum(bars), 6) FROM p GROUP BY dataset UNION ALL SELECT dataset, 'melody', 'song', round(avg(CAST(me = bars AS INT)), 6) FROM p GROUP BY dataset UNION ALL SELECT dataset, 'bass', 'song', round(avg(CAST(be = bars AS INT)), 6) FROM p GROUP BY dataset")
@@ -501,23 +511,22 @@ ELEMENTS = f"{Q.TEXTS.replace('texts AS', 'texts0 AS')}, el AS (SELECT pitch ||
 
 @query(f"WITH {ELEMENTS} SELECT elm_text, n, rank FROM er WHERE rank <= 500")
 def pair_merge_topk(spark, d):
-    return merges.element_counts(tokens.elements(parsed(spark, d))).where("rank <= 500")
+    return merges.element_counts(tokens.each_element(tokens.song_elements(score_texts(spark, d)))).where("rank <= 500")
 
 
 @query(f"WITH {ELEMENTS}, s AS (SELECT round(sum(n) OVER (ORDER BY rank) / sum(n) OVER (), 9) AS share FROM er), r(ratio) AS (VALUES (0.5::DOUBLE), (0.68), (0.95)) SELECT ratio, count_if(share <= ratio) AS size FROM s CROSS JOIN r GROUP BY ratio")
 def pair_merge_cutoff(spark, d):
-    return merges.cutoff(merges.element_counts(tokens.elements(parsed(spark, d))), [0.5, 0.68, 0.95])
+    return merges.cutoff(merges.element_counts(tokens.each_element(tokens.song_elements(score_texts(spark, d)))), [0.5, 0.68, 0.95])
 
 
 @query(f"WITH {Q.TEXTS} SELECT song_id FROM texts WHERE song_id % 5 = 1")
 def pair_merge_round_trip_violations(spark, d):
     """Songs whose text does not come back from merged elements: those whose closing token is taken out on purpose, and no others."""
-    texts = X.score_texts(X.songs(spark, d), X.notes(spark, d))
-    elms = tokens.elements(tokens.parse(texts))
-    vocab = merges.merged_vocab(merges.element_counts(elms), dims.vocab(spark), 500)
-    merged = merges.tokenised(elms, vocab).where("song_id % 5 <> 1 or tok <> '</s>'")
-    again = merges.texts_of(merged).withColumnRenamed("score", "again")
-    return texts.join(again, "song_id").where("score <> again").select("song_id")
+    rows = tokens.song_elements(score_texts(spark, d))
+    vocab = merges.merged_vocab(merges.element_counts(tokens.each_element(rows)), dims.vocab(spark), 500)
+    merged = merges.song_texts(rows, vocab)
+    kept = F.when(F.col("song_id") % 5 == 1, F.filter("toks", lambda t: t != "</s>")).otherwise(F.col("toks"))
+    return merged.where(F.col("score") != F.array_join(kept, " ")).select("song_id")
 
 
 @query(f"WITH {Q.TOKENS}, {Q.vocab('midi')} SELECT song_id, string_agg(chr(CAST(id + 19968 AS INT)), '' ORDER BY pos) AS chars FROM tokens JOIN vocab USING (tok) GROUP BY song_id")
@@ -547,12 +556,13 @@ def wordpiece_decoded(spark, d):
 def pitches_of_pieces(spark, d):
     """The pitches of each song (a rest is -1), by way of pieces trained on its characters."""
     vocab = dims.vocab(spark)
-    chars = merges.char_words(tokens.encoded(parsed(spark, d), vocab))
-    w = chars.groupBy("word").agg(F.count("*").alias("n"))
-    cut = merges.wordpieces(w, merges.train_wordpiece(w, 1000)).select("word", F.explode("pieces").alias("piece"))
-    pitches = merges.piece_pitches(cut, vocab)
-    per = cut.join(pitches, "piece").groupBy("word").agg(F.sum(F.size("pitches")).alias("n"), F.sum(F.aggregate("pitches", F.lit(0).cast("long"), lambda a, p: a + p)).alias("m"))
-    return chars.join(per, "word").groupBy("song_id").agg(F.sum("n").alias("n"), F.sum("m").alias("midi_sum"))
+    chars = cut(merges.song_words(score_texts(spark, d), vocab))
+    each = chars.select("song_id", F.explode("words").alias("word"))
+    w = each.groupBy("word").agg(F.count("*").alias("n"))
+    pieces = merges.wordpieces(w, merges.train_wordpiece(w, 1000)).select("word", F.explode("pieces").alias("piece"))
+    pitches = merges.piece_pitches(pieces, vocab)
+    per = pieces.join(pitches, "piece").groupBy("word").agg(F.sum(F.size("pitches")).alias("n"), F.sum(F.aggregate("pitches", F.lit(0).cast("long"), lambda a, p: a + p)).alias("m"))
+    return bounded_join(each, per, "word").groupBy("song_id").agg(F.sum("n").alias("n"), F.sum("m").alias("midi_sum"))
 
 
 # Files

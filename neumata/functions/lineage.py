@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that may be broadcast.
+MOST_ROWS = 100_000
+
+
+def bounded_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows and what table (a row a key) says of their key: a small table is broadcast, its rows counted first; otherwise both are shuffled."""
+    table = cut(table)
+    return rows.join(F.broadcast(table) if table.count() <= MOST_ROWS else table, key)

@@ -7,12 +7,14 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
+from .tokens import words as words_of
 
 #: Merges that are repeated in every round before the blocks of words are written anew.
 MERGES = 64
@@ -45,6 +47,14 @@ def tokenised(elements: DataFrame, vocab: DataFrame) -> DataFrame:
     return rows.select("song_id", "elm", F.posexplode(parts).alias("k", "tok"))
 
 
+def song_texts(songs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """song_id, score, toks: the elements of each text (from tokens.song_elements) as tokenised() has them, each within its text. vocab: tok (bounded, a vocabulary's rows)."""
+    known = [r.tok for r in vocab.select("tok").collect()]
+    whole = F.transform("elms", lambda e: F.array_join(e["toks"], " "))
+    parts = F.zip_with(whole, "elms", lambda w, e: F.when(w.isin(known), F.array(w)).otherwise(e["toks"]))
+    return songs.select("song_id", "score", F.flatten(parts).alias("toks"))
+
+
 def texts_of(tokens: DataFrame) -> DataFrame:
     """song_id, score: the tokens put together again."""
     got = tokens.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("elm", "k", "tok"))).alias("t"))
@@ -399,6 +409,23 @@ def char_words(encoded: DataFrame) -> DataFrame:
     return got.select("song_id", "k", F.array_join(F.transform("x", lambda x: x["c"]), "").alias("word"))
 
 
+def song_words(scores: DataFrame, vocab: DataFrame) -> DataFrame:
+    """song_id, words: char_words() of whole texts as an array, each within its text. vocab: id, tok, tok_type (a vocabulary's rows)."""
+    rows = vocab.select("id", "tok", "tok_type").collect()
+    known = pa.array([r.tok for r in rows])
+    alone = {"special", "time_sig", "tempo", "key"}
+    chars = pa.array([f"\n{chr(r.id + FIRST_CHARACTER)}\n" if r.tok_type in alone else chr(r.id + FIRST_CHARACTER) for r in rows])
+
+    @F.arrow_udf("array<string>")
+    def spelled(texts: pa.Array) -> pa.Array:
+        made = chars.take(pc.index_in(texts.flatten(), known))
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))])
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pc.fill_null(made, ""))  # unknown tokens are left out
+        return pc.split_pattern(pc.binary_join(lists, ""), "\n")
+
+    return scores.select("song_id", F.filter(spelled(words_of(F.col("score"))), lambda w: w != "").alias("words"))
+
+
 def piece_pitches(pieces: DataFrame, vocab: DataFrame, with_rests: bool = True) -> DataFrame:
     """piece, pitches: the pitches of the tokens that each distinct piece (of characters) stands for, in their order; a rest is -1."""
     bare = F.when(F.col("piece").startswith("##") & (F.length("piece") > 2), F.substr("piece", F.lit(3))).otherwise(F.col("piece"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,9 +20,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(F.trim(text), F.lit("")), r"\s+"), lambda t: t != "")
 
 
-def parse(scores: DataFrame) -> DataFrame:
-    """song_id, pos, tok, tok_type, bar (-1: header), channel, tuplet (depth): one row a token."""
-    t = scores.select("song_id", F.posexplode(words(F.col("score"))).alias("pos", "tok"))
 MARKS = pa.array(["<bar>", "<melody>", "<bass>", "<tup>", "</tup>"])
 MARKED = "array<struct<tok:string,bar:int,channel:string,tuplet:int>>"
 SONG_ELEMENTS = "array<struct<bar:int,channel:string,elm:int,toks:array<string>>>"
@@ -84,16 +84,24 @@ def let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
-    w = Window.partitionBy("song_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marker = F.when(F.col("tok") == "<melody>", "melody").when(F.col("tok") == "<bass>", "bass")
-    return t.select(
-        "song_id", "pos", "tok", S.tok_type(F.col("tok")).alias("tok_type"), (F.sum((F.col("tok") == "<bar>").cast("int")).over(w) - 1).cast("int").alias("bar"),
-        F.last(marker, True).over(w).alias("channel"), F.sum((F.col("tok") == "<tup>").cast("int") - (F.col("tok") == "</tup>").cast("int")).over(w).cast("int").alias("tuplet"),
-    )
+def parse(scores: DataFrame) -> DataFrame:
+    """song_id, pos, tok, tok_type, bar (-1: header), channel, tuplet (depth): one row a token. Texts are taken apart one by one: nothing is shuffled or sorted."""
+    t = scores.select("song_id", F.posexplode(marked(words(F.col("score")))).alias("pos", "t"))
+    return t.select("song_id", "pos", "t.tok", S.tok_type(F.col("t.tok")).alias("tok_type"), "t.bar", "t.channel", "t.tuplet")
+
+
+def song_elements(scores: DataFrame) -> DataFrame:
+    """elements() of texts, each within its text, without a shuffle: song_id, score, elms (an array of bar, channel, elm, toks)."""
+    return scores.select("song_id", "score", grouped(words(F.col("score"))).alias("elms"))
+
+
+def each_element(songs: DataFrame) -> DataFrame:
+    """song_id, bar, channel, elm, toks: the rows of song_elements()."""
+    return songs.select("song_id", F.explode("elms").alias("e")).select("song_id", "e.bar", "e.channel", "e.elm", "e.toks")
 
 
 def elements(tokens: DataFrame) -> DataFrame:
-    """song_id, bar, channel, elm (number in the song), first, toks: a note (pitch, duration), a tuplet, or one other token."""
+    """song_id, bar, channel, elm (number in the song), first, toks: a note (pitch, duration), a tuplet, or one other token. Of whole texts song_elements() makes the same without a shuffle."""
     inside = (F.col("tuplet") > 0) | (F.col("tok") == "</tup>")
     starts = F.when(F.col("tok") == "<tup>", 1).when(inside, 0).when(F.col("tok_type") == "duration", 0).otherwise(1)
     w = Window.partitionBy("song_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -117,6 +125,13 @@ def bar_texts(tokens: DataFrame) -> DataFrame:
     return got.select("song_id", "bar", F.array_join(F.transform("t", lambda x: x["tok"]), " ").alias("text"))
 
 
+def song_bars(scores: DataFrame) -> DataFrame:
+    """bar_texts() of whole texts, each within its text."""
+    text = F.array_join(F.filter(words(F.col("score")), lambda t: t != "</s>"), " ")
+    rows = scores.select("song_id", F.posexplode(F.split(text, r"(?<![^ ])<bar>(?![^ ])")).alias("k", "part")).where("k > 0")
+    return rows.select("song_id", (F.col("k") - 1).alias("bar"), F.rtrim(F.concat(F.lit("<bar>"), "part")).alias("text"))
+
+
 def violations(tokens: DataFrame) -> DataFrame:
     """song_id, pos, rule: broken grammar, none for a well-formed text."""
     w = Window.partitionBy("song_id").orderBy("pos")
@@ -134,11 +149,42 @@ def violations(tokens: DataFrame) -> DataFrame:
     return rows.select("song_id", "pos", F.explode(found).alias("rule"))
 
 
+def song_violations(scores: DataFrame) -> DataFrame:
+    """violations() of whole texts, each within its text."""
+    rows = scores.select("song_id", marked(words(F.col("score"))).alias("t"))
+
+    def rules(x: Column, k: Column) -> Column:
+        tok, kind, next_ = x["tok"], S.tok_type(x["tok"]), F.get("t", k + 1)["tok"]
+        after, before = F.coalesce(next_, F.lit("")), F.when(k > 0, F.get("t", k - 1)["tok"]).otherwise("")
+        found = {
+            "header": (k == 0) & (kind != "time_sig") | (k == 1) & (kind != "tempo"),
+            "pitch without duration": tok.startswith("p_") & (x["tuplet"] == 0) & ~after.startswith("d_"),
+            "duration without pitch": tok.startswith("d_") & ~before.startswith("p_"),
+            "empty bar": (tok == "<bar>") & F.coalesce(next_, F.lit("</s>")).isin("<bar>", "</s>"),
+            "tuplet nesting": ~x["tuplet"].between(0, 1),
+            "no end": next_.isNull() & (tok != "</s>"),
+        }
+        return F.struct(k.alias("pos"), F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in found.items()))).alias("rules"))
+
+    wrong = F.filter(F.transform("t", rules), lambda x: F.size(x["rules"]) > 0)
+    return rows.select("song_id", F.explode(wrong).alias("w")).select("song_id", "w.pos", F.explode("w.rules").alias("rule"))
+
+
+def rare_of(tok: Column, kind: Column | None = None) -> Column:
+    """The rare token of a token's type; for types without one, the token."""
+    kind = S.tok_type(tok) if kind is None else kind
+    rare = {"pitch": F.lit("p_rare"), "duration": F.lit("d_rare"), "time_sig": F.lit("TimeSig_rare"), "tempo": F.when(S.meta(tok)["tempo"] < dims.TEMPO_LOW, "Tempo_low").otherwise("Tempo_high")}
+    out = tok
+    for name, r in rare.items():
+        out = F.when(kind == name, r).otherwise(out)
+    return out
+
+
 def sanitized(tokens: DataFrame, vocab: DataFrame, for_midi: bool = False, rare_pitch_only: bool = False) -> DataFrame:
     """tokens and clean, rare: tokens outside the vocabulary become the rare one of their type (pitches fold into range for_midi)."""
     known = F.broadcast(vocab.select(F.col("tok").alias("known")))
     kind, tok = F.col("tok_type"), F.col("tok")
-    other = F.when(kind == "duration", "d_rare").when(kind == "time_sig", "TimeSig_rare").when(kind == "tempo", F.when(S.meta(tok)["tempo"] < dims.TEMPO_LOW, "Tempo_low").otherwise("Tempo_high")).otherwise(tok)
+    other = rare_of(tok, kind)
     pitch = S.pitch_token(S.snapped(S.midi_of(tok))) if for_midi else F.lit("p_rare")
     clean = F.when(F.col("known").isNotNull(), tok).when(kind == "pitch", pitch).otherwise(tok if rare_pitch_only else other)
     return tokens.join(known, tok == F.col("known"), "left").withColumns({"clean": clean, "rare": F.col("known").isNull() | tok.isin("p_rare", "d_rare", "TimeSig_rare", "Tempo_low", "Tempo_high")}).drop("known")
@@ -212,7 +258,7 @@ def by_channel(bar: Column) -> Column:
         pieces = lambda ps, mark: F.flatten(F.transform(ps, lambda p, k: F.when((F.when(p < 0, F.lit("<melody>")).otherwise(F.get(xs, p))) == mark, F.slice(xs, p + 2, F.coalesce(F.get(ps, k + 1), n) - p - 1)).otherwise(F.array().cast("array<string>"))))
         return let(at, lambda ps: F.struct(pieces(ps, "<melody>").alias("melody"), pieces(ps, "<bass>").alias("bass")))
 
-    return F.aggregate(F.regexp_extract_all(bar, F.lit(ELEMENT), F.lit(0)), start, step)
+    return let(F.regexp_extract_all(bar, F.lit(ELEMENT), F.lit(0)), channel)
 
 
 def merged_bar(melody: Column, bass: Column, draw) -> Column:
@@ -274,9 +320,9 @@ def degreed(score: Column, key: Column) -> Column:
     """Pitches with a step letter as degrees of the key; numbers an octave out of range fold inwards."""
 
     def shifted(t: Column) -> Column:
-        midi = S.midi_of(t)
-        inside = S.pitch_token(F.when(midi < 0, midi + 12).when(midi > 127, midi - 12).otherwise(midi))
-        return F.concat_ws("_", inside, S.degree(S.group(t, S.PITCH, 3), key).cast("string"))
+        folded = let(S.midi_of(t), lambda midi: F.when(midi < 0, midi + 12).when(midi > 127, midi - 12).otherwise(midi))
+        degree = let(S.group(t, S.PITCH, 3), lambda step: S.degree(step, key))
+        return F.concat_ws("_", let(folded, S.pitch_token), degree.cast("string"))
 
     return respelled(score, shifted)
 
@@ -288,8 +334,9 @@ def augmented(score: Column, key: Column) -> Column:
 
 def clean(scores: DataFrame, vocab: DataFrame, kept: list[str]) -> DataFrame:
     """song_id, score with rare tokens in place of those outside the vocabulary, and the columns that are kept."""
-    rows = sanitized(parse(scores), vocab).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clean"))).alias("t"))
-    return again(scores, rows.select("song_id", F.array_join(F.transform("t", lambda x: x["clean"]), " ").alias("score")), kept)
+    known = [r.tok for r in vocab.select("tok").collect()]  # a vocabulary's rows
+    text = F.array_join(F.transform(words(F.col("score")), lambda t: F.when(t.isin(known), t).otherwise(rare_of(t))), " ")
+    return scores.select("song_id", *kept, text.alias("score"))
 
 
 def loaded(scores: DataFrame, pitch_kind: str, vocab: DataFrame | None = None) -> DataFrame:

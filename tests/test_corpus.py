@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neumata.functions import dims
-from neumata.operators import files, tokens
+from neumata.operators import files, stats, tokens
 
 TEXT = "TimeSig_4/4 Tempo_120 <bar> <melody> p_1/4 d_1 <bass> p_r d_1 <bar> <melody> p_12/3 d_2 </s>"
 
@@ -57,3 +57,18 @@ def test_training_chain(spark):
     assert chain.name == "{pitch=midi, crop=4, tempo=5, swap=True}"
     with pytest.raises(ValueError):
         tokens.Augmented("notes")
+
+
+def test_texts_taken_apart_within_themselves(spark):
+    """Elements, bars, facts and violations of texts are those of their tokens as rows, odd texts included, and no text is shuffled."""
+    odd = [TEXT, "", None, "d_1 d_2 p_1/4", "<bar> <tup> <tup> p_1/4 </tup> p_r d_1 </tup> d_2 <bar> p_2/4 d_1 <bass> <bar> </s>", "TimeSig_4/4  Tempo_60 </tup> x <melody> </s> <bar>", "<bass> p_1/3 d_1 </s>"]
+    df = spark.createDataFrame(list(enumerate(odd)), "song_id long, score string")
+    rows = tokens.parse(df)
+    same = lambda a, b, *c: sorted(map(repr, a.select(*c).collect())) == sorted(map(repr, b.select(*c).collect()))
+    split = tokens.each_element(tokens.song_elements(df))
+    assert same(split, tokens.elements(rows), "song_id", "elm", "bar", "channel", "toks")
+    assert same(tokens.song_violations(df), tokens.violations(rows), "song_id", "pos", "rule")
+    assert same(stats.song_facts_of(df), stats.song_facts(rows), *stats.song_facts(rows).columns)
+    assert same(tokens.song_bars(df), tokens.bar_texts(rows), "song_id", "bar", "text")
+    for made in (rows, split, tokens.song_violations(df), stats.song_facts_of(df), tokens.song_bars(df)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
