@@ -142,3 +142,21 @@ def test_song_slots_like_slots_dealt_out(spark):
     key = lambda r: (r.song_id, r.bar, r.start, r.slots, r.pitches)
     assert sorted(map(key, slots.decoded_groups(slots.slots_of(dealt, 16)).collect())) == sorted(map(key, slots.song_notes(made).collect()))
     assert slots.song_notes(made)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_hulls_of_equal_intervals(spark):
+    """Bars full of equal intervals, empty ones among them: the hulls of a plain sweep, numbered from 1, however the rows are dealt out."""
+    rng = random.Random(8)
+    rows = [(1, "score", bar, s := rng.randrange(12), s + rng.choice((0, 1, 2, 4))) for bar in range(20) for _ in range(rng.randint(1, 40))]
+    want = []
+    for bar in range(20):
+        found: list[list[int]] = []
+        for s, e in sorted(r[3:] for r in rows if r[2] == bar):
+            if found and s < found[-1][1]:
+                found[-1] = [found[-1][0], max(found[-1][1], e), found[-1][2] + 1]
+            else:
+                found.append([s, e, 1])
+        want += [(1, "score", bar, k + 1, *h) for k, h in enumerate(found)]
+    members = spark.createDataFrame(rows, "song_id long, part string, bar long, start long, end long")
+    for n in (1, 7):
+        assert sorted(map(tuple, voices.hulls(members.repartition(n)).collect())) == want
