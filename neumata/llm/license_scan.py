@@ -1,8 +1,8 @@
 """License scans: which licence families a text's paragraphs name, in DataFrame operations alone.
 
-A sparse logistic regression over word 1- and 2-grams, one column a family, is trained on variants of the notices below
-against a bounded sample of the corpus' own paragraphs and against hard negatives: notices without the family's name, and
-notices that are denied. A paragraph whose best family stays under the calibrated threshold is unknown; the others must be
+A sparse logistic regression over word 1- and 2-grams, one class a family and one for the unknown, is trained on variants of
+the notices below against all of the corpus' own paragraphs that are scored at all and against hard negatives: notices without
+the family's name, and notices that are denied. A paragraph whose best family stays under the calibrated threshold is unknown; the others must be
 confirmed by a template of that family, of all of whose grams the paragraph has to hold a large share.
 
 A paragraph is one line or up to MAX_LINES lines that follow each other without a blank one between (one without letters
@@ -20,11 +20,13 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents
+from .common import cut, documents
 
 # Short notices of each family.
 NOTICES = {
@@ -44,8 +46,10 @@ NOTICES = {
 NAMES = {"AGPL": ("affero", "agpl"), "Apache-2.0": ("apache",), "BSD": ("bsd",), "CC-BY": ("cc", "creative", "commons"), "CC-BY-NC": ("cc", "creative", "commons"), "CC-BY-SA": ("cc", "creative", "commons"), "GPL": ("gnu", "general", "gpl"), "LGPL": ("lesser", "lgpl"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "mpl"), "public-domain": ("public", "domain", "cc0")}
 DENIED = ("licensed", "released", "granted", "permitted", "governed", "subject")
 FAMILIES = tuple(NOTICES)
-#: Documents and paragraphs of the corpus in the sample, about; variants of each notice; share of a template's grams to confirm; share of sampled paragraphs that the threshold lets pass; lines of a paragraph at most.
-MAX_DOCUMENTS, MAX_PARAGRAPHS, VARIANTS, CONFIRM, FALSE_RATE, MAX_LINES = 4_000, 5_000, 40, 0.6, 0.0005, 4
+#: Variants of each notice; share of a template's grams to confirm; share of the unknown class that the threshold lets pass; lines of a paragraph at most.
+VARIANTS, CONFIRM, FALSE_RATE, MAX_LINES = 40, 0.6, 0.0005, 4
+#: Words of a neighbouring line; strength of the penalty that keeps weights sparse; rounds of the regression at most.
+LINE_WORDS, SPARSE, ROUNDS = 12, 5e-5, 60
 WORD = r"[\p{L}\p{N}]"
 
 
@@ -113,56 +117,82 @@ def wrong_notices() -> list[str]:
     return out
 
 
-def fit(docs: DataFrame, max_paragraphs: int = MAX_PARAGRAPHS, max_documents: int = MAX_DOCUMENTS) -> tuple[dict[str, list[float]], list[float], float, list[str]]:
-    """(weights of grams, bias, threshold, needed words). Sampled paragraphs of the corpus are the unknown class, but for those that hold half of a template.
+def vocabulary_of(wrong: list[str]) -> list[str]:
+    return sorted({g for t in [*(t for x in NOTICES.values() for t in x), *wrong] for g in own_grams(t)})
 
-    About max_documents documents are drawn by a hash of their text, and about max_paragraphs of their paragraphs by another.
-    """
-    n = docs.count()
-    drawn = lambda share, *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) < int(share * (1 << 30))
-    lines = paragraphs(docs.where(drawn(min(1.0, max_documents / max(n, 1)), "text", F.lit(3))))
-    some = lines.where(drawn(min(1.0, max_paragraphs / max(lines.count(), 1)), "key", "at", "size"))
-    wrong = wrong_notices()
-    vocabulary = sorted({g for t in [*(t for x in NOTICES.values() for t in x), *wrong] for g in own_grams(t)})
-    others = sorted(tuple(sorted(r[0])) for r in some.select(F.array_intersect(grams_of(F.col("para")), F.lit(vocabulary)).alias("g")).collect())
-    often: dict[str, int] = {}
-    for o in others:
-        for g in o:
-            often[g] = often.get(g, 0) + 1
-    at = {g: k for k, g in enumerate(vocabulary)}
-    templates = [set(own_grams(t)) for x in NOTICES.values() for t in x]
-    others = [g for g in others if not any(len(t.intersection(g)) >= 0.5 * len(t) for t in templates)]
-    rng = np.random.default_rng(7)
-    rows, y = [], []
+
+def word_counts(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """(how often the texts hold each word of a template or hard negative, how many words they hold)."""
+    known = sorted({w for g in vocabulary_of(wrong_notices()) for w in g.split()})
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = documents(docs).select(words.alias("w")).select(F.size("w").alias("n"), F.filter("w", lambda w: w.isin(known)).alias("w"))
+    rows = rows.select(F.explode(F.concat(F.transform("w", lambda w: F.struct(w.alias("w"), F.lit(1).alias("n"))), F.array(F.struct(F.lit(None).cast("string").alias("w"), "n")))).alias("x"))
+    found = {r.w: r.n for r in rows.groupBy("x.w").agg(F.sum("x.n").alias("n")).collect()}  # a row a known word
+    return {w: n for w, n in found.items() if w is not None}, found.get(None, 0) or 0
+
+
+def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, key, at, size, grams (of templates and hard negatives): the paragraphs with one of the needed words; no other can be confirmed."""
+    only = rf"(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})"
+    known = vocabulary_of(wrong_notices())
+    return paragraphs(docs, only).select("doc_id", "key", "at", "size", F.filter(grams_of(F.col("para")), lambda g: g.isin(known)).alias("grams"))
+
+
+def variants(often: dict[str, int], n_words: int) -> list[tuple[int, list[str]]]:
+    """(class, grams) of notices and hard negatives with words left out; every fourth has a neighbouring line too, of words as frequent as in the corpus."""
+    rng, wrong, out = np.random.default_rng(7), wrong_notices(), []
+    vocabulary = set(vocabulary_of(wrong))
+    common = sorted(often)
+    share = np.array([often[w] for w in common]) / max(n_words, 1)
     for f, t in [(f, t) for f, x in enumerate(NOTICES.values()) for t in x] + [(len(FAMILIES), t) for t in wrong]:
         words = t.split()
         fixed = {*NAMES[FAMILIES[f]], *DENIED} if f < len(FAMILIES) else {"not", *DENIED}
         for v in range(VARIANTS):
             kept = [w for w in words if v == 0 or rng.random() > 0.12 or fixed & set(own_grams(w))]
-            near = others[rng.integers(len(others))] if others and v % 4 == 3 else ()  # a neighbouring line
-            rows.append(sorted({at[g] for g in (*own_grams(" ".join(kept)), *near) if g in at}))
-            y.append(f)
-    rows += [[at[g] for g in o] for o in others]
-    y = np.array(y + [len(FAMILIES)] * len(others))
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    target = np.eye(len(FAMILIES) + 1, dtype=np.float32)[y][:, :-1]
-    w, bias, seen = np.zeros((len(vocabulary), len(FAMILIES)), np.float32), np.full(len(FAMILIES), -4.0), 1e-8
-    seen_b = np.full(len(FAMILIES), 1e-8)
-    for _ in range(200):  # independent logistic columns; soft thresholding keeps them sparse
-        g = (1 / (1 + np.exp(-(x @ w + bias))) - target).astype(np.float32)
-        gw, gb = x.T @ g / len(x), g.mean(0)
-        seen, seen_b = seen + gw**2, seen_b + gb**2
-        step = 0.5 / np.sqrt(seen)
-        w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * 2e-5, 0)
-        bias = bias - 0.5 / np.sqrt(seen_b) * gb
-    p = 1 / (1 + np.exp(-(x @ w + bias)))
-    noise = np.sort(p[len(y) - len(others) :].max(1)) if others else np.zeros(1)
-    threshold = float(np.clip(noise[min(len(noise) - 1, int((1 - FALSE_RATE) * len(noise)))], 0.5, 0.95))
-    keep = {g: [round(float(v), 6) for v in w[k]] for g, k in at.items() if np.abs(w[k]).max() > 0}
-    return keep, [float(v) for v in bias], threshold, needed(often)
+            near = [w for w, k in zip(common, rng.binomial(LINE_WORDS, share), strict=True) if k] if v % 4 == 3 else []
+            out.append((f, sorted(vocabulary.intersection([*own_grams(" ".join(kept)), *near]))))
+    return out
+
+
+def unlike(grams: Column) -> Column:
+    """Whether a paragraph holds less than half of every template."""
+    templates = fixed([own_grams(t) for x in NOTICES.values() for t in x], "array<array<string>>")
+    return ~F.exists(templates, lambda t: F.size(F.array_intersect(grams, t)) >= 0.5 * F.size(t))
+
+
+def trained(rows: DataFrame, often: dict[str, int], n_words: int) -> tuple[dict[str, list[float]], list[float], float]:
+    """(weights of grams, bias, threshold) from all candidates. Those that hold less than half of every template are the unknown class, as heavy together as the variants are.
+
+    Equal gram sets count together; the regression runs over the cluster. The threshold comes from the scores of all of the unknown
+    class, counted in ten thousandths.
+    """
+    spark = rows.sparkSession
+    vocabulary = vocabulary_of(wrong_notices())
+    sets = cut(rows.groupBy(F.array_sort("grams").alias("grams")).agg(F.count("*").alias("n")).where(unlike(F.col("grams"))))
+    n = sets.agg(F.sum("n").alias("n")).first().n or 0
+    made = variants(often, n_words)
+    given = spark.range(1).select(F.explode(fixed([{"y": f, "grams": g} for f, g in made], "array<struct<y:int,grams:array<string>>>")).alias("x")).select("x.*", F.lit(1.0).alias("weight"))
+    table = given.unionByName(sets.select(F.lit(len(FAMILIES)).alias("y"), "grams", (F.col("n") * (len(made) / max(n, 1))).alias("weight")))
+    table = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "x").setBinary(True).transform(table).select(F.col("y").cast("double").alias("y"), "weight", "x")
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=SPARSE, standardization=False, maxIter=ROUNDS, tol=1e-7).fit(table)
+    w, b = model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray())
+    w, bias = (w[:-1] - w[-1]).T, [round(float(v), 4) for v in b[:-1] - b[-1]]  # against the unknown class
+    weights = {g: [round(float(v), 4) for v in w[k]] for k, g in enumerate(vocabulary) if np.abs(w[k]).max() >= 5e-5}
+    bins = scored(sets, weights, bias).groupBy(F.ceil(F.col("score") * 10_000).alias("s")).agg(F.sum("n").alias("n")).where("s > 5000").collect()
+    passed, at = 0, 5_000
+    for r in sorted(bins, reverse=True):
+        passed += r.n
+        if passed > FALSE_RATE * n:
+            at = r.s
+            break
+    return weights, bias, float(np.clip(at / 10_000, 0.5, 0.95))
+
+
+def fit(docs: DataFrame) -> tuple[dict[str, list[float]], list[float], float, list[str]]:
+    """(weights of grams, bias, threshold, needed words), from every paragraph of every document."""
+    often, n_words = word_counts(docs)
+    words = needed(often)
+    return *trained(cut(candidates(docs, words)), often, n_words), words
 
 
 def fixed(value, schema: str) -> Column:
@@ -184,9 +214,13 @@ def scored(rows: DataFrame, weights: dict[str, list[float]], bias: list[float])
 
 def scan(docs: DataFrame, model: tuple | None = None, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, key (a hash of the text), at, size, family, score, confirmed of every notice. A model serves any `confirm` from CONFIRM on."""
-    weights, bias, threshold, words = model or fit(docs)
-    only = rf"(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})"
-    rows = paragraphs(docs, only).withColumn("grams", grams_of(F.col("para")))
+    if model is None:  # candidates serve both for training and for the scan
+        often, n_words = word_counts(docs)
+        rows = cut(candidates(docs, needed(often)))
+        weights, bias, threshold = trained(rows, often, n_words)
+    else:
+        weights, bias, threshold, words = model
+        rows = candidates(docs, words)
     found = scored(rows, weights, bias).where((F.col("score") >= threshold) & (F.col("confirmed") >= confirm))
     found = found.select("doc_id", "key", "at", "size", "family", "score", "confirmed").distinct()  # equal texts of an id count once
     here = Window.partitionBy("doc_id", "key").orderBy("at").rangeBetween(0, MAX_LINES - 1)

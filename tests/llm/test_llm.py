@@ -300,6 +300,17 @@ def test_licences_of_shared_and_null_ids(spark, licences):
     assert got == {1: (2, "CC-BY-NC,MIT"), None: (1, "MIT"), 2: (0, "")}
 
 
+def test_licences_learn_from_every_document(spark):
+    """Every text counts: with each of 4,000 texts given twice, model, threshold and needed words stay as they are (a sample drawn by numbers of rows would be another)."""
+    rng = np.random.default_rng(3)
+    some = ["license", "general", "public", "software", "version", "not", "terms", "the", "of", "river", "stone"]
+    made = [(k, "\n".join(" ".join(rng.choice(some, 8)) for _ in range(2)) + f" {k}") for k in range(4000)]
+    once = license_scan.fit(spark.createDataFrame(made, "doc_id long, text string"))
+    twice = license_scan.fit(spark.createDataFrame([*made, *made], "doc_id long, text string"))
+    assert once[3] == twice[3] and once[2] == twice[2] and np.allclose(once[1], twice[1], atol=0.01)
+    assert once[0].keys() == twice[0].keys() and all(np.allclose(once[0][g], twice[0][g], atol=0.01) for g in once[0])
+
+
 def plain_licences(text, model):
     """Every paragraph scored by itself: (first line, lines) of those that are kept."""
     weights, bias, threshold, _ = model
