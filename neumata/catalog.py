@@ -538,18 +538,23 @@ def score_characters(spark, d):
 PIECES = 2048
 
 
+def word_counts(spark, d):
+    """word, n of every word, written to the shared folder: training and cutting both read it."""
+    return cut(words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n")))
+
+
 @query()
 def wordpiece_tokens(spark, d):
-    w = words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
+    w = word_counts(spark, d)
     return merges.wordpieces(w, merges.train_wordpiece(w, PIECES))
 
 
 @query(f"WITH {WORDS} SELECT tok AS word, count(*) AS n FROM w GROUP BY tok")
 def wordpiece_decoded(spark, d):
     """Every word, from the pieces it was cut into, and how often it occurs."""
-    w = words(spark, d).groupBy(F.col("tok").alias("word")).agg(F.count("*").alias("n"))
-    cut = merges.wordpieces(w, merges.train_wordpiece(w, 600)).join(w, "word")
-    return cut.groupBy(merges.unpieced(F.col("pieces")).alias("word")).agg(F.sum("n").alias("n"))
+    w = word_counts(spark, d)
+    pieces = merges.wordpieces(w, merges.train_wordpiece(w, 600), "n")
+    return pieces.groupBy(merges.unpieced(F.col("pieces")).alias("word")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {Q.NOTES} SELECT song_id, count(*) AS n, CAST(sum(midi) AS BIGINT) AS midi_sum FROM notes WHERE song_id IN (SELECT o_orderkey FROM orders) GROUP BY song_id")

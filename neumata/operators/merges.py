@@ -16,8 +16,8 @@ from ..functions import scalars as S
 from ..functions.lineage import cut
 from .tokens import words as words_of
 
-#: Merges that are repeated in every round before the blocks of words are written anew.
-MERGES = 64
+#: Merges that are repeated in every round before the blocks of words are written anew; pieces of a block, about.
+MERGES, BLOCK = 64, 1 << 20
 
 
 def element_counts(elements: DataFrame) -> DataFrame:
@@ -88,25 +88,60 @@ def pair_counts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, total
 
 
-def stepped(ids: np.ndarray, n: np.ndarray, step: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids after a merge, pairs whose counts it changes, by how much). Only words that hold the pair are looked at."""
-    a, b, new = step
-    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
-    none = np.zeros(0, np.int64)
-    if not len(hit):
-        return ids, none, none
-    ends = np.flatnonzero(ids < 0)
-    words = np.unique(np.searchsorted(ends, hit))
-    first = np.where(words > 0, ends[words - 1] + 1, 0)
-    spans = ends[words] - first + 1
-    at = np.repeat(first - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-    old = ids[at]
-    made = merged(old.copy(), a, b, new)
-    (u, c), (v, d) = pair_counts(old, n[words]), pair_counts(made, n[words])
-    pairs, where = np.unique(np.concatenate([u, v]), return_inverse=True)
-    change = np.zeros(len(pairs), np.int64)
-    np.add.at(change, where, np.concatenate([-c, d]))
-    return merged(ids, a, b, new), pairs[change != 0], change[change != 0]
+class Block:
+    """Words as runs of piece ids, each followed by -1, with an index from pairs of neighbours to the words that hold them: a merge looks at these alone."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray):
+        self.ids, self.n = ids.copy(), n
+        ends = np.flatnonzero(ids < 0)
+        self.first = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+        self.length = ends - self.first + 1
+        codes, words = self.pairs(self.ids, np.arange(len(ends)), self.length)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.words, self.made = codes[order], words[order].astype(np.int32), {}
+
+    @staticmethod
+    def pairs(ids: np.ndarray, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of neighbours, the words they stand in)."""
+        near = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        return ids[near].astype(np.int64) << 32 | ids[near + 1], np.repeat(words, length)[near]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        spans = self.length[words]
+        return np.repeat(self.first[words] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+
+    def flat(self) -> np.ndarray:
+        return self.ids[self.places(np.arange(len(self.first)))]
+
+    def step(self, step: tuple[int, int, int], counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Apply a merge: (pairs whose counts it changes, by how much), or nothing of these when not counted."""
+        a, b, new = step
+        code, none = a << 32 | b, np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.codes, code), np.searchsorted(self.codes, code, "right")
+        words = np.unique(np.concatenate([self.words[lo:hi], *self.made.pop(code, ())]))
+        old = self.ids[self.places(words)] if len(words) else none
+        hit = np.flatnonzero((old[:-1] == a) & (old[1:] == b))
+        if not len(hit):
+            return none, none
+        words = words[np.unique(np.repeat(np.arange(len(words)), self.length[words])[hit])]  # some have lost the pair since
+        old = self.ids[self.places(words)]
+        made = merged(old.copy(), a, b, new)
+        before = self.length[words]
+        self.length[words] = np.diff(np.flatnonzero(made < 0), prepend=-1)
+        self.ids[self.places(words)] = made
+        codes, at = self.pairs(made, words, self.length[words])
+        fresh = (codes >> 32 == new) | (codes & 0xFFFFFFFF == new)
+        order = np.argsort(codes[fresh], kind="stable")
+        u, starts = np.unique(codes[fresh][order], return_index=True)
+        for c, w in zip(u.tolist(), np.split(at[fresh][order], starts[1:]), strict=False):
+            self.made.setdefault(c, []).append(w)
+        if not counted:
+            return none, none
+        gone, where = self.pairs(old, words, before)
+        pairs, to = np.unique(np.concatenate([gone, codes]), return_inverse=True)
+        change = np.zeros(len(pairs), np.int64)
+        np.add.at(change, to, np.concatenate([-self.n[where], self.n[at]]))
+        return pairs[change != 0], change[change != 0]
 
 
 class Greedy:
@@ -231,22 +266,36 @@ def train_wordpiece(words: DataFrame, size: int) -> list[str]:
     number = {p: k for k, p in enumerate(pieces)}
 
     def blocks(batches):
+        ids, n = [], []
         for b in batches:
-            ids = [k for w in b.column(0).to_pylist() for k in (*map(number.get, split(w)), -1)]
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), pa.array([b.column(1).to_pylist()], pa.list_(pa.int64()))], ["ids", "n"])
+            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids += [*map(number.get, split(w)), -1]
+                n.append(c)
+                if len(ids) >= BLOCK:
+                    yield block(ids, n)
+                    ids, n = [], []
+        if ids:
+            yield block(ids, n)
+
+    def block(ids, n):
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64()))], ["ids", "n"])
 
     def flat(column):
         return column.flatten().to_numpy(zero_copy_only=False)
 
+    def opened(batches, steps):
+        """Blocks after the steps, with the counts of words as they were written."""
+        for b in batches:
+            for k in range(b.num_rows):
+                one = Block(flat(b.column(0).slice(k, 1)), flat(b.column(1).slice(k, 1)))
+                for step in steps:
+                    one.step(step, counted=False)
+                yield one
+
     def merging(steps):
         def run(batches):
-            for b in batches:
-                for k in range(b.num_rows):
-                    ids = flat(b.column(0).slice(k, 1)).copy()
-                    for step in steps:
-                        ids = merged(ids, *step)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), b.column(1).slice(k, 1)], ["ids", "n"])
+            for one in opened(batches, steps):
+                yield block(one.flat(), one.n)
 
         return run
 
@@ -266,13 +315,12 @@ def train_wordpiece(words: DataFrame, size: int) -> list[str]:
 
         def run(batches):
             parts = []
-            for b in merging(done)(batches):
-                ids, n = flat(b.column(0)).copy(), flat(b.column(1))
+            for one in opened(batches, done):
                 if steps is None:
-                    u, c = pair_counts(ids, n)
+                    u, c = pair_counts(one.flat(), one.n)
                     parts.append((np.full(len(u), -1, np.int32), u, c))
                 for k, step in enumerate(steps or ()):
-                    ids, u, c = stepped(ids, n, step)
+                    u, c = one.step(step)
                     parts.append((np.full(len(u), k, np.int32), u, c))
             yield summed(parts)
 
@@ -297,8 +345,9 @@ def train_wordpiece(words: DataFrame, size: int) -> list[str]:
             if new == len(names):
                 names.append(names[a] + names[b].removeprefix("##"))
         changes: dict[int, dict[tuple[int, int], int]] = {}
-        for r in state.mapInArrow(counting(done, steps), schema).groupBy("step", "pair").agg(F.sum("c").alias("c")).where("c <> 0").collect():
-            changes.setdefault(r.step, {})[pair(r.pair)] = r.c
+        found = state.mapInArrow(counting(done, steps), schema).groupBy("step", "pair").agg(F.sum("c").alias("c")).where("c <> 0").toArrow()
+        for step, x, c in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True):
+            changes.setdefault(step, {})[pair(x)] = c
         k = greedy.accepted(steps, changes, names)
         done = [*done, *steps[:k]]
     return pieces
@@ -362,16 +411,18 @@ class Trie:
         return out
 
 
-def wordpieces(words: DataFrame, pieces: list[str]) -> DataFrame:
-    """word, pieces: greedy longest match from the left; [UNK] where none fits, none for an empty word."""
+def wordpieces(words: DataFrame, pieces: list[str], *kept: str) -> DataFrame:
+    """word, pieces and the columns kept: greedy longest match from the left; [UNK] where none fits, none for an empty word."""
 
     def run(batches):
         cut_ = Trie(pieces)
         for b in batches:
             w = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([cut_(x or "") for x in w], pa.list_(pa.string()))], ["word", "pieces"])
+            made = [pa.array(w, pa.string()), pa.array([cut_(x or "") for x in w], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*made, *(b.column(k + 1) for k in range(len(kept)))], ["word", "pieces", *kept])
 
-    return words.select("word").mapInArrow(run, "word string, pieces array<string>")
+    types = {f.name: f.dataType.simpleString() for f in words.schema}
+    return words.select("word", *kept).mapInArrow(run, ", ".join(["word string", "pieces array<string>", *(f"{c} {types[c]}" for c in kept)]))
 
 
 def unpieced(pieces: Column) -> Column:

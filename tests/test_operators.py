@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,24 @@ def test_wordpieces(spark):
     assert merges.wordpieces(spark.createDataFrame([("q",)], "word string"), pieces).first().pieces == ["[UNK]"]
 
 
+def test_blocks_follow_their_pairs():
+    """A block finds the words of a pair by its index, pairs made by earlier merges included: pieces and counts are those of a scan over everything."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 4, rng.integers(0, 9)).tolist() for _ in range(300)]
+    ids, n = np.array([k for w in words for k in (*w, -1)], np.int32), rng.integers(1, 50, 300)
+    block, whole = merges.Block(ids, n), ids.copy()
+    for new in range(4, 40):
+        codes, _ = merges.pair_counts(whole, n)
+        a, b = divmod(int(rng.choice(codes)), 1 << 32) if new % 5 else (3, 99)
+        before = dict(zip(*map(list, merges.pair_counts(whole, n)), strict=True))
+        whole = merges.merged(whole, a, b, new)
+        after = dict(zip(*map(list, merges.pair_counts(whole, n)), strict=True))
+        got = block.step((a, b, new), counted=new % 3 > 0)
+        want = {k: d for k in before.keys() | after.keys() if (d := after.get(k, 0) - before.get(k, 0))}
+        assert dict(zip(*map(list, got), strict=True)) == (want if new % 3 else {}) and block.flat().tolist() == whole.tolist()
+    assert len(set(whole.tolist())) > 20
+
+
 def plain_wordpiece(words, size):
     local = [(n, [c if i == 0 else f"##{c}" for i, c in enumerate(w)]) for w, n in words]
     pieces = sorted({x for _, p in local for x in p})
