@@ -89,9 +89,9 @@ def facts(bars: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame, dataset: str = "scores") -> DataFrame:
     """song_id, dataset, score, invalid_bars, keys, seconds of each readable file (path, content)."""
-    parsed = cut(songs.parse(files))
+    parsed, bars = songs.parsed(files, keep=cut)  # each file is read once
     notes = songs.without_drums(parsed)
-    every = roomed(aligned(songs.parse(files, bars=True)))
+    every = roomed(aligned(bars))
     elements = songs.elements(notes).join(every.select(*intervals.BAR, "room"), list(intervals.BAR))
     elements = cut(elements)
     bars = cut(sounding(elements, every))

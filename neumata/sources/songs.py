@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ SONG = f"struct<score:string,song_path:string,title:string,duration:int,warnings
 COMBINED = f"encoding_type string, extractor_meta {META}, music array<{SONG}>"
 SINGLE = f"encoding_type string, extractor_meta {META}, music {SONG}"
 NOTES = "path string, part int, bar int, voice int, start_ticks long, dur_ticks long, midi int, is_drum boolean, tuplet int, element int, error string"
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 BARS = "path string, part int, bar int, ts_num int, ts_den int, tempo double"
 
 
@@ -125,21 +126,39 @@ def read_score(path: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
 
 def parse(files: DataFrame, bars: bool = False) -> DataFrame:
     """Notes (or bars) of score files (path, content); a file that cannot be read gives one row with its error."""
+    return parsed(files, False, True)[1] if bars else parsed(files, True, False)[0]
+
+
+def parsed(files: DataFrame, notes: bool = True, bars: bool = True, keep=lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """(notes, bars) of score files, read once: the rows of both are told apart after keep, which may write them."""
+    fields = {name: (kind, k) for k, schema in enumerate((NOTES, BARS)) for name, kind in (c.split() for c in schema.split(", "))}
+    own = [[c.split()[0] for c in schema.split(", ")] for schema in (NOTES, BARS)]
+    at = [[list(fields).index(c) for c in columns] for columns in own]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
+        for b in batches:
+            columns = [[] for _ in fields]
+            is_bar = []
+
+            def put(rows, kind):
+                if rows:
+                    n = len(rows)
+                    given = dict(zip(at[kind], zip(*rows, strict=True), strict=True))
+                    for k, column in enumerate(columns):
+                        column.extend(given[k] if k in given else (None,) * n)
+                    is_bar.extend((bool(kind),) * n)
+
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    out += read_score(r.path, bytes(r.content))[bars]
+                    found = read_score(path, bytes(content))
+                    for kind, wanted in enumerate((notes, bars)):
+                        put(found[kind] if wanted else [], kind)
                 except Exception as e:  # one broken file must not stop the others
-                    out += [] if bars else [(r.path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
-            schema = BARS if bars else NOTES
-            names = [c.split()[0] for c in schema.split(", ")]
-            kinds = {"int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean", "string": "object"}
-            yield pd.DataFrame(out, columns=names).astype({c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")})
+                    put([(path, *[None] * (len(own[0]) - 2), f"{type(e).__name__}: {e}"[:300])] if notes else [], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(is_bar, pa.bool_()), *(pa.array(c, ARROW[fields[n][0]]) for n, c in zip(fields, columns, strict=True))], ["is_bar", *fields])
 
-    return files.select("path", "content").mapInPandas(run, BARS if bars else NOTES)
+    rows = keep(files.select("path", "content").mapInArrow(run, ", ".join(["is_bar boolean", *(f"{n} {kind}" for n, (kind, _) in fields.items())])))
+    return rows.where("not is_bar").select(*own[0]), rows.where("is_bar").select(*own[1])
 
 
 #: Voices of a part that are told apart.

@@ -29,6 +29,24 @@ def test_triplet_becomes_text(spark):
     assert r.score == "TimeSig_4/4 Tempo_100 <bar> <melody> <tup> p_1/4 p_2/4 p_3/4 d_1 </tup> p_8/4 d_1 p_1/5 d_2 <bass> p_5/2 d_4 </s>" and r.invalid_bars == 0
 
 
+def test_each_score_is_read_once(spark):
+    """Extraction asks for each file once, for its notes and bars together; a broken file has an error and no bars."""
+    bars = spark.createDataFrame([(1, "score", 0, 4, 4, 100)], "song_id long, part string, bar long, ts_num int, ts_den int, tempo int")
+    made = songs.musicxml(elements(spark, [(0, 0, 1, 0, 4 * Q, [60], 0)]), bars).collect()
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    files = spark.createDataFrame([*made, ("broken", bytearray(b"PK none"))], "path string, content binary").mapInArrow(count, "path string, content binary")
+    assert extract.extract(files).collect()[0].score == "TimeSig_4/4 Tempo_100 <bar> <melody> p_1/4 d_4 <bass> p_r d_4 </s>"
+    assert asked.value == 2
+    notes, bars = songs.parsed(files)
+    assert [(r.path, r.error is None) for r in notes.orderBy("path").collect()] == [("1", True), ("broken", False)] and [r.path for r in bars.collect()] == ["1"]
+
+
 def test_choices_are_a_product(spark):
     rng = random.Random(4)
     rows, at = [], 0
